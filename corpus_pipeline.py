@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontaminate, language_id, mixture, sharding
+from quillspark.llm import decontaminate, language_id, mixture, near_dedup, sharding
 from quillspark.session import table
 
 
@@ -15,8 +15,6 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    from quillspark.llm import near_dedup
-
     return near_dedup.keep_one(docs)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import chat_format, decontaminate, language_id, mixture, secret_scan, sharding
+from quillspark.llm import chat_format, decontaminate, language_id, mixture, near_dedup, secret_scan, sharding
 from quillspark.session import table
 
 
@@ -19,6 +19,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_format(table(spark, sf_dir, "conversations"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
@@ -41,5 +45,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op2_chat_format": chat_format.ORACLE, "op7_mixture": mixture.ORACLE}
+    found = {"op2_chat_format": chat_format.ORACLE, "op3_near_dedup": near_dedup.ORACLE, "op7_mixture": mixture.ORACLE}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
