@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import chat_format, decontaminate, language_id, mixture, near_dedup, repeats, secret_scan, sharding
+from quillspark.llm import chat_format, decontaminate, fingerprints, language_id, mixture, near_dedup, repeats, secret_scan, sharding
 from quillspark.session import table
 
 
@@ -23,6 +23,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
