@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import chat_format, decontaminate, fingerprints, language_id, mixture, near_dedup, repeats, secret_scan, sharding
+from quillspark.llm import chat_format, decontaminate, fingerprints, html_extract, language_id, mixture, near_dedup, repeats, secret_scan, sharding
 from quillspark.session import table
 
 
@@ -31,6 +31,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.html_extract(table(spark, sf_dir, "pages"))
+
+
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(table(spark, sf_dir, "documents"))
 
