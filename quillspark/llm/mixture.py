@@ -96,8 +96,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as rows: a document is repeated as often as it is taken (to the nearest whole, once if in part); documents not taken go."""
     taken = mix(docs).where(F.col("taken") > 0).select(F.col("doc_id").alias("_id"), F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int")).alias("_times"))
     taken = taken.groupBy("_id").agg(F.max("_times").alias("_times"))
-    names = docs.columns
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in names])
+    rows = docs.select(F.struct("*").alias("_row"))  # in a struct, other columns can have any name
+    copies = rows.join(taken, F.col("_row.doc_id").eqNullSafe(F.col("_id"))).select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return copies.select("_row.*")
 
 
 #: The same by SQL, for the documents of a data folder.
