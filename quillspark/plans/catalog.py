@@ -1,30 +1,6 @@
-"""The catalogue of registered queries and their SQL."""
+"""The catalogue of queries: importing it registers all of them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    """Decorator: add a query, with its SQL where SQL can express it."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+from quillspark.plans import article_queries, link_queries, misc_queries, search_queries, stat_queries, stream_queries, table_queries  # noqa: F401
+from quillspark.plans.registry import oracle_sql, queries  # noqa: F401

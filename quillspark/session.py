@@ -31,6 +31,14 @@ def reach_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH")) if x)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the cluster's shared folder (one beside the warehouse if none is set): it cuts the lineage of loops."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return df.checkpoint(eager=True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
