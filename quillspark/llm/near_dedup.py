@@ -7,8 +7,15 @@ CHUNKS * (ERRORS + 1) = 20 symbols agree in a chunk up to one error, so they sha
 the 40 symbols differ on average, and a pair shares no key with a probability of 2e-6.
 
 Pairs of a key are not spelled out. First every node of a key is tested against the least node of the key, on full sets;
-links give components. Then only nodes of one key that are still in different components are tested against each other, so that
-no candidate link between different components is left out, and components are those of all links.
+links give components. Then only nodes of one key that are still in different components can matter:
+
+* Keys with at most FEW nodes: all such pairs, at most FEW for a node and key, are tested if their signatures are near.
+* Keys with more: among the nodes of such keys a shingle is frequent if FEW or more have it, else rare. Two sets share at most as many
+  frequent shingles as either has (S), and a known number k of rare ones, counted by joining rare shingles. A link needs
+  7 * (min(S, S') + k) >= 3 * (n + n'), so pairs below that are no links. Pairs with k = 0 are found by comparing S and n alone.
+
+So no link between different components is left out, components are those of all links, and a large group of copies that
+drifted apart costs its few doubtful pairs.
 
 Odd input: a null text or one without words has an empty set, is linked with nothing and is its own component; a null
 doc_id is linked with nothing and has a null component; rows that repeat a doc_id are one document; ties cannot occur, as
@@ -35,6 +42,8 @@ DISTANCE = 24
 GROUP = 256
 #: Requests for texts are sent to the scan up to this number (24 bytes each); beyond it texts are shuffled to them.
 SENT = 2_000_000
+#: Nodes of a key whose pairs are tested one by one, and documents of a rare shingle.
+FEW = 64
 _RNG = np.random.default_rng(20240601)
 _A = _RNG.integers(1, 2**63, SYMBOLS, np.int64).astype(np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 2**63, SYMBOLS, np.int64).astype(np.uint64)
@@ -129,14 +138,17 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: st
     return map_arrow(rows, test, "a long, b long")
 
 
-def cross_pairs(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a key, are in different components and have not been tested, by signature distance."""
-    placed = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("key")
-    open_rows = saved(placed.join(mixed, "key"))
-    left = open_rows.select("key", F.col("node").alias("a"), F.col("label").alias("_la"))
-    right = open_rows.select("key", F.col("node").alias("b"), F.col("label").alias("_lb"))
-    pairs = left.join(right, "key").where("a < b AND _la <> _lb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+def distant_labels(rows: DataFrame) -> DataFrame:
+    """The rows (key, node, m, label) of keys with more than one label."""
+    mixed = rows.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("key")
+    return saved(rows.join(mixed, "key"))
+
+
+def close_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: nodes that share one of these (small) keys, have different labels and near signatures."""
+    left = rows.select("key", F.col("node").alias("a"), F.col("label").alias("_la"))
+    right = rows.select("key", F.col("node").alias("b"), F.col("label").alias("_lb"))
+    pairs = left.join(right, "key").where("a < b AND _la <> _lb").select("a", "b").distinct()
     sign = nodes.select("node", "signature")
     pairs = pairs.join(sign.select(F.col("node").alias("a"), F.col("signature").alias("_sa")), "a").join(sign.select(F.col("node").alias("b"), F.col("signature").alias("_sb")), "b")
 
@@ -149,17 +161,66 @@ def cross_pairs(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested:
     return map_arrow(pairs.select("a", "b", "_sa", "_sb"), close, "a long, b long")
 
 
+def node_sets(wanted: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """node, shingles for some nodes."""
+    if wanted.count() <= SENT:
+        wanted = F.broadcast(wanted)
+    rows = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(wanted, "node")
+
+    def sets(batches):
+        for b in batches:
+            found = [shingles(t).view(np.int64) for t in binary_column(b, "text")]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return map_arrow(rows.select("node", "text"), sets, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
+def doubtful_pairs(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b: pairs of nodes of these (large) keys that can be links between different labels, by the counts of their rare
+    and frequent shingles."""
+    members = rows.select("node", "label").distinct()
+    sets = saved(node_sets(members.select("node"), docs).join(members, "node"))
+    listed = sets.select("node", "label", F.explode("shingles").alias("s"))
+    df = saved(listed.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    often = listed.join(df.where(f"df >= {FEW}"), "s").groupBy("node").agg(F.count(F.lit(1)).alias("often"))
+    known = sets.select("node", "label", F.size("shingles").alias("n")).join(often, "node", "left").select("node", "label", "n", F.coalesce("often", F.lit(0)).alias("often"))
+    known = saved(known.withColumn("most", (7 * F.col("often") - 3 * F.col("n")) / 3.0))  # the largest partner by frequent shingles alone
+    rare = listed.join(df.where(f"df < {FEW}"), "s")
+    left, right = (rare.select("s", F.col("node").alias(x), F.col("label").alias(f"_l{x}")) for x in ("a", "b"))
+    counted = left.join(right, "s").where("a < b AND _la <> _lb").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
+    for x in ("a", "b"):
+        counted = counted.join(known.select(F.col("node").alias(x), F.col("n").alias(f"_n{x}"), F.col("often").alias(f"_o{x}")), x)
+    by_rare = counted.where("7 * (least(_oa, _ob) + k) >= 3 * (_na + _nb)").select("a", "b")
+    # without rare ones in common; of a pair with different labels at least one has not the commonest label of the key
+    placed = rows.select("key", "node").join(known, "node")
+    top = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_c"), F.min("n").alias("_n")).groupBy("key").agg(F.max_by("label", F.struct("_c", "label")).alias("_top"), F.min("_n").alias("_least"))
+    odd = placed.join(top, "key").where("label <> _top AND most >= _least").select("key", F.col("node").alias("a"), F.col("label").alias("_la"), F.col("n").alias("_na"), F.col("most").alias("_ma"))
+    every = placed.select("key", F.col("node").alias("b"), F.col("label").alias("_lb"), F.col("n").alias("_nb"), F.col("most").alias("_mb"))
+    by_size = odd.join(every, (odd["key"] == every["key"]) & (F.col("_la") != F.col("_lb")) & (F.col("_nb") <= F.col("_ma")) & (F.col("_na") <= F.col("_mb")))
+    return by_rare.union(by_size.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
+def cross_pairs(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs of nodes that share a key, are in different components, have not been tested and may be links."""
+    rows = distant_labels(shared.join(labels, "node", "left").select("key", "node", "m", F.coalesce("label", "node").alias("label")))
+    pairs = close_pairs(rows.where(f"m <= {FEW}"), nodes)
+    large = rows.where(f"m > {FEW}")
+    if large.limit(1).count():
+        pairs = pairs.union(doubtful_pairs(large, docs))
+    return pairs.distinct().join(tested, ["a", "b"], "left_anti")
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     signed = saved(signatures(docs))
     nodes = saved(signed.where("set_hash IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")))
     rows = key_rows(nodes)
-    centres = rows.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("_m")).where("_m > 1").select("key", "a")
-    shared = saved(rows.join(centres, "key").select("key", "node", "a"))
+    centres = rows.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = saved(rows.join(centres, "key").select("key", "node", "a", "m"))
     stars = saved(shared.where("node <> a").select("a", F.col("node").alias("b")).distinct())
     links = saved(verified(stars, docs))
     labels = components(links)
-    across = saved(cross_pairs(shared.select("key", "node"), labels, nodes, stars))
+    across = saved(cross_pairs(shared.drop("a"), labels, nodes, stars, docs))
     if across.limit(1).count():
         labels = components(links.union(verified(across, docs)))
     placed = signed.join(nodes.select("set_hash", "node"), "set_hash", "left").select("doc_id", "n_shingles", "node")

@@ -173,6 +173,26 @@ def test_near_dedup_against_brute_force(spark, rows):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
+@pytest.mark.parametrize("few", [2, 6, 64])
+def test_near_dedup_large_groups_against_brute_force(spark, few, monkeypatch):
+    """A cloud of copies that drifted apart, with keys over and under the limit of pairwise tests."""
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    r = random.Random(few)
+    words = [f"w{k}" for k in range(300)]
+    base = [r.choice(words) for _ in range(90)]
+    out = []
+    for i in range(90):
+        now = list(base)
+        for _ in range(r.randrange(7)):
+            k = r.randrange(len(now))
+            now[k : k + 1] = r.choice([[r.choice(words[:4])], [], [now[k], r.choice(words[:4])]])
+        out.append((i, " ".join(now)))
+    want = brute_components(out)
+    found = near_dedup.near_dedup(spark.createDataFrame(out, "doc_id long, text string")).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in found} == want
+    assert 1 < len({c for _, c in want.values()}) < 80
+
+
 def test_near_dedup_keys_follow_the_pigeonhole():
     r = np.random.default_rng(2)
     one = r.integers(0, 1 << 16, near_dedup.SYMBOLS).astype(np.uint16)
