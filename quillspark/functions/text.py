@@ -56,6 +56,11 @@ PERSPECTIVES = (
 SENTENCE_END = r"(?<=[.!?])\s+"
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of two or more of a-z and 0-9 that are no stop words."""
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]{2,})"), F.lit(1)), lambda t: ~t.isin(STOP_WORDS))
@@ -93,7 +98,7 @@ def sentences(text: Column, least: int = 1) -> Column:
 
 def paragraphs(text: Column) -> Column:
     """How many blank-line separated parts have text."""
-    return F.size(F.filter(F.split(text, "\n\n"), lambda p: F.trim(p) != ""))
+    return F.size(F.filter(F.split(text, "\n\n"), lambda p: strip(p) != ""))
 
 
 def contains_any(text: Column, marks) -> Column:
@@ -172,13 +177,13 @@ def listed_steps(body: Column, most: int = 30, longest: int = 300) -> Column:
 
 def last_paragraph(body: Column, least: int = 40, longest: int = 300) -> Column:
     """The last paragraph with more than `least` characters that is no heading, or ''."""
-    found = F.filter(F.transform(F.split(body, r"\n\s*\n"), lambda p: F.trim(p)), lambda p: (F.length(p) > least) & ~p.startswith("#"))
+    found = F.filter(F.transform(F.split(body, r"\n\s*\n"), strip), lambda p: (F.length(p) > least) & ~p.startswith("#"))
     return F.coalesce(F.get(F.reverse(found), F.lit(0)), F.lit("")).substr(1, longest)
 
 
 def section(body: Column, header: str) -> Column:
     """Text under `## header` up to the next such heading, in any case."""
-    return F.trim(F.regexp_extract(body, rf"(?ims)^##\s+{header}\s*$(.*?)(?=^##\s|\z)", 1))
+    return strip(F.regexp_extract(body, rf"(?ims)^##\s+{header}\s*$(.*?)(?=^##\s|\z)", 1))
 
 
 def criteria(body: Column, header: str = "Acceptance Criteria") -> Column:
@@ -282,11 +287,8 @@ def exact_replace(text: Column, old: Column, new: Column, every: bool = False) -
 
 
 def human_size(n: Column) -> Column:
-    return (
-        F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1024 * 1024, F.concat(F.format_number(n / 1024, "0.0"), F.lit(" KB")))
-        .otherwise(F.concat(F.format_number(n / 1048576, "0.0"), F.lit(" MB")))
-    )
+    kilo = F.when(n < 1024 * 1024, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%.1f MB", n / 1048576.0))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(kilo)
 
 
 def docaudit_match(text: Column, token: Column) -> Column:

@@ -63,7 +63,7 @@ def read_articles(spark: SparkSession, *paths: str) -> DataFrame:
     """Articles of .md and .yaml files, read whole; files that cannot be read as such are left out. YAML has no built-in
     parser, so front matter goes through an Arrow function."""
     reach_workers(spark)
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(list(paths)).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.option("recursiveFileLookup", True).text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     found = split_front_matter(files).mapInPandas(_parsed, ARTICLE_FIELDS + ", body string")
     found = found.withColumn("body_words", text.word_count(text.without_related(F.col("body"))))
     return found.withColumn("keywords", text.normal_keywords(F.col("keywords"))).withColumn("subject_keywords", F.array_except(text.normal_keywords(F.col("subject_keywords")), F.col("keywords")))
@@ -98,7 +98,7 @@ def model_counts(files: DataFrame) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str, offset: int = 1, most: int = 500) -> DataFrame:
     """line and value from `offset` on, and whether there is more; a page of one file."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
     page = rows.where((F.col("line") >= offset - 1) & (F.col("line") < offset - 1 + most)).select((F.col("line") + 1).alias("line"), "value")
     total = rows.agg(F.max("line").alias("_last"))
     return page.crossJoin(F.broadcast(total)).select("line", "value", (F.col("_last") >= offset - 1 + most).alias("truncated"))
@@ -111,7 +111,7 @@ def newest(files: DataFrame, extensions=("tex", "md", "txt")) -> DataFrame:
 
 def read_arff(spark: SparkSession, path: str) -> DataFrame:
     """label and features of the rows after `@data`."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.regexp_replace("value", r"(?is)^.*?@data[^\n]*\n", ""), "\n")).alias("pos", "v"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"(?is)^.*?@data[^\n]*\n", ""), "\n")).alias("pos", "v"))
     cells = F.split(F.trim("v"), ",")
     rows = lines.where("trim(v) <> '' AND NOT trim(v) LIKE '%\\%%' ESCAPE '\\\\'")
     return rows.select("pos", F.element_at(cells, -1).alias("label"), F.transform(F.slice(cells, 1, F.size(cells) - 1), lambda x: x.try_cast("double")).alias("features"))
@@ -130,7 +130,7 @@ def read_edges(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """nodes (node_id, attrs) and edges (source, target, attrs) of `{nodes, edges | links}`; attributes stay as JSON."""
-    doc = spark.read.option("wholetext", True).text(path)
+    doc = spark.read.text(path, wholetext=True)
     items = lambda name: F.from_json(F.get_json_object("value", f"$.{name}"), "array<string>")
     nodes = doc.select(F.explode(items("nodes")).alias("attrs")).select(F.coalesce(F.get_json_object("attrs", "$.id"), F.get_json_object("attrs", "$.node_id")).alias("node_id"), "attrs")
     edges = doc.select(F.explode(F.coalesce(items("edges"), items("links"))).alias("attrs")).select(F.get_json_object("attrs", "$.source").alias("source"), F.get_json_object("attrs", "$.target").alias("target"), "attrs")
@@ -139,12 +139,12 @@ def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 def read_json_docs(spark: SparkSession, path: str) -> DataFrame:
     """slug and doc: one JSON document a file."""
-    return spark.read.option("wholetext", True).text(path).select(stem(F.col("_metadata.file_path")).alias("slug"), F.col("value").alias("doc"))
+    return spark.read.text(path, wholetext=True).select(stem(F.col("_metadata.file_path")).alias("slug"), F.col("value").alias("doc"))
 
 
 def read_skills(spark: SparkSession, path: str) -> DataFrame:
     """slug, description, keywords, steps, outcome of skill files."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     f = split_front_matter(files)
     name, description = text.field(F.col("raw"), "name"), text.field(F.col("raw"), "description")
     tags = F.filter(F.split(F.regexp_replace(text.field(F.col("raw"), "tags"), r"[\[\]]", ""), r"\s*,\s*"), lambda t: t != "")
