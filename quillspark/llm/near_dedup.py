@@ -112,13 +112,16 @@ def within(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough. Texts travel once a pair of (centre, member), in groups of bounded
+    """Those of the distinct, saved pairs (a, b) whose full sets are similar enough. Texts travel once a pair of (centre, member), in groups of bounded
     size with a copy of the centre each; a task holds one centre's set at a time and streams the members."""
-    pairs = pairs.select("a", "b").distinct()
-    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_m"))
-    members = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.floor(F.col("_m") / GROUP) + 1).cast("int").alias("salt"), F.col("b").alias("id"))
-    wanted = saved(members.select("a", "salt", "id", F.lit(1).alias("side")).union(members.select("a", "salt", F.col("a").alias("id"), F.lit(0).alias("side")).distinct()))
-    if wanted.count() <= SENT:
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_m")).where(f"_m > {GROUP}")
+    n = pairs.count()
+    if n <= SENT:
+        many = F.broadcast(many)
+    salt = F.pmod(F.xxhash64("b"), F.floor(F.coalesce("_m", F.lit(0)) / GROUP) + 1).cast("int")
+    members = pairs.join(many, "a", "left").select("a", salt.alias("salt"), F.col("b").alias("id"))
+    wanted = members.select("a", "salt", "id", F.lit(1).alias("side")).union(members.select("a", "salt", F.col("a").alias("id"), F.lit(0).alias("side")).distinct())
+    if 2 * n <= SENT:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     rows = texts.join(wanted, "id").select("a", "salt", "side", "id", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", "side")
@@ -146,11 +149,9 @@ def distant_labels(rows: DataFrame) -> DataFrame:
 
 def close_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """a, b: nodes that share one of these (small) keys, have different labels and near signatures."""
-    left = rows.select("key", F.col("node").alias("a"), F.col("label").alias("_la"))
-    right = rows.select("key", F.col("node").alias("b"), F.col("label").alias("_lb"))
-    pairs = left.join(right, "key").where("a < b AND _la <> _lb").select("a", "b").distinct()
-    sign = nodes.select("node", "signature")
-    pairs = pairs.join(sign.select(F.col("node").alias("a"), F.col("signature").alias("_sa")), "a").join(sign.select(F.col("node").alias("b"), F.col("signature").alias("_sb")), "b")
+    signed = rows.select("key", "node", "label").join(nodes.select("node", "signature"), "node")
+    left, right = (signed.select("key", F.col("node").alias(x), F.col("label").alias(f"_l{x}"), F.col("signature").alias(f"_s{x}")) for x in ("a", "b"))
+    pairs = left.join(right, "key").where("a < b AND _la <> _lb")
 
     def close(batches):
         for b in batches:
@@ -184,7 +185,7 @@ def doubtful_pairs(rows: DataFrame, docs: DataFrame) -> DataFrame:
     df = saved(listed.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     often = listed.join(df.where(f"df >= {FEW}"), "s").groupBy("node").agg(F.count(F.lit(1)).alias("often"))
     known = sets.select("node", "label", F.size("shingles").alias("n")).join(often, "node", "left").select("node", "label", "n", F.coalesce("often", F.lit(0)).alias("often"))
-    known = saved(known.withColumn("most", (7 * F.col("often") - 3 * F.col("n")) / 3.0))  # the largest partner by frequent shingles alone
+    known = (known.withColumn("most", (7 * F.col("often") - 3 * F.col("n")) / 3.0))  # the largest partner by frequent shingles alone
     rare = listed.join(df.where(f"df < {FEW}"), "s")
     left, right = (rare.select("s", F.col("node").alias(x), F.col("label").alias(f"_l{x}")) for x in ("a", "b"))
     counted = left.join(right, "s").where("a < b AND _la <> _lb").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
@@ -202,7 +203,8 @@ def doubtful_pairs(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 def cross_pairs(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs of nodes that share a key, are in different components, have not been tested and may be links."""
-    rows = distant_labels(shared.join(labels, "node", "left").select("key", "node", "m", F.coalesce("label", "node").alias("label")))
+    known = F.broadcast(labels) if labels.count() <= SENT // 2 else labels
+    rows = distant_labels(shared.join(known, "node", "left").select("key", "node", "m", F.coalesce("label", "node").alias("label")))
     pairs = close_pairs(rows.where(f"m <= {FEW}"), nodes)
     large = rows.where(f"m > {FEW}")
     if large.limit(1).count():
