@@ -176,24 +176,45 @@ def node_sets(wanted: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text:
     return map_arrow(rows.select("node", "text"), sets, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
+def counted_sets(sets: DataFrame, often: DataFrame) -> DataFrame:
+    """node, label, n, often, rare: size of a set, number of its frequent shingles, and its rare ones. The list of frequent shingles
+    is sent to the sets if it is short, and joined otherwise."""
+    if often.count() > SENT:
+        rows = sets.select("node", "label", F.explode("shingles").alias("s")).join(often.withColumn("_o", F.lit(1)), "s", "left")
+        return rows.groupBy("node", "label").agg(F.count(F.lit(1)).cast("int").alias("n"), F.coalesce(F.sum("_o"), F.lit(0)).cast("int").alias("often"), F.collect_list(F.when(F.col("_o").isNull(), F.col("s"))).alias("rare"))
+    shared = sets.sparkSession.sparkContext.broadcast(np.sort(often.toPandas()["s"].to_numpy(np.int64)))
+
+    def count(batches):
+        listed = shared.value
+        for b in batches:
+            n, hits, rare = [], [], []
+            for full in b.column(2):
+                full = full.values.to_numpy()
+                at = np.minimum(np.searchsorted(listed, full), max(len(listed) - 1, 0))
+                known = listed[at] == full if len(listed) else np.zeros(len(full), bool)
+                n.append(len(full))
+                hits.append(int(known.sum()))
+                rare.append(full[~known])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(hits, pa.int32()), pa.array(rare, pa.list_(pa.int64()))], ["node", "label", "n", "often", "rare"])
+
+    return map_arrow(sets.select("node", "label", "shingles"), count, "node long, label long, n int, often int, rare array<long>")
+
+
 def doubtful_pairs(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b: pairs of nodes of these (large) keys that can be links between different labels, by the counts of their rare
     and frequent shingles."""
     members = rows.select("node", "label").distinct()
     sets = saved(node_sets(members.select("node"), docs).join(members, "node"))
-    listed = sets.select("node", "label", F.explode("shingles").alias("s"))
-    df = saved(listed.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    often = listed.join(df.where(f"df >= {FEW}"), "s").groupBy("node").agg(F.count(F.lit(1)).alias("often"))
-    known = sets.select("node", "label", F.size("shingles").alias("n")).join(often, "node", "left").select("node", "label", "n", F.coalesce("often", F.lit(0)).alias("often"))
-    known = (known.withColumn("most", (7 * F.col("often") - 3 * F.col("n")) / 3.0))  # the largest partner by frequent shingles alone
-    rare = listed.join(df.where(f"df < {FEW}"), "s")
+    often = saved(sets.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("_df")).where(f"_df >= {FEW}").select("s"))
+    known = saved(counted_sets(sets, often).withColumn("most", (7 * F.col("often") - 3 * F.col("n")) / 3.0))  # the largest partner by frequent shingles alone
+    rare = known.select("node", "label", F.explode("rare").alias("s"))  # at most FEW rows a shingle
     left, right = (rare.select("s", F.col("node").alias(x), F.col("label").alias(f"_l{x}")) for x in ("a", "b"))
     counted = left.join(right, "s").where("a < b AND _la <> _lb").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
     for x in ("a", "b"):
         counted = counted.join(known.select(F.col("node").alias(x), F.col("n").alias(f"_n{x}"), F.col("often").alias(f"_o{x}")), x)
     by_rare = counted.where("7 * (least(_oa, _ob) + k) >= 3 * (_na + _nb)").select("a", "b")
     # without rare ones in common; of a pair with different labels at least one has not the commonest label of the key
-    placed = rows.select("key", "node").join(known, "node")
+    placed = rows.select("key", "node").join(known.drop("rare"), "node")
     top = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_c"), F.min("n").alias("_n")).groupBy("key").agg(F.max_by("label", F.struct("_c", "label")).alias("_top"), F.min("_n").alias("_least"))
     odd = placed.join(top, "key").where("label <> _top AND most >= _least").select("key", F.col("node").alias("a"), F.col("label").alias("_la"), F.col("n").alias("_na"), F.col("most").alias("_ma"))
     every = placed.select("key", F.col("node").alias("b"), F.col("label").alias("_lb"), F.col("n").alias("_nb"), F.col("most").alias("_mb"))

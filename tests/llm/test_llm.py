@@ -173,10 +173,11 @@ def test_near_dedup_against_brute_force(spark, rows):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
-@pytest.mark.parametrize("few", [2, 6, 64])
-def test_near_dedup_large_groups_against_brute_force(spark, few, monkeypatch):
-    """A cloud of copies that drifted apart, with keys over and under the limit of pairwise tests."""
+@pytest.mark.parametrize(("few", "sent"), [(2, 10**6), (6, 10**6), (6, 0), (64, 10**6)])
+def test_near_dedup_large_groups_against_brute_force(spark, few, sent, monkeypatch):
+    """A cloud of copies that drifted apart, with keys over and under the limit of pairwise tests, with and without broadcasts."""
     monkeypatch.setattr(near_dedup, "FEW", few)
+    monkeypatch.setattr(near_dedup, "SENT", sent)
     r = random.Random(few)
     words = [f"w{k}" for k in range(300)]
     base = [r.choice(words) for _ in range(90)]
