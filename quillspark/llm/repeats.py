@@ -42,13 +42,13 @@ SPAN = LENGTH - K + 1
 PLACE = 20
 CHUNK = 1 << PLACE
 #: Segments of a task that are combined at once.
-COMBINE = 1 << 20
+COMBINE = 1 << 19
 #: Bytes of one index.
-INDEX = 1 << 20
+INDEX = 1 << 19
 #: Documents looked at for common anchors, and the number of them that makes an anchor common.
 SAMPLE, COMMON = 4000, 16
 #: Requests for segment bytes are sent to the scan up to this number (about 40 bytes each); beyond it texts are shuffled.
-SENT = 2_000_000
+SENT = 1_000_000
 NULL_ID = -(1 << 63)
 _TABLE = np.random.default_rng(7).integers(0, 2**63, 256, np.int64).astype(np.uint64)
 _B = 0x9E3779B97F4A7C15
@@ -230,19 +230,17 @@ class RunLengthIndex:
         self.ends = np.cumsum(sizes) - 1
         text[self.ends] = np.arange(len(strings))  # every string ends with a symbol of its own
         n = self.n = len(text)
-        levels = [(1, text)]
-        rank, h = text, 1
+        levels = [(1, text.astype(np.int32))]
+        rank, h = levels[0][1], 1
         while True:
-            ahead = np.zeros(n, np.int64)
-            ahead[: n - h] = rank[h:] + 1
-            pair = (rank << 32) | ahead
+            pair = rank.astype(np.int64) << 32
+            pair[: n - h] |= rank[h:] + 1
             order = np.argsort(pair)
-            ranked = pair[order]
-            steps = np.append(0, np.cumsum(ranked[1:] != ranked[:-1]))
-            rank = np.empty(n, np.int64)
-            rank[order] = steps
+            pair = pair[order]
+            rank = np.empty(n, np.int32)
+            rank[order] = np.append(0, np.cumsum(pair[1:] != pair[:-1], dtype=np.int32))
             h *= 2
-            if steps[-1] == n - 1:
+            if rank[order[-1]] == n - 1:
                 break
             levels.append((h, rank))
         before = text[order - 1]
