@@ -129,3 +129,17 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         docs = map_arrow(docs, keep, docs.schema)
     return docs
+
+
+_words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+')"
+#: The same by SQL over the tables of a data folder, with the items as text.
+ORACLE = f"""
+WITH iw AS (SELECT item_id, w, least(5, len(w)) AS n FROM (SELECT item_id, {_words} AS w FROM benchmark) WHERE len(w) > 0),
+ig AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM iw),
+dw AS (SELECT doc_id, {_words} AS w FROM documents),
+dg AS (SELECT DISTINCT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM dw, (SELECT DISTINCT n FROM ig) WHERE len(w) >= n),
+z AS (SELECT item_id, count(*) AS size FROM ig GROUP BY item_id),
+h AS (SELECT doc_id, item_id, CAST(count(*) AS DOUBLE) / any_value(size) AS c FROM dg JOIN ig USING (n, g) JOIN z USING (item_id) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 75 * any_value(size)),
+f AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items, max(c) AS containment FROM h GROUP BY doc_id)
+SELECT d.doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(items, '') AS items, coalesce(containment, 0.0) AS containment FROM documents d LEFT JOIN f USING (doc_id)
+"""

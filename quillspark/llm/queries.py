@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.llm import chat_format, decontaminate, fingerprints, html_extract, language_id, mixture, near_dedup, repeats, secret_scan, sharding
 from quillspark.session import table
@@ -48,7 +49,8 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items", F.array_join(F.transform("items", lambda i: i.cast("string")), ","))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -57,5 +59,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op2_chat_format": chat_format.ORACLE, "op3_near_dedup": near_dedup.ORACLE, "op7_mixture": mixture.ORACLE}
+    found = {"op2_chat_format": chat_format.ORACLE, "op3_near_dedup": near_dedup.ORACLE, "op7_mixture": mixture.ORACLE, "op10_decontamination": decontaminate.ORACLE}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

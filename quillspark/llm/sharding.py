@@ -52,3 +52,4 @@ def assign(docs: DataFrame, shards: int = SHARDS, weights: Sequence[float] | Non
     rows = rows.select("doc_id", "size", "text_crc32", "law", F.col("_to.shard").alias("shard"), F.col("_to.grown").alias("grown_shard"), "_key")
     rows = ranked(rows, ["shard"], ["_key", "text_crc32", "size"], bucket_of(F.col("_key"), F.col("text_crc32"), F.col("size"), n=BUCKETS), "slot")
     return rows.select("doc_id", "size", "text_crc32", "law", F.col("shard").cast("int"), "slot", F.col("grown_shard").cast("int"))
+
