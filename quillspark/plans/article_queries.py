@@ -11,19 +11,20 @@ from quillspark.plans.registry import register
 from quillspark.session import table
 
 
-def view(spark, sf_dir):
-    return A.article_view(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+def view(spark, sf_dir, confidence=False):
+    """The article view; `labels` are joined only where confidence is asked for."""
+    return A.article_view(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels") if confidence else None)
 
 
 @register("article_list", f"WITH {sql.ARTICLES} SELECT slug, title, type, lifecycle, sensitivity, doc_type, body_words, retrieval_count, confidence FROM art WHERE type = 'plan' AND lifecycle = 'current' AND sensitivity IN ('public', 'internal')")
 def article_list(spark, sf_dir):
-    found = A.list_articles(view(spark, sf_dir), article_type="plan", lifecycle="current", access="internal")
+    found = A.list_articles(view(spark, sf_dir, confidence=True), article_type="plan", lifecycle="current", access="internal")
     return found.select("slug", "title", "type", "lifecycle", "sensitivity", "doc_type", F.col("body_words").cast("long").alias("body_words"), "retrieval_count", "confidence")
 
 
 @register("article_checks", f"WITH {sql.ARTICLES} SELECT slug, len(title) < 1 OR len(title) > 200 AS bad_title, confidence NOT BETWEEN 0 AND 1 AS bad_confidence FROM art")
 def article_checks(spark, sf_dir):
-    found = A.checks(view(spark, sf_dir))
+    found = A.checks(view(spark, sf_dir, confidence=True))
     return found.select("slug", F.array_contains("errors", "title").alias("bad_title"), F.array_contains("errors", "confidence").alias("bad_confidence"))
 
 

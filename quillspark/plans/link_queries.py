@@ -21,7 +21,7 @@ def tiered(spark, sf_dir):
 
 def mutual_edges(spark, sf_dir):
     rank = L.ranked(L.candidates(tiered(spark, sf_dir)))
-    budget = L.budgets(view(spark, sf_dir))
+    budget = L.budgets(view(spark, sf_dir, confidence=True))
     return L.mutual(rank, budget), rank, budget
 
 
@@ -37,7 +37,7 @@ def link_candidates(spark, sf_dir):
 
 @register("link_budget", f"WITH {sql.ARTICLES}, {sql.BUDGETS} SELECT doc_id, budget FROM bud")
 def link_budget(spark, sf_dir):
-    return L.budgets(view(spark, sf_dir))
+    return L.budgets(view(spark, sf_dir, confidence=True))
 
 
 @register("link_mutual_topk", f"{sql.MUTUAL} SELECT a, b FROM mut")

@@ -20,7 +20,7 @@ from quillspark.session import table
 UNION ALL SELECT 'confidence', CASE WHEN confidence < 0.3 THEN '0.0-0.3' WHEN confidence < 0.6 THEN '0.3-0.6' WHEN confidence < 0.8 THEN '0.6-0.8' ELSE '0.8-1.0' END FROM art) SELECT dimension, value, count(*) AS n FROM c GROUP BY 1, 2""",
 )
 def corpus_stats(spark, sf_dir):
-    return ST.corpus_stats(view(spark, sf_dir))
+    return ST.corpus_stats(view(spark, sf_dir, confidence=True))
 
 
 @register("paper_stats", "SELECT count(*) AS papers, CAST(sum(len(text)) AS BIGINT) AS total_chars, CAST(floor(avg(len(text))) AS BIGINT) AS avg_chars, max(len(text)) AS max_chars, min(len(text)) AS min_chars FROM documents")
