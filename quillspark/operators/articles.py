@@ -207,3 +207,24 @@ def skill_catalog(articles: DataFrame, ranks: dict[str, int], layer: str = "laye
     ranked = articles.withColumn("rank", scores.lookup(ranks, F.col("type"), 0)).where("rank > 0")
     w = W.partitionBy("name").orderBy(layer, "slug")
     return ranked.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").orderBy(F.desc("rank"), "name")
+
+
+def table_page(articles: DataFrame, needle: str = "", equal: dict[str, str] | None = None, order: str = "title", descending: bool = False) -> DataFrame:
+    """Rows whose title, slug or keywords contain a text, with equal cells, sorted by a column; missing cells come last."""
+    low = F.lower(F.concat_ws(" ", "title", "slug", F.array_join("keywords", " ")))
+    out = articles.where(F.contains(low, F.lit(needle.lower())))
+    for name, value in (equal or {}).items():
+        out = out.where(F.col(name) == value)
+    return out.orderBy(F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last(), "slug")
+
+
+def by_backend(articles: DataFrame, *backends: str) -> DataFrame:
+    return articles.where(F.col("backend").isin(*backends))
+
+
+def review_due(articles: DataFrame, today: Column) -> DataFrame:
+    return articles.where(F.col("next_review_at") < today)
+
+
+def type_counts(articles: DataFrame, column: str = "type") -> DataFrame:
+    return articles.groupBy(column).agg(F.count(F.lit(1)).alias("n"))

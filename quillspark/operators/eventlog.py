@@ -57,3 +57,25 @@ def readable(lines: DataFrame, schema: str) -> DataFrame:
     last = lines.agg(F.max("pos").alias("_last"))
     out = parsed.crossJoin(F.broadcast(last)).where(~(F.col("_bad").isNotNull() & (F.col("pos") == F.col("_last"))))
     return out.withColumn("pos", F.when(F.col("_bad").isNotNull(), F.raise_error(F.concat(F.lit("corrupt line "), F.col("pos")))).otherwise(F.col("pos"))).drop("_bad", "_last")
+
+
+def log_rows(log: DataFrame, source: str | None = None, kind: str | None = None, since: int | None = None) -> DataFrame:
+    """Rows of an audit log by source and kind, after a sequence number."""
+    out = log
+    for name, value in (("source", source), ("kind", kind)):
+        if value is not None:
+            out = out.where(F.col(name) == value)
+    return out if since is None else out.where(F.col("seq") > since)
+
+
+def tail(log: DataFrame, n: int) -> DataFrame:
+    """The last n rows, in order; a page."""
+    return log.orderBy(F.desc("seq")).limit(n).orderBy("seq")
+
+
+def escalations(events: DataFrame) -> DataFrame:
+    """task_id, paused, questions: a task is paused from an escalation until it is resumed."""
+    n = lambda k: F.sum((F.col("kind") == k).cast("int"))
+    at = lambda k: F.max(F.when(F.col("kind") == k, F.col("seq")))
+    out = events.groupBy("task_id").agg(n("question").alias("questions"), at("escalate").alias("_e"), at("resume").alias("_r"))
+    return out.select("task_id", (F.col("_e").isNotNull() & (F.col("_r").isNull() | (F.col("_r") < F.col("_e")))).alias("paused"), "questions")

@@ -115,3 +115,38 @@ def child_states(parents: DataFrame, children: DataFrame) -> DataFrame:
     """parent_id, child_id, state: the latest state of every child, `timeout` if there is none."""
     last = children.groupBy("child_id").agg(F.max_by("status", "at").alias("_s"))
     return parents.join(last, "child_id", "left").select("parent_id", "child_id", F.coalesce("_s", F.lit("timeout")).alias("state"))
+
+
+def with_project_titles(rollup: DataFrame, missions: DataFrame) -> DataFrame:
+    """Projects with the title of their mission, or their name."""
+    return rollup.join(missions.select(F.col("slug").alias("project"), "title"), "project", "left").withColumn("title", F.coalesce("title", F.col("project").cast("string")))
+
+
+def with_article_slugs(tasks: DataFrame, links: DataFrame) -> DataFrame:
+    """Tasks with the sorted slugs of their articles: one join instead of a look-up for each."""
+    slugs = links.groupBy("task_id").agg(F.array_sort(F.collect_set("article_slug")).alias("articles"))
+    return tasks.join(slugs, "task_id", "left").withColumn("articles", F.coalesce("articles", F.array().cast("array<string>")))
+
+
+def listed(tasks: DataFrame, status: str | None = None, urgency: str | None = None, project: str | None = None) -> DataFrame:
+    """The filters that are given, all of them."""
+    out = tasks
+    for name, value in (("status", status), ("urgency", urgency), ("project", project)):
+        if value is not None:
+            out = out.where(F.col(name) == value)
+    return out
+
+
+def without_task(tasks: DataFrame, links: DataFrame, task_id) -> tuple[DataFrame, DataFrame]:
+    """Both tables without a task."""
+    return tasks.where(F.col("task_id") != task_id), links.where(F.col("task_id") != task_id)
+
+
+def bounded_rounds(step, most: int = 10) -> list:
+    """Results of a step until it says `complete` or `blocked`, in so many rounds at most. A loop of the driver over its own reports."""
+    done = []
+    for k in range(most):
+        done.append(step(k, done[-1] if done else None))
+        if done[-1].get("status") in ("complete", "blocked"):
+            break
+    return done

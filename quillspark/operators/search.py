@@ -140,3 +140,24 @@ def hashed_vector(body: Column, dims: int = 64) -> Column:
     raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(t, F.lit(0.0), lambda s, x: s + F.when(F.pmod(F.xxhash64(x), F.lit(dims)) == d, F.when(F.pmod(F.xxhash64(x, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
     norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
     return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(x).cast("float"))
+
+
+def claim_citations(claims: DataFrame, articles: DataFrame, least: float = 1.0) -> DataFrame:
+    """finding_id, slug, author, year of the research note that a claim is nearest to."""
+    from quillspark.functions import biblio
+
+    notes = articles.where("type = 'research-note'")
+    best = best_matches(claims, notes, least)
+    return best.join(notes.select("slug", "title"), "slug").select("finding_id", "slug", biblio.title_author(F.col("title")).alias("author"), biblio.title_year(F.col("title")).alias("year"))
+
+
+def source_text(articles: DataFrame) -> Column:
+    """What an article is searched by: title, summary, keywords and body; column names of tables, text of blobs, words of JSON."""
+    from quillspark.operators.jsondocs import flattened
+
+    have = set(articles.columns)
+    part = lambda n: F.coalesce(F.col(n), F.lit("")) if n in have else F.lit("")
+    body = part("body")
+    if "backend" in have:
+        body = F.when(F.col("backend") == "blob", part("extracted_text")).when(F.col("backend") == "json", flattened(part("doc"))).when(F.col("backend") == "sql", part("column_names")).otherwise(body)
+    return F.concat_ws(" ", part("title"), part("summary"), F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), " ") if "keywords" in have else F.lit(""), body)

@@ -232,3 +232,36 @@ def test_papers(spark):
     assert (got("a", "b"), got("b", "a"), got("a", "c")) == ("extends", "related", "unrelated")
     notes = spark.createDataFrame([("h", "help", "has 39 tools\nand 5 types"), ("x", "base", "3 tools")], "slug string, type string, body string")
     assert [(r["line"], r["found"]) for r in ST.stale_numbers(notes).orderBy("line").collect()] == [(1, "39 tools"), (2, "5 types")]
+
+
+def test_logs_and_escalations(spark):
+    log = spark.createDataFrame([(k, "a" if k % 2 else "b", "x") for k in range(1, 9)], "seq long, source string, kind string")
+    assert E.log_rows(log, source="a", since=3).count() == 2 and [r["seq"] for r in E.tail(log, 2).collect()] == [7, 8]
+    ev = spark.createDataFrame([(1, 1, "question"), (1, 2, "escalate"), (2, 1, "escalate"), (2, 2, "resume")], "task_id long, seq long, kind string")
+    assert {r["task_id"]: (r["paused"], r["questions"]) for r in E.escalations(ev).collect()} == {1: (True, 1), 2: (False, 0)}
+
+
+def test_task_tables(spark):
+    tasks = spark.createDataFrame([(1, "ready", "p1"), (2, "qa", None)], "task_id long, status string, project string")
+    links = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b")], "task_id long, article_slug string")
+    assert {r["task_id"]: r["articles"] for r in Q.with_article_slugs(tasks, links).collect()} == {1: ["a", "b"], 2: []}
+    assert Q.listed(tasks, status="ready", project="p1").count() == 1
+    rest = Q.without_task(tasks, links, 1)
+    assert rest[0].count() == 1 and rest[1].count() == 0
+    titles = Q.with_project_titles(spark.createDataFrame([("p1", 1), ("p2", 1)], "project string, total int"), spark.createDataFrame([("p1", "Mission")], "slug string, title string"))
+    assert {r["project"]: r["title"] for r in titles.collect()} == {"p1": "Mission", "p2": "p2"}
+    assert len(Q.bounded_rounds(lambda k, last: {"status": "complete" if k == 2 else "continue"})) == 3
+
+
+def test_article_pages(spark):
+    rows = spark.createDataFrame([("a", "Zed", ["x"], "md", "base"), ("b", None, ["needle"], "sql", "note")], "slug string, title string, keywords array<string>, backend string, type string")
+    assert [r["slug"] for r in A.table_page(rows).collect()] == ["a", "b"] and [r["slug"] for r in A.table_page(rows, "needle").collect()] == ["b"]
+    assert A.table_page(rows, equal={"type": "base"}).count() == 1 and A.by_backend(rows, "sql", "json").count() == 1 and A.type_counts(rows).count() == 2
+    texts = rows.withColumn("column_names", F.lit("col1 col2")).withColumn("body", F.lit("text"))
+    assert [r[0] for r in texts.select(S.source_text(texts)).collect()] == ["Zed   x text".replace("   ", "  "), "  needle col1 col2"]
+
+
+def test_claims_cite_notes(spark):
+    notes = spark.createDataFrame([("n1", "Adams et al. 2017 — Persistence images", "persistence images vector stable", "research-note"), ("n2", "Other", "persistence images", "base")], "slug string, title string, body string, type string")
+    claims = spark.createDataFrame([("c", "Persistence images are stable")], "finding_id string, claim string")
+    assert tuple(S.claim_citations(claims, notes).first()) == ("c", "n1", "Adams", 2017)
