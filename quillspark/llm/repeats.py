@@ -47,8 +47,8 @@ COMBINE = 1 << 19
 INDEX = 1 << 19
 #: Documents looked at for common anchors, and the number of them that makes an anchor common.
 SAMPLE, COMMON = 4000, 16
-#: Requests for segment bytes are sent to the scan up to this number (about 40 bytes each); beyond it texts are shuffled.
-SENT = 1_000_000
+#: Requests for segment bytes are sent to the scan up to this number (three numbers each); beyond it texts are shuffled.
+SENT = 2_000_000
 NULL_ID = -(1 << 63)
 _TABLE = np.random.default_rng(7).integers(0, 2**63, 256, np.int64).astype(np.uint64)
 _B = 0x9E3779B97F4A7C15
@@ -336,10 +336,11 @@ def covered(texts: DataFrame) -> DataFrame:
     rows = map_arrow(texts, lambda batches: scan(batches, common.value), ROWS)
     found = saved(map_arrow(rows.repartition("key").sortWithinPartitions("key"), grouped, ROWS))
     spans = found.where("n < 0").select("doc", "start", (F.col("start") - F.col("n")).alias("stop"))
-    asked = found.where("n > 0").withColumnRenamed("doc", "_doc")
+    asked = found.where("n > 0").select(F.col("doc").alias("_doc"), "key", "content", (F.col("start") * 128 + F.col("n")).alias("_at"))  # n is at most SPAN
     if asked.count() <= SENT:
         asked = F.broadcast(asked)
     data = texts.select("doc", F.col("text").cast("binary").alias("_data")).join(asked, F.col("doc") == F.col("_doc"))
+    data = data.withColumn("start", F.shiftright("_at", 7)).withColumn("n", F.col("_at") % 128)
     data = data.select("key", "content", "doc", "start", F.substring("_data", (F.col("start") + 1).cast("int"), (F.col("n") + (LENGTH - 1)).cast("int")).alias("data"))
     return spans.union(map_arrow(data.repartition("key").sortWithinPartitions("key"), indexed, "doc long, start long, stop long"))
 
