@@ -2,7 +2,8 @@
 
 Base spans come from three patterns, each applied leftmost and non-overlapping over the whole text. On top of them, weak
 candidates (long mixed tokens and endpoints that prove nothing alone) are joined by interval with access identifiers and
-keyed secrets in the same scope (a paragraph), and reported only where complementary parts lie within `REACH` code points.
+keyed secrets: each is reported where its scope, a section of the document that ends at two or more blank lines in a row or
+at the end of the text, holds a complementary part, however far away.
 
 Odd input: a null text is empty and has no span; offsets are code points, ends are exclusive; repeated rows each get their
 own result; an empty table gives an empty result; matches never cross documents. Other columns are never read.
@@ -13,6 +14,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +29,7 @@ WEAK = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
 ENDPOINT = re.compile(r"(?a)\b(?:https?://[^\s\"'<>]+|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com)")
 SCOPE = re.compile(r"\n[^\S\n]*\n")
 KINDS = ("assign", "access", "hex", "linked_secret", "linked_endpoint")
+SECTION = re.compile(r"\n(?:[^\S\n]*\n){2,}")
 REACH = 200
 
 
@@ -50,12 +53,12 @@ def near(sorted_spans: list[tuple[int, int]], longest: int, start: int, end: int
     return False
 
 
-def linked_spans(text: str, base: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
-    """Weak candidates whose complementary part lies in the same scope and within reach."""
+def linked_spans(text: str, base: list[tuple[int, int, str, int]], ends: re.Pattern = SCOPE, reach: int | None = REACH) -> list[tuple[int, int, str, int]]:
+    """Weak candidates whose complementary part lies in the same scope, and within reach if there is one; `ends` matches between scopes."""
     anchors = [(s, e) for s, _, kind, e in base if kind in ("access", "assign")]
     if not anchors:
         return []
-    cuts = [m.start() for m in SCOPE.finditer(text)]
+    cuts = [m.start() for m in ends.finditer(text)]
     scope = lambda at: bisect.bisect_right(cuts, at)
     by_scope: dict[int, list[tuple[int, int]]] = {}
     for s, e in anchors:
@@ -66,12 +69,14 @@ def linked_spans(text: str, base: list[tuple[int, int, str, int]]) -> list[tuple
     bounds = [0, *cuts, len(text)]
     for k, spans in by_scope.items():  # only scopes with an anchor are searched
         lo, hi = bounds[k], bounds[k + 1]
+        starts, tops = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
         for place, kind, pattern in ((3, "linked_secret", WEAK), (4, "linked_endpoint", ENDPOINT)):
             for m in pattern.finditer(text, lo, hi):
                 s, e = m.span()
-                if (s, e) in taken or kind == "linked_secret" and any(a <= s and e <= b for a, b in spans):
+                before = bisect.bisect_right(starts, s)
+                if (s, e) in taken or kind == "linked_secret" and before and e <= tops[before - 1]:
                     continue
-                if near(spans, longest[k], s - REACH, e + REACH):
+                if reach is None or near(spans, longest[k], s - reach, e + reach):
                     found.append((s, place, kind, e))
     return found
 
@@ -80,10 +85,10 @@ def listed(spans) -> str:
     return ",".join(f"{kind}:{s}:{e}" for s, _, kind, e in spans)
 
 
-def scan_text(text: str | None) -> tuple[int, int, int, str, str]:
-    """Counts of the base kinds, digest of the base spans, and all spans."""
+def scan_text(text: str | None, ends: re.Pattern = SCOPE, reach: int | None = REACH) -> tuple[int, int, int, str, str]:
+    """Counts of the base kinds, digest of the base spans, and all spans. `secret_scan` links over whole sections, without a reach."""
     base = base_spans(text or "")
-    every = sorted(base + linked_spans(text or "", base)) if base else base
+    every = sorted(base + linked_spans(text or "", base, ends, reach)) if base else base
     kinds = [x[2] for x in base]
     return kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(listed(base).encode()).hexdigest(), listed(every)
 
@@ -93,7 +98,7 @@ def secret_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     def scan(batches):
         for b in batches:
-            found = [scan_text(t) for t in b.column(1).to_pylist()]
+            found = [scan_text(t, SECTION, None) for t in b.column(1).to_pylist()]
             cols = list(zip(*found)) or [()] * 5
             kinds = [pa.int64()] * 3 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])

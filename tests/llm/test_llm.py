@@ -296,6 +296,14 @@ def test_secrets_links_need_both_parts():
     assert "linked" not in secret_scan.scan_text(f"{key}{' x' * 300} {weak}")[4]  # out of reach
 
 
+def test_secrets_link_over_the_whole_section(spark):
+    key, weak, url = "AKIA" + "Q" * 16, "aB3/" * 10, "https://x.amazonaws.com/y"
+    texts = [f"{key}{' x' * 300}\n# a note\naws_secret_access_key = {weak}", f"{key}\n \n{weak} {url}", f"{key}\n\n \r\n{weak}", f"{weak}{' x' * 9000} {key}", f"password={weak} {weak}"]
+    rows = secret_scan.secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {r["doc_id"]: [x.split(":")[0] for x in r["spans"].split(",")] for r in rows}
+    assert found == {0: ["access", "linked_secret"], 1: ["access", "linked_secret", "linked_endpoint"], 2: ["access"], 3: ["linked_secret", "access"], 4: ["assign", "linked_secret"]}
+
+
 def test_secrets_odd(odd, none):
     assert secret_scan.secret_scan(odd).count() == odd.count() and secret_scan.secret_scan(none).count() == 0
 
