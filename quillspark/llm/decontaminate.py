@@ -9,12 +9,15 @@ however long the document. Hits are then verified on the full sets.
 Odd input: an item without words (or null) is never found; an item with one to four words counts as one shingle of that
 length; a null or empty document holds nothing; repeated items and documents each get their own result; with no items
 every document is clean; other columns pass through untouched. Items are searched in blocks of bounded size, so memory on
-the executors does not grow with the benchmark.
+the executors does not grow with the benchmark. What several blocks find is put together by doc_id and text: rows that
+agree in both have the same result, which is given as often as there are such rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -87,31 +90,39 @@ def blocks_of(items: DataFrame, item_id: str = "item_id", text: str = "text", mo
 
 
 def hits(docs: DataFrame, block: Block, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the items found, for every row of docs, for one block of items."""
+    """doc_id, a digest of the text and the items found, for every row of docs, for one block of items."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def search(batches):
         b = shared.value
         for batch in batches:
-            found = [b.search(word_hashes(t)) for t in binary_column(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[x[0] for x in f] for f in found], pa.list_(pa.int64())), pa.array([max([x[1] for x in f], default=0.0) for f in found], pa.float64())], ["doc_id", "items", "containment"])
+            texts = binary_column(batch, "text")
+            found = [b.search(word_hashes(t)) for t in texts]
+            digests = pa.array([hashlib.sha256(t or b"").digest() for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), digests, pa.array([[x[0] for x in f] for f in found], pa.list_(pa.int64())), pa.array([max([x[1] for x in f], default=0.0) for f in found], pa.float64())], ["doc_id", "digest", "items", "containment"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return map_arrow(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), search, f"doc_id {kind}, items array<long>, containment double")
+    return map_arrow(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), search, f"doc_id {kind}, digest binary, items array<long>, containment double")
+
+
+def merged(parts: list[DataFrame]) -> DataFrame:
+    """doc_id, items, containment for every row, from the hits of several blocks over the same rows."""
+    # equal rows are counted first, so that no group holds more than one row of a block
+    rows = reduce(DataFrame.unionByName, [p.withColumn("block", F.lit(k)) for k, p in enumerate(parts)])
+    rows = rows.groupBy("doc_id", "digest", "block", "items", "containment").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.groupBy("doc_id", "digest").agg(F.flatten(F.collect_list("items")).alias("items"), F.max("containment").alias("containment"), F.max("n").alias("n"))
+    return rows.select("doc_id", "items", "containment", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items, items (sorted), containment (the highest; 0.0 if none reaches the threshold)."""
-    found = None
-    several = False
-    for block in blocks_of(items):
-        part = hits(docs, block)
-        several = found is not None
-        found = found.unionByName(part) if several else part
-    if found is None:
+    parts = [hits(docs, block) for block in blocks_of(items)]
+    if not parts:
         found = docs.select("doc_id", F.array().cast("array<long>").alias("items"), F.lit(0.0).alias("containment"))
-    if several:
-        found = found.groupBy("doc_id").agg(F.flatten(F.collect_list("items")).alias("items"), F.max("containment").alias("containment"))
+    elif len(parts) == 1:
+        found = parts[0]
+    else:
+        found = merged(parts)
     items_sorted = F.array_sort(F.array_distinct("items"))
     return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size(items_sorted).cast("long").alias("n_items"), items_sorted.alias("items"), "containment")
 

@@ -534,6 +534,18 @@ def test_leaks_odd(spark, odd, none):
     assert decontaminate.decontaminate(none, items).count() == 0
 
 
+@pytest.mark.parametrize("most", [decontaminate.BLOCK_SHINGLES, 1])
+def test_leaks_every_row_has_a_result(spark, odd, none, most, monkeypatch):
+    monkeypatch.setattr(decontaminate.blocks_of, "__defaults__", ("item_id", "text", most))
+    items = spark.createDataFrame([(3, "one"), (1, "the quick brown fox jumps over the lazy dog"), (2, "a text without a number is still a text of words"), (4, "one")], "item_id long, text string")
+    assert len(list(decontaminate.blocks_of(items))) == (1 if most > 1 else 4)
+    found = sorted(((r["doc_id"], r["items"], r["n_items"], r["containment"]) for r in decontaminate.decontaminate(odd, items).collect()), key=repr)
+    some = {4: [3, 4], 5: [3, 4], 9: [1]}
+    want = [(r["doc_id"], [2] if r["doc_id"] is None and r["text"] else some.get(r["doc_id"], [])) for r in odd.select("doc_id", "text").collect()]
+    assert found == sorted(((i, x, len(x), float(bool(x))) for i, x in want), key=repr) and [x[0] for x in found].count(5) == [x[0] for x in found].count(None) == 2
+    assert decontaminate.decontaminate(none, items).count() == 0
+
+
 # the pipeline
 
 
