@@ -57,9 +57,12 @@ def clean_title(title: Column) -> Column:
     return F.trim(F.when(long == title, F.regexp_replace(title, rf"^{NAME}\s+\d{{4}}\s*[—–-]?\s*", "")).otherwise(long))
 
 
-def cite_key(base: Column, nth: Column) -> Column:
-    """The base for the first of a key, then with a, b, c and so on."""
-    return F.concat(base, F.when(nth <= 1, "").otherwise(F.char(F.lit(95) + nth)))
+def cite_key(base: Column, nth: Column, title: Column | None = None) -> Column:
+    """The base for the first of a key, then with a to z; past z with three letters of the title's first word of letters only
+    that is longer than three, or x where it has none."""
+    words = F.filter(F.split(F.coalesce(title if title is not None else F.lit(""), F.lit("")), r"\s+"), lambda w: w.rlike(r"^\p{L}{4,}$"))
+    past = F.coalesce(F.initcap(F.substring(F.get(words, F.lit(0)), 1, 3)), F.lit("x"))
+    return F.concat(base, F.when(nth <= 1, "").when(nth <= 27, F.char(F.lit(95) + nth)).otherwise(past))
 
 
 def authors_text(authors: Column) -> Column:

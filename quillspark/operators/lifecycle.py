@@ -165,7 +165,7 @@ def citations(notes: DataFrame) -> DataFrame:
     rows = rows.where("title <> '' AND (author IS NOT NULL OR doi IS NOT NULL)")
     base = F.concat(F.coalesce("author", F.lit("Anon")), F.coalesce(F.col("year").cast("string"), F.lit("")))
     nth = F.row_number().over(W.partitionBy(base).orderBy("slug"))
-    return rows.withColumn("_n", nth).withColumn("cite_key", biblio.cite_key(base, F.col("_n"))).drop("_n")
+    return rows.withColumn("_n", nth).withColumn("cite_key", biblio.cite_key(base, F.col("_n"), F.col("title"))).drop("_n")
 
 
 def merged_citation(*sources: Mapping[str, Column]) -> dict[str, Column]:

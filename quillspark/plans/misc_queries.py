@@ -42,8 +42,8 @@ def title_parse(spark, sf_dir):
 def cite_keys(spark, sf_dir):
     rows = _titles(docs(spark, sf_dir)).where("doc_id < 200 AND doc_id % 4 < 3")  # notes of a bibliography
     base = F.concat(biblio.title_author(F.col("title")), biblio.title_year(F.col("title")))
-    rows = rows.select("doc_id", base.alias("base")).withColumn("n", F.row_number().over(W.partitionBy("base").orderBy("doc_id")))
-    return rows.select("doc_id", biblio.cite_key(F.col("base"), F.col("n")).alias("cite_key"))
+    rows = rows.select("doc_id", "title", base.alias("base")).withColumn("n", F.row_number().over(W.partitionBy("base").orderBy("doc_id")))
+    return rows.select("doc_id", biblio.cite_key(F.col("base"), F.col("n"), biblio.clean_title(F.col("title"))).alias("cite_key"))
 
 
 @register(

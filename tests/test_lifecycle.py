@@ -72,6 +72,12 @@ def test_slugs_and_citations(spark):
     assert tuple(spark.range(1).select(*merged.values()).first()) == ("d", 1)
 
 
+def test_cite_keys_past_z(spark):
+    notes = [(f"s{k:02}", f"Adams et al. 2017 — {'On 2-D HOMOLOGY of it' if k % 2 else 'One of 3'}", "", "") for k in range(30)]
+    got = {r["slug"]: r["cite_key"] for r in C.citations(spark.createDataFrame(notes, "slug string, title string, summary string, body string")).collect()}
+    assert [got[f"s{k:02}"][9:] for k in range(30)] == ["", *"abcdefghijklmnopqrstuvwxyz", "Hom", "x", "Hom"]
+
+
 def test_index_and_config(spark, tmp_path):
     index = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "path string, modificationTime long")
     fresh, gone = C.changed_since(spark.createDataFrame([("a", 2), ("b", 1), ("d", 1)], "path string, modificationTime long"), index)
