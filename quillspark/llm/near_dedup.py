@@ -19,7 +19,8 @@ drifted apart costs its few doubtful pairs.
 
 Odd input: a null text or one without words has an empty set, is linked with nothing and is its own component; a null
 doc_id is linked with nothing and has a null component; rows that repeat a doc_id are one document; ties cannot occur, as
-components are named by their least doc_id; an empty table gives an empty result; other columns are never read.
+components are named by their least doc_id; an empty table gives an empty result; other columns are never read. `keep_one`
+goes by rows where a doc_id is null or repeated, so each row is a document there.
 """
 
 from __future__ import annotations
@@ -233,9 +234,9 @@ def cross_pairs(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested:
     return pairs.distinct().join(tested, ["a", "b"], "left_anti")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
-    signed = saved(signatures(docs))
+def near_dedup(docs: DataFrame, signed: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row. `signed` has the signatures of docs, if they are there."""
+    signed = saved(signatures(docs)) if signed is None else signed
     nodes = saved(signed.where("set_hash IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")))
     rows = key_rows(nodes)
     centres = rows.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -254,10 +255,25 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of every component, with the columns it came with."""
-    dropped = near_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    signed = saved(signatures(docs))
+    if signed.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").limit(1).count():
+        return keep_one_row(docs)
+    dropped = near_dedup(docs, signed).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
     return docs.join(dropped, docs["doc_id"].cast("long") == dropped["_dropped"], "left_anti")
 
 
+def keep_one_row(docs: DataFrame) -> DataFrame:
+    """The same for null and repeated doc_ids: rows have a key of their own, and the row with the least doc_id stays (null is last)."""
+    row = "_row"
+    while row in map(str.lower, docs.columns):
+        row += "_"
+    keyed = saved(docs.withColumn(row, F.monotonically_increasing_id()))
+    ids = keyed.select(F.col(row).alias("r"), F.col("doc_id").cast("long").alias("i"))
+    placed = near_dedup(keyed.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("r"), "component_id")
+    least = placed.join(ids, "r").groupBy("component_id").agg(F.min(F.struct(F.col("i").isNull(), "i", "r"))["r"].alias("_kept"))
+    return keyed.join(least, keyed[row] == least["_kept"], "left_semi").drop(row)
+
+
 #: The same by SQL over the documents of a data folder.
 ORACLE = """
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+') AS ws FROM documents),

@@ -214,6 +214,14 @@ def test_near_dedup_odd(odd, none):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 4, 6, 7, 9, 10, None}
 
 
+def test_keep_one_goes_by_rows(spark):
+    one, two, other = ("the quick brown fox jumps over the lazy dog", "a text of its own with many other words in it", "third of the texts that are not like the rest")
+    rows = [(7, one), (3, one), (3, two), (None, one), (None, other), (None, other), (5, two), (5, two), (8, None), (8, None), (9, "x y"), (9, "x y")]
+    kept = near_dedup.keep_one(spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _row long").repartition(3))
+    assert kept.columns == ["doc_id", "text", "_row"]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(3, one), (3, two), (None, other), (8, None), (8, None), (9, "x y")], key=repr)
+
+
 def test_components_on_paths(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (102, 101), (7, 7)]
     found = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
