@@ -1,8 +1,8 @@
 """Document fingerprints by I-Match over randomised lexicon subsets, in DataFrame functions only.
 
 Terms are lower-cased words, known by a 64-bit hash. A term belongs to the lexicon if its document frequency lies in
-a band of inverse document frequency. Frequencies are counted by the SLOTS values of the hash's low bits, so the
-lexicon is a bitmap of SLOTS bits however large the vocabulary is. The sorted distinct lexicon terms of a
+a band of inverse document frequency. Frequencies are counted by the whole hash, however large the vocabulary is; the terms in
+the band, which are few, are a cuckoo table that every row is looked up in. The sorted distinct lexicon terms of a
 document are split among random subsets of the lexicon (a wide level of SUBSETS disjoint parts, and a narrow level with 1/32 of each for
 long texts), and every subset with a term in the document gives one entry: its number and a hash of the terms. The fingerprint is all
 entries; the likeness of two is the share of their subsets with equal entries, at the level where it is higher.
@@ -41,16 +41,42 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda t: F.xxhash64(t)))
 
 
+def place(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of hashes in a table of a power of two."""
+    return h & (size - 1), (h >> np.int64(32)) & (size - 1)
+
+
+def table_of(known: np.ndarray) -> np.ndarray:
+    """A cuckoo table of distinct hashes: each is at one of its two places, and no other hash is found."""
+    size = 1 << max(6, int(5 * len(known) // 2).bit_length())
+    while True:
+        one, two = (x.tolist() for x in place(known, size))
+        held, full = [-1] * size, True
+        for k in range(len(known)):
+            at = one[k]
+            for _ in range(500):
+                k, held[at] = held[at], k
+                if k < 0:
+                    break
+                at = two[k] if at == one[k] else one[k]
+            else:
+                full = False
+                break
+        if full:
+            table = np.full(size, -1, np.int64)
+            table[-1] = 0  # an empty place holds a hash that belongs elsewhere
+            used = np.array([k >= 0 for k in held])
+            table[used] = known[[k for k in held if k >= 0]]
+            return table
+        size *= 2
+
+
 def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = BAND) -> np.ndarray:
-    """The bitmap of slots in the band, 64 bits a number. At most SLOTS / 64 numbers come to the driver."""
-    slots = docs.select(F.explode(F.array_distinct(F.transform(terms(F.coalesce(F.col(text), F.lit(""))), lambda h: h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")))).alias("slot"))
+    """The table of the terms in the band. At most 1 / band[0] times the mean number of distinct terms come to the driver."""
+    found = docs.select(F.explode(terms(F.coalesce(F.col(text), F.lit("")))).alias("term"))
     total = docs.count()
-    known = slots.groupBy("slot").count().where((F.col("count") >= band[0] * total) & (F.col("count") <= band[1] * total))
-    words = known.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, slot & 63))").alias("bits")).collect()
-    bitmap = np.zeros(SLOTS // 64, np.int64)
-    for r in words:
-        bitmap[r["at"]] = r["bits"]
-    return bitmap
+    known = found.groupBy("term").count().where((F.col("count") >= band[0] * total) & (F.col("count") <= band[1] * total)).select("term")
+    return table_of(np.sort(np.array([r["term"] for r in known.collect()], np.int64)))
 
 
 def entries(chosen: Column, starts: Column, mark: str) -> Column:
@@ -67,10 +93,12 @@ def run_starts(chosen: Column) -> Column:
     return F.when(F.size(chosen) == 0, F.array(F.lit(1))).otherwise(F.array_append(places, F.size(chosen) + 1))
 
 
-def with_entries(df: DataFrame, text: str, bitmap: np.ndarray, out: str) -> DataFrame:
+def with_entries(df: DataFrame, text: str, table: np.ndarray, out: str) -> DataFrame:
     """Adds <out>a and <out>b, the entries of the wide and the narrow level."""
-    lex = F.lit(bitmap)
-    bit = lambda h: F.call_function("shiftright", F.get(lex, F.shiftright(h.bitwiseAND(F.lit(SLOTS - 1)), 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    lex = F.split(F.lit(",".join(map(str, table.tolist()))), ",").cast("array<long>")  # folded into one literal
+    at = lambda h: F.get(lex, h.bitwiseAND(F.lit(len(table) - 1)).cast("int")) == h
+    other = lambda h: F.get(lex, F.call_function("shiftright", h, F.lit(32)).bitwiseAND(F.lit(len(table) - 1)).cast("int")) == h
+    bit = lambda h: at(h) | other(h)
     df = df.withColumn("_all", terms(F.col(text)))
     df = df.withColumn("_some", F.filter("_all", bit))
     df = df.withColumn("_wide", F.sort_array(F.when(F.size("_some") < LEAST, F.col("_all")).otherwise(F.col("_some")))).drop("_all", "_some")
@@ -116,14 +144,14 @@ def with_next(docs: DataFrame, per_range: int = RANGE) -> tuple[DataFrame, W]:
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    bitmap = lexicon(docs)
+    table = lexicon(docs)
     rows, window = with_next(docs)
     n = F.length("text")
     moved = F.floor(n / 4).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - moved), F.coalesce(F.col("_next"), F.lit("")).substr(F.lit(1), moved))
     rows = rows.withColumn("_edited", edited).drop("_next")
-    rows = with_entries(rows, "text", bitmap, "own_")
-    rows = with_entries(rows, "_edited", bitmap, "new_")
+    rows = with_entries(rows, "text", table, "own_")
+    rows = with_entries(rows, "_edited", table, "new_")
     rows = rows.withColumn("next_a", F.lead("own_a").over(window)).withColumn("next_b", F.lead("own_b").over(window)).where("_copy = 0")
     joined = lambda p: F.array_join(F.concat(f"{p}a", f"{p}b"), ".")
     return rows.select(

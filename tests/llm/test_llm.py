@@ -255,6 +255,20 @@ def test_fingerprint_entries_follow_the_lexicon(spark):
     assert out[1]["p_a"] == out[3]["p_a"] and out[2]["p_a"] == []
 
 
+def test_fingerprint_lexicon_goes_by_terms(spark):
+    """More rare terms than slots: none of them is in the lexicon, and all terms of the band are."""
+    texts = spark.range(200).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(2999)), lambda k: F.concat(F.lit("r"), F.col("id") * 3000 + k)), F.when(F.col("id") % 10 == 0, "in band four words").otherwise("every day")).alias("text"))
+    table = fingerprints.lexicon(texts, band=(0.02, 0.15))
+    band = {r["h"] for r in spark.sql("SELECT explode(transform(split('in band four words', ' '), t -> xxhash64(t))) AS h").collect()}
+    assert {h for at, h in enumerate(table.tolist()) if at in [int(p) for p in fingerprints.place(np.int64(h), len(table))]} == band
+    used = fingerprints.with_entries(texts.limit(1), "text", table, "p_").select(F.size("p_a")).first()[0]
+    assert used == len({h >> 58 for h in band})
+    many = np.unique(np.random.default_rng(1).integers(-(2**63), 2**63, 50_000, np.int64))
+    held = fingerprints.table_of(many)
+    one, two = fingerprints.place(many, len(held))
+    assert ((held[one] == many) | (held[two] == many)).all() and len(held) <= 8 * len(many)
+
+
 def test_fingerprints_odd(odd, none):
     found = fingerprints.fingerprints(odd).collect()
     assert len(found) == odd.count()
