@@ -6,21 +6,26 @@ anchor form a segment; equal strings have equal anchors, so they meet wherever s
 
 1. Scan: texts are cut into segments, each with its anchor and a hash of its content. A later copy of a segment within one
    task is decided there and not sent on, so a passage that a third of all documents share costs a row a task.
-2. Group by anchor: a later copy of a segment is covered. Where an anchor has several different segments, their bytes are
-   fetched.
+2. Group by anchor: rows are streamed in order of anchor, content and position, with at most HOT rows held. A later copy of a segment is
+   covered. Where an anchor has several different segments, their bytes are asked for.
 3. Index: the segments of a block of anchors form one text, of which a run-length compressed Burrows-Wheeler transform is built, with a sample of suffix
    array and common prefix length at every run head. Streaming over the text from sample to sample gives every
    position's matching statistic: where the preceding suffix starts, and how long the match is. Matches of LENGTH and
    more chain equal strings together; all but the earliest of a chain are covered.
 4. The covered spans of a document are merged and removed from its text.
 
-Anchors that are common in a sample of documents (frequent short lines amid different text) are not gathered: each string
-of LENGTH bytes around them is a segment and an anchor of its own, so it is decided by step 1 and 2 alone. Which anchors take that way
-changes nothing in the result.
+An anchor with more than HOT different segments (a frequent short line amid different text) is not indexed in one task: the strings of LENGTH bytes
+of its segments are dealt out one by one, each by its own hash, and decided as in steps 1 and 2. Anchors that are common in a sample of documents take
+that way from the scan on. Which anchors take it changes nothing in the result.
 
-Odd input: a null text is empty; texts shorter than LENGTH keep every byte; repeated rows each get the result of their
-doc_id, and equal positions are not earlier than each other; a null doc_id sorts before all others; an empty table gives an empty result; other
-columns are never read.
+Strings count as equal if two 64-bit hashes agree: that of the anchor, or for single strings one with a table of its own, and that of the content.
+
+Texts are shuffled once, by row, at every size of input: what step 3 asks for and what step 4 removes are both joined to that one exchange.
+
+Odd input: a null text is empty; texts shorter than LENGTH keep every byte; texts of any length are cut into pieces of CHUNK bytes that share LENGTH - 1;
+a null doc_id (or one of -2^63) sorts before all others; rows that repeat a doc_id with another text are documents of their own,
+ordered by a hash of the text; rows that repeat both get the same result, and equal positions are not earlier than each other; an empty table
+gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import binary_column, map_arrow, mix, saved
+from quillspark.llm.common import map_arrow, mix, saved
 
 LENGTH = 100
 K = 24
@@ -45,12 +50,13 @@ CHUNK = 1 << PLACE
 COMBINE = 1 << 19
 #: Bytes of one index.
 INDEX = 1 << 19
-#: Documents looked at for common anchors, and the number of them that makes an anchor common.
+#: Documents looked at for common anchors, the number of them that makes an anchor common, and the most of these that are sent out.
 SAMPLE, COMMON = 4000, 16
-#: Requests for segment bytes are sent to the scan up to this number (three numbers each); beyond it texts are shuffled.
-SENT = 2_000_000
+LISTED = 1 << 17
+#: Different segments of an anchor that one index takes.
+HOT = 4096
 NULL_ID = -(1 << 63)
-_TABLE = np.random.default_rng(7).integers(0, 2**63, 256, np.int64).astype(np.uint64)
+_TABLE, _OTHER = np.random.default_rng(7).integers(0, 2**63, (2, 256), np.int64).astype(np.uint64)
 _B = 0x9E3779B97F4A7C15
 
 
@@ -110,7 +116,8 @@ def packed(texts: list[tuple[int, bytes]]):
 def segments(texts: list[tuple[int, bytes]], common: np.ndarray):
     """Arrays (key, content, doc, start, n) of the segments of some texts; n: strings of LENGTH bytes in it."""
     for ids, offsets, parts in packed(texts):
-        values = _TABLE[np.frombuffer(b"".join(parts), np.uint8)]
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        values = _TABLE[data]
         sizes = np.array([len(x) for x in parts])
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         place, grams = anchors(values)
@@ -131,11 +138,26 @@ def segments(texts: list[tuple[int, bytes]], common: np.ndarray):
         n = np.diff(np.append(first, len(at)))
         start, key, part = at[first], key[first], part[first]
         content = substring_hashes(values, start, start + n + LENGTH - 1)
-        if len(common):
-            key = np.where(hot[first], content, key)
+        if len(common) and hot.any():
+            one = np.flatnonzero(hot[first])
+            key[one] = substring_hashes(_OTHER[data], start[one], start[one] + LENGTH)
         yield key.view(np.int64), content.view(np.int64), np.array(ids)[part], start - bounds[part] + np.array(offsets)[part], n
 
 
+def strings_of(texts: list[tuple[int, bytes]], starts: np.ndarray):
+    """The same arrays with every string of LENGTH bytes as a segment of its own; starts: where the texts begin in their documents."""
+    for ids, offsets, parts in packed(texts):
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        sizes = np.array([len(x) for x in parts])
+        part = np.repeat(np.arange(len(parts)), sizes - LENGTH + 1)
+        bounds = np.concatenate([[0], np.cumsum(sizes - LENGTH + 1)])
+        inner = np.arange(len(part)) - bounds[part]
+        at = inner + (np.cumsum(sizes) - sizes)[part]
+        key, content = (substring_hashes(t[data], at, at + LENGTH).view(np.int64) for t in (_OTHER, _TABLE))
+        row = np.array(ids)[part]
+        yield key, content, row, starts[row] + np.array(offsets)[part] + inner, np.ones(len(at), np.int64)
+
+
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
     """Union of spans by document: arrays (doc, start, end)."""
     if not len(doc):
@@ -151,74 +173,170 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
     return doc[first], start[first], np.maximum.reduceat(end, first)
 
 
-def later_copies(key, content, doc, start, n):
-    """Order by key, content and position, and which rows have an earlier copy."""
-    order = np.lexsort((start, doc, content, key))
-    key, content, doc, start, n = (x[order] for x in (key, content, doc, start, n))
-    head = np.append(True, (key[1:] != key[:-1]) | (content[1:] != content[:-1]))
-    top = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
-    later = (doc[top] != doc) | (start[top] != start)
-    return key, content, doc, start, n, head, later
+def ranks(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """Dense ranks of the pairs (doc, tag)."""
+    order = np.lexsort((tag, doc))
+    doc, tag = doc[order], tag[order]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(np.append(False, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]))[: len(order)])
+    return out
 
 
-ROWS = "key long, content long, doc long, start long, n long"
-NAMES = ["key", "content", "doc", "start", "n"]
+#: A segment: anchor, hash of the content, document, hash of its text, and start * 128 + number of strings (at most SPAN). A covered span has 0 strings,
+#: and its length for the hash of a content. A segment whose anchor has too many for one index has ~at.
+ROWS = "key long, content long, doc long, tag long, at long"
+NAMES = ["key", "content", "doc", "tag", "at"]
+SPANS = "doc long, tag long, start long, stop long"
 
 
-def record(*arrays) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a, np.int64)) for a in arrays], NAMES[: len(arrays)] if len(arrays) == 5 else ["doc", "start", "stop"])
+def record(*arrays, names=NAMES) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a, np.int64)) for a in arrays], names)
 
 
-def scan(batches, common: np.ndarray):
-    """Segments that are the first of their content in the task, and spans covered by copies within it (n = -length)."""
-    held, size = [], 0
+def span_rows(doc, tag, start, end) -> pa.RecordBatch:
+    """Covered spans as rows among segments, dealt out by document."""
+    docs = ranks(doc, tag)
+    back = np.zeros(len(doc), np.int64)
+    back[docs] = np.arange(len(doc))
+    r, s, e = merged(docs, start, end)
+    d, t = doc[back[r]], tag[back[r]]
+    return record(mix(d.view(np.uint64) ^ t.view(np.uint64)).view(np.int64), e - s, d, t, s * 128)
 
-    def combined():
-        key, content, doc, start, n, head, later = later_copies(*(np.concatenate(x) for x in zip(*held)))
-        yield record(key[head], content[head], doc[head], start[head], n[head])
-        d, s, e = merged(doc[later], start[later], start[later] + n[later] + LENGTH - 1)
-        yield record(mix(d.astype(np.uint64)).view(np.int64), np.zeros(len(d)), d, s, s - e)
 
-    for b in batches:
-        for arrays in segments(list(zip(b.column(0).to_pylist(), (t or b"" for t in binary_column(b, "text")))), common):
-            held.append(arrays)
-            size += len(arrays[0])
-            if size >= COMBINE:
-                yield from combined()
-                held, size = [], 0
+def combined(held: list[tuple], doc: np.ndarray, tag: np.ndarray):
+    """From arrays (key, content, row, start, n) of one task and the rows' documents: the first segments of each content, and the spans of later copies."""
+    key, content, row, start, n = (np.concatenate(x) for x in zip(*held))
+    place = (ranks(doc, tag)[row] << 40) + start
+    order = np.lexsort((place, key * 0x2545F4914F6CDD1D + content))  # equal ones next to each other, by position
+    key, content, row, start, n, place = (x[order] for x in (key, content, row, start, n, place))
+    head = np.append(True, (key[1:] != key[:-1]) | (content[1:] != content[:-1]))
+    later = place != place[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
+    yield record(key[head], content[head], doc[row[head]], tag[row[head]], start[head] * 128 + n[head])
+    row, start, n = row[later], start[later], n[later]
+    yield span_rows(doc[row], tag[row], start, start + n + LENGTH - 1)
+
+
+def combine(found, often: bool = False):
+    """`combined` over an iterator of (doc, tag, arrays of segments with row numbers within these); often: None after every element and at the end."""
+    held, docs, tags, rows, size = [], [], [], 0, 0
+    for doc, tag, arrays in found:
+        if often:
+            yield None
+        for key, content, row, start, n in arrays:
+            held.append((key, content, row + rows, start, n))
+            size += len(key)
+        docs.append(doc)
+        tags.append(tag)
+        rows += len(doc)
+        if size >= COMBINE:
+            yield from combined(held, np.concatenate(docs), np.concatenate(tags))
+            held, docs, tags, rows, size = [], [], [], 0, 0
     if held:
-        yield from combined()
+        yield from combined(held, np.concatenate(docs), np.concatenate(tags))
+    if often:
+        yield None
+
+
+def scan(batches, common: np.ndarray):
+    """Segments that are the first of their content in the task, and spans covered by copies within it, of rows (doc, tag, data)."""
+
+    def found():
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            at = 0
+            while at < len(texts):  # long texts one by one
+                to, size = at, 0
+                while to < len(texts) and (to == at or size + len(texts[to] or b"") <= CHUNK):
+                    size += len(texts[to] or b"")
+                    to += 1
+                yield b.column(0)[at:to].to_numpy(), b.column(1)[at:to].to_numpy(), segments(list(enumerate(t or b"" for t in texts[at:to])), common)
+                at = to
+
+    yield from combine(found())
+
+
+def dealt(batches):
+    """Of rows (key, doc, tag, at, data): slices (key, doc, tag, start, data) as they are, and the strings of hot ones, with their hash as key and their
+    content's as data; spans covered by copies within the task have no data, and their end as key."""
+    names = ["key", "doc", "tag", "start", "data"]
+
+    def hot_ones(found):
+        for b in batches:
+            at = b.column(3).to_numpy()
+            hot = at < 0
+            if not hot.all():
+                cold = b.filter(pa.array(~hot))
+                found.append(pa.RecordBatch.from_arrays([*(cold.column(k) for k in range(3)), pa.array(at[~hot] >> 7), cold.column(4)], names))
+            if hot.any():
+                c = b.filter(pa.array(hot))
+                starts = ~at[hot] >> 7
+                for k in range(0, c.num_rows, 2048):
+                    d = c.slice(k, 2048)
+                    yield d.column(1).to_numpy(), d.column(2).to_numpy(), strings_of(list(enumerate(d.column(4).to_pylist())), starts[k : k + 2048])
+            else:
+                yield np.empty(0, np.int64), np.empty(0, np.int64), []
+
+    passed: list[pa.RecordBatch] = []
+    for b in combine(hot_ones(passed), often=True):
+        if b is not None:
+            key, content, doc, tag, at = (b.column(k).to_numpy() for k in range(5))
+            span = at & 127 == 0
+            data = [b"" if s else c.tobytes() for s, c in zip(span, content)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(span, (at >> 7) + content, key)), b.column(2), b.column(3), pa.array(at >> 7), pa.array(data, pa.binary())], names)
+        yield from passed
+        passed.clear()
 
 
 def grouped(batches):
-    """Rows sorted by key: covered spans (n < 0) pass; later copies become covered spans; the first of each content is asked
-    for (n > 0) where its key has several."""
-    kept = None
-
-    def decided(rows):
-        key, content, doc, start, n = rows
-        done = n < 0
-        yield record(*(x[done] for x in rows))
-        if done.all():
-            return
-        key, content, doc, start, n, head, later = later_copies(*(x[~done] for x in rows))
-        d, s, e = merged(doc[later], start[later], start[later] + n[later] + LENGTH - 1)
-        yield record(np.zeros(len(d)), np.zeros(len(d)), d, s, s - e)
-        key, content, doc, start, n = (x[head] for x in (key, content, doc, start, n))
-        same = key[1:] == key[:-1]
-        several = np.append(False, same) | np.append(same, False)
-        yield record(*(x[several] for x in (key, content, doc, start, n)))
+    """Rows sorted by all their columns: covered spans pass; later copies become covered spans; the first of each content is asked for
+    where its key has several, as hot where it has more than HOT."""
+    first = None  # the last content so far
+    waiting = [np.empty(0, np.int64)] * 5  # firsts of the last key, while they are HOT at most
+    hot = None  # the last key, if it has more
+
+    def asked(heads):
+        key = heads[0]
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        many = np.diff(np.append(new, len(key)))
+        many = np.repeat(many, many)
+        at = np.where(many > HOT, ~heads[4], heads[4])
+        return record(*(x[many > 1] for x in (*heads[:4], at)))
 
     for b in batches:
         rows = [b.column(k).to_numpy() for k in range(5)]
-        if kept is not None:
-            rows = [np.concatenate(x) for x in zip(kept, rows)]
-        cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0  # the last key may go on
-        if cut:
-            yield from decided([x[:cut] for x in rows])
-        kept = [x[cut:] for x in rows]
-    if kept is not None and len(kept[0]):
-        yield from decided(kept)
+        done = rows[4] & 127 == 0
+        if done.any():
+            yield record(*(x[done] for x in rows))
+            rows = [x[~done] for x in rows]
+        if not len(rows[0]):
+            continue
+        carried = first is not None
+        if carried:
+            rows = [np.append(x, y) for x, y in zip(first, rows)]
+        key, content, doc, tag, at = rows
+        head = np.append(True, (key[1:] != key[:-1]) | (content[1:] != content[:-1]))
+        top = np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))
+        later = (doc != doc[top]) | (tag != tag[top]) | (at != at[top])
+        if later.any():
+            start = at[later] >> 7
+            yield span_rows(doc[later], tag[later], start, start + (at[later] & 127) + LENGTH - 1)
+        first = [x[top[-1]] for x in rows]
+        head[0] &= not carried
+        heads = [x[head] for x in rows]
+        if hot is not None:
+            more = heads[0] == hot
+            yield record(*(x[more] for x in heads[:4]), ~heads[4][more])
+            heads = [x[~more] for x in heads]
+        if not len(heads[0]):
+            continue
+        hot = None
+        heads = [np.append(x, y) for x, y in zip(waiting, heads)]
+        cut = int(np.searchsorted(heads[0], heads[0][-1]))
+        if len(heads[0]) - cut > HOT:
+            cut, hot = len(heads[0]), heads[0][-1]
+        yield asked([x[:cut] for x in heads])
+        waiting = [x[cut:] for x in heads]
+    yield asked(waiting)
 
 
 class RunLengthIndex:
@@ -263,7 +381,7 @@ class RunLengthIndex:
 
 
 def covered_strings(strings: list[bytes], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (doc, start, end) of the strings that are covered by LENGTH-byte matches with earlier places."""
+    """Spans (doc, start, end) of the strings that are covered by LENGTH-byte matches with earlier places; doc: ranks of documents."""
     index = RunLengthIndex(strings)
     above, match = index.stream()
     n = index.n
@@ -271,8 +389,7 @@ def covered_strings(strings: list[bytes], doc: np.ndarray, start: np.ndarray) ->
     owner = np.repeat(np.arange(len(strings)), sizes)
     inner = np.arange(n) - np.repeat(index.ends - sizes + 1, sizes)
     valid = inner + LENGTH < sizes[owner]
-    _, order = np.unique(doc, return_inverse=True)
-    place = (order[owner] << 40) + start[owner] + inner
+    place = (doc[owner] << 40) + start[owner] + inner
     chain = np.where(match >= LENGTH, above, np.arange(n))
     while True:  # to the head of the chain of equal strings
         up = chain[chain]
@@ -288,61 +405,78 @@ def covered_strings(strings: list[bytes], doc: np.ndarray, start: np.ndarray) ->
 
 
 def indexed(batches):
-    """Rows (key, content, doc, start, bytes) sorted by key: covered spans, from an index for each block of whole keys."""
-    strings, docs, starts, size, last = [], [], [], 0, None
+    """What `dealt` gives, sorted by key, data, doc, tag and start: covered spans, from an index for each block of whole keys, and of single strings by their
+    hashes."""
+    names = ["doc", "tag", "start", "stop"]
+    strings, docs, tags, starts, size, last = [], [], [], [], 0, (None,) * 5
 
     def block():
-        return record(*covered_strings(strings, np.array(docs), np.array(starts)))
+        doc, tag = np.array(docs), np.array(tags)
+        docs_ = ranks(doc, tag)
+        back = np.empty(len(doc), np.int64)
+        back[docs_] = np.arange(len(doc))
+        d, s, e = covered_strings(strings, docs_, np.array(starts))
+        return record(doc[back[d]], tag[back[d]], s, e, names=names)
 
     for b in batches:
-        found = b.column(4).to_pylist()
-        whole = [x is not None and len(x) >= LENGTH for x in found]
-        for key, content, doc, start, x, ok in zip(*(b.column(k).to_pylist() for k in range(4)), found, whole):
-            if not ok:
-                continue
-            value = _TABLE[np.frombuffer(x, np.uint8)]
-            if int(substring_hashes(value, np.array([0]), np.array([len(x)])).view(np.int64)[0]) != content:
-                continue  # of another row with the same doc_id
-            if key != last and size >= INDEX:
-                yield block()
-                strings, docs, starts, size = [], [], [], 0
-            last = key
-            strings.append(x)
-            docs.append(doc)
-            starts.append(start)
-            size += len(x) + 1
+        spans = []
+        for row in zip(*(b.column(k).to_pylist() for k in range(5))):
+            key, doc, tag, start, x = row
+            if not x:
+                spans.append((doc, tag, start, key))
+            elif row == last:
+                continue  # of an equal row
+            elif len(x) < LENGTH:
+                if last[0] == key and last[4] == x:
+                    spans.append((doc, tag, start, start + LENGTH))
+                    continue  # the first one stays the last seen
+            else:
+                if size >= INDEX and key != last[0]:
+                    yield block()
+                    strings, docs, tags, starts, size = [], [], [], [], 0
+                strings.append(x)
+                docs.append(doc)
+                tags.append(tag)
+                starts.append(start)
+                size += len(x) + 1
+            last = row
+        if spans:
+            yield record(*map(np.array, zip(*spans)), names=names)
     if strings:
         yield block()
 
 
 def common_anchors(texts: DataFrame, sample: int = SAMPLE, common: int = COMMON) -> np.ndarray:
-    """Anchors of many documents of a hash sample; at most a fixed number comes to the driver, whatever the input."""
+    """Anchors of many documents of a hash sample, the LISTED commonest of them at most; a fixed number comes to the driver, whatever the input."""
     rows = texts.count()
-    few = texts.where(F.pmod(F.xxhash64("doc"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / max(rows, 1)) * (1 << 30))))
+    few = texts.where(F.pmod(F.xxhash64("doc", "tag"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / max(rows, 1)) * (1 << 30))))
 
     def look(batches):
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), binary_column(b, "text")):
-                keys = [np.unique(x[0]) for x in segments([(i, t or b"")], np.empty(0, np.uint64))]
+            for t in b.column(2).to_pylist():
+                keys = [np.unique(x[0]) for x in segments([(0, t or b"")], np.empty(0, np.uint64))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64))], ["key"])
 
-    found = map_arrow(few, look, "key long").groupBy("key").count().where(F.col("count") >= common).select("key").toPandas()
+    found = map_arrow(few, look, "key long").groupBy("key").count().where(F.col("count") >= common).orderBy(F.desc("count"), "key").limit(LISTED).select("key").toPandas()
     return np.sort(found["key"].to_numpy(np.int64).view(np.uint64))
 
 
+def by_key(rows: DataFrame, *order: str) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key", *order)
+
+
 def covered(texts: DataFrame) -> DataFrame:
-    """doc, start, stop: spans of the texts (doc, text) that are covered, overlapping each other in places."""
+    """doc, tag, start, stop: spans of the texts (doc, tag, data) that are covered, overlapping each other in places."""
     common = texts.sparkSession.sparkContext.broadcast(common_anchors(texts))
     rows = map_arrow(texts, lambda batches: scan(batches, common.value), ROWS)
-    found = saved(map_arrow(rows.repartition("key").sortWithinPartitions("key"), grouped, ROWS))
-    spans = found.where("n < 0").select("doc", "start", (F.col("start") - F.col("n")).alias("stop"))
-    asked = found.where("n > 0").select(F.col("doc").alias("_doc"), "key", "content", (F.col("start") * 128 + F.col("n")).alias("_at"))  # n is at most SPAN
-    if asked.count() <= SENT:
-        asked = F.broadcast(asked)
-    data = texts.select("doc", F.col("text").cast("binary").alias("_data")).join(asked, F.col("doc") == F.col("_doc"))
-    data = data.withColumn("start", F.shiftright("_at", 7)).withColumn("n", F.col("_at") % 128)
-    data = data.select("key", "content", "doc", "start", F.substring("_data", (F.col("start") + 1).cast("int"), (F.col("n") + (LENGTH - 1)).cast("int")).alias("data"))
-    return spans.union(map_arrow(data.repartition("key").sortWithinPartitions("key"), indexed, "doc long, start long, stop long"))
+    found = saved(map_arrow(by_key(rows, "content", "doc", "tag", "at"), grouped, ROWS))
+    asked = found.where("at < 0 OR at & 127 <> 0").select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), "key", "at")
+    # the asked rows are the hashed side, so that texts are not sorted
+    data = texts.join(asked.hint("shuffle_hash"), (F.col("doc") == F.col("_doc")) & (F.col("tag") == F.col("_tag")))
+    place, strings = F.expr("shiftright(IF(at < 0, ~at, at), 7)"), F.expr("IF(at < 0, ~at, at) & 127")
+    data = data.select("key", "doc", "tag", "at", F.substring("data", (place + 1).cast("int"), (strings + (LENGTH - 1)).cast("int")).alias("data"))
+    data = by_key(map_arrow(data, dealt, "key long, doc long, tag long, start long, data binary"), "data", "doc", "tag", "start")
+    return found.where("at & 127 = 0 AND at >= 0").select("doc", "tag", F.shiftright("at", 7).alias("start"), (F.shiftright("at", 7) + F.col("content")).alias("stop")).union(map_arrow(data, indexed, SPANS))
 
 
 def cut(text: bytes, starts: list[int], stops: list[int]) -> tuple[bytes, int, int]:
@@ -363,15 +497,15 @@ def cut(text: bytes, starts: list[int], stops: list[int]) -> tuple[bytes, int, i
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
-    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text).alias("text"))
-    spans = covered(texts).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    spans = spans.select(F.col("doc").alias("_doc"), "spans")
-    rows = texts.join(spans, texts["doc"] == spans["_doc"], "left").select("doc", "text", "spans.start", "spans.stop")
+    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("tag"), F.col(text).cast("binary").alias("data"))
+    spans = covered(texts).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = spans.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), "spans").hint("shuffle_hash")
+    rows = texts.join(spans, (F.col("doc") == F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left").select("doc", "data", "spans.start", "spans.stop")
 
     def finish(batches):
         for b in batches:
             out = []
-            for t, s, e in zip(binary_column(b, "text"), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for t, s, e in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 kept, gone, spans = cut(t or b"", s or [], e or [])
                 out.append((len(t or b""), gone, spans, hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*out)) or [()] * 4

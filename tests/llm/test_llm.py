@@ -487,6 +487,27 @@ def test_repeats_against_brute_force(spark, common, monkeypatch):
     assert {r["doc_id"]: tuple(r)[1:] for r in found} == brute_repeats(rows)
 
 
+@pytest.mark.parametrize(("hot", "index"), [(1, 1 << 19), (3, 1 << 19), (4096, 600)])
+def test_repeats_by_single_strings_and_small_blocks(spark, hot, index, monkeypatch):
+    """Anchors with more than `hot` segments go by single strings; the result is the same."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "INDEX", index)
+    rows = repetitive(7)
+    found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in found} == brute_repeats(rows)
+
+
+def test_repeats_keep_to_their_own_text(spark):
+    """Rows that share a doc_id, or have none, but hold different texts are documents of their own."""
+    r = random.Random(3)
+    x, y, z = ("".join(r.choice("abcdefgh ") for _ in range(400)) for _ in range(3))
+    rows = [(1, x), (7, y), (7, x), (7, z), (None, z), (None, z[:150] + "!" + z[150:]), (9, z)]
+    found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in found), key=repr)
+    assert [g for g in got if g[0] is not None] == [(1, 400, 0), (7, 400, 0), (7, 400, 400), (7, 400, 400), (9, 400, 400)]
+    assert {k for i, _, k in got if i is None} == {0, 400}  # the earlier one by the hash of its text keeps all
+
+
 def test_repeats_small_chunks_and_blocks(spark, monkeypatch):
     """Cuts in every place: between pieces of a text, combined segments, and index blocks."""
     rows = repetitive(4)
