@@ -556,9 +556,11 @@ def brute_leaks(rows, items):
     return out
 
 
-@pytest.mark.parametrize("most", [decontaminate.BLOCK_SHINGLES, 60])
-def test_leaks_against_brute_force(spark, rows, most, monkeypatch):
-    monkeypatch.setattr(decontaminate.blocks_of, "__defaults__", ("item_id", "text", most))
+@pytest.mark.parametrize(("bits", "common"), [(28, 16), (5, 2)])  # filters of 32 bits let nearly everything through
+def test_leaks_against_brute_force(spark, rows, bits, common, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", min(bits, 16))
+    monkeypatch.setattr(decontaminate, "COMMON", common)
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(900, "the"), (901, None), (902, " "), (903, "of and the")]
     words = items[0][1].split()
     extra = [(5000, "x y z " + " ".join(words[: len(words) - len(words) // 5]) + " q"), (5001, " ".join(words[: len(words) // 2])), (5002, None)]
@@ -577,11 +579,12 @@ def test_leaks_odd(spark, odd, none):
     assert decontaminate.decontaminate(none, items).count() == 0
 
 
-@pytest.mark.parametrize("most", [decontaminate.BLOCK_SHINGLES, 1])
-def test_leaks_every_row_has_a_result(spark, odd, none, most, monkeypatch):
-    monkeypatch.setattr(decontaminate.blocks_of, "__defaults__", ("item_id", "text", most))
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_leaks_every_row_has_a_result(spark, odd, none, sent, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SENT", sent)
     items = spark.createDataFrame([(3, "one"), (1, "the quick brown fox jumps over the lazy dog"), (2, "a text without a number is still a text of words"), (4, "one")], "item_id long, text string")
-    assert len(list(decontaminate.blocks_of(items))) == (1 if most > 1 else 4)
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in decontaminate.keep_clean(odd, items).collect())
+    assert kept == sorted((r["doc_id"] or 0, r["text"] or "") for r in odd.collect() if r["doc_id"] not in (4, 5, 9) and not (r["doc_id"] is None and r["text"]))
     found = sorted(((r["doc_id"], r["items"], r["n_items"], r["containment"]) for r in decontaminate.decontaminate(odd, items).collect()), key=repr)
     some = {4: [3, 4], 5: [3, 4], 9: [1]}
     want = [(r["doc_id"], [2] if r["doc_id"] is None and r["text"] else some.get(r["doc_id"], [])) for r in odd.select("doc_id", "text").collect()]
