@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 STOP = 3
 RULES = (
     (3, r"\b(sudo\s+rm\s+-rf\s*/\s*$|mkfs\.|dd\s+if=.*\s+of=/dev/)"),
+    (3, r":\(\)\s*\{\s*:\s*\|\s*:\s*&\s*\}\s*;"),
     (2, r"(?:^|[;&|\n]\s*)find\b[^\n;|]*\s-(?:delete|exec|execdir|ok|okdir)\b"),
     (2, r"\brm\b[^\n;|]*\s--(?:recursive|force|dir)\b"),
     (2, r"\brmdir\b"),

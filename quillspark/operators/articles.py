@@ -44,9 +44,16 @@ def article_view(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 def postings(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
-    """key, term, tf, max_tf. Counts are combined before the shuffle, as a document is in one task."""
-    counts = docs.select(key, F.explode(text.tokens(F.col(body))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    return counts.withColumn("max_tf", F.max("tf").over(W.partitionBy(key)))
+    """key, term, tf, max_tf, counted within the row: a term's count is the length of its run among the sorted tokens, so tokens are not shuffled."""
+    at = lambda p: F.try_element_at("_t", p)
+    rows = docs.select(key, F.sort_array(text.tokens(F.col(body))).alias("_t"))
+    first = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_t"), F.lit(1))), lambda p: (p == 1) | (at(p) != at(F.greatest(p - 1, F.lit(1)))))
+    rows = rows.select(key, "_t", first.alias("_f"))
+    rows = rows.select(key, "_t", "_f", F.array_append(F.slice("_f", F.lit(2), F.size("_t") + 1), F.size("_t") + 1).alias("_e"))
+    rows = rows.select(key, F.zip_with("_f", "_e", lambda p, e: F.struct(at(p).alias("term"), (e - p).cast("long").alias("tf"))).alias("_c"))
+    rows = rows.select(key, "_c", F.array_max(F.transform("_c", lambda c: c["tf"])).alias("max_tf"))
+    # an outer explode: from an inner one a filter on the size is inferred, which would count once more below
+    return rows.select(key, F.explode_outer("_c").alias("_c"), "max_tf").select(key, "_c.term", "_c.tf", "max_tf").where("term IS NOT NULL")
 
 
 def document_frequencies(posted: DataFrame, total: DataFrame, key: str = "doc_id") -> DataFrame:

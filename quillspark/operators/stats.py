@@ -134,6 +134,17 @@ def metric_labels(metrics: DataFrame) -> DataFrame:
     return out.withColumn("human_pct", F.round(human / len(HUMAN) * 100).cast("int"))
 
 
+#: Metrics that the share of people's texts is taken over.
+SHARE_OF = ("sentence_std", "sentence_cv", "ttr", "hapax_ratio", "avg_word_len")
+
+
+def human_share(metrics: DataFrame) -> DataFrame:
+    """The rows with human_pct: metrics in the range of people count whole, those in both ranges half; half to even."""
+    label = {n: scores.metric_label(F.col(n), HUMAN[n], AI[n]) for n in SHARE_OF}
+    points = sum(F.when(x == "human", 1.0).when(x == "overlap", 0.5).otherwise(0.0) for x in label.values())
+    return metrics.withColumn("human_pct", F.bround(points / len(SHARE_OF) * 100).cast("int"))
+
+
 def category_ratios(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
     """Counts and shares of word categories, within the row."""
     rows = docs.select(key, text.words(F.col(body)).alias("_w"))

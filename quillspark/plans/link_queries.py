@@ -10,7 +10,7 @@ from quillspark.operators import linking as L
 from quillspark.plans import sql
 from quillspark.plans.article_queries import view
 from quillspark.plans.registry import register
-from quillspark.session import table
+from quillspark.session import saved, table
 
 
 def tiered(spark, sf_dir):
@@ -19,8 +19,13 @@ def tiered(spark, sf_dir):
     return L.tiers(kw, L.frequencies(kw, docs))
 
 
+def kept(spark, sf_dir):
+    """The same, written once: ten short rows a document, which joins with itself read several times."""
+    return saved(tiered(spark, sf_dir))
+
+
 def mutual_edges(spark, sf_dir):
-    rank = L.ranked(L.candidates(tiered(spark, sf_dir)))
+    rank = L.ranked(L.candidates(kept(spark, sf_dir)))
     budget = L.budgets(view(spark, sf_dir, confidence=True))
     return L.mutual(rank, budget), rank, budget
 
@@ -32,7 +37,7 @@ def link_tiers(spark, sf_dir):
 
 @register("link_candidates", f"WITH {sql.CANDIDATES} SELECT a, b, round(score, 6) AS score FROM cnd")
 def link_candidates(spark, sf_dir):
-    return L.candidates(tiered(spark, sf_dir)).select("a", "b", F.round("score", 6).alias("score"))
+    return L.candidates(kept(spark, sf_dir)).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @register("link_budget", f"WITH {sql.ARTICLES}, {sql.BUDGETS} SELECT doc_id, budget FROM bud")
@@ -58,25 +63,25 @@ _plain = f"WITH {sql.KEYWORDS}, {_freq}, br AS (SELECT doc_id, kw, idf FROM kw J
 @register("link_legacy_idf", f"{_plain} SELECT a, b, round(score, 6) AS score FROM (SELECT x.doc_id AS a, y.doc_id AS b, round(sum(x.idf), 9) AS score FROM br x JOIN br y ON x.kw = y.kw AND x.doc_id < y.doc_id GROUP BY 1, 2) WHERE score >= 5.5")
 def link_legacy_idf(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    kw = A.keywords(docs)
+    kw = saved(A.keywords(docs))
     return L.legacy_idf(kw, L.frequencies(kw, docs)).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @register("link_legacy_count", f"{_plain} SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM br x JOIN br y ON x.kw = y.kw AND x.doc_id < y.doc_id GROUP BY 1, 2 HAVING count(*) >= 2")
 def link_legacy_count(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    kw = A.keywords(docs)
+    kw = saved(A.keywords(docs))
     return L.legacy_count(kw, L.frequencies(kw, docs))
 
 
 @register("merge_candidates", f"WITH {sql.TIERS}, {sql.MERGES} SELECT a, b, ratio FROM mrg")
 def merge_candidates(spark, sf_dir):
-    return L.merge_candidates(tiered(spark, sf_dir))
+    return L.merge_candidates(kept(spark, sf_dir))
 
 
 @register("supersede_losers", f"WITH {sql.TIERS}, {sql.MERGES}, p AS (SELECT a, b, 'doc-' || a AS x, 'doc-' || b AS y FROM mrg), l AS (SELECT CASE WHEN len(x) > len(y) THEN x ELSE y END AS loser, CASE WHEN len(x) > len(y) THEN y ELSE x END AS winner, a, b FROM p) SELECT loser, winner FROM (SELECT *, row_number() OVER (PARTITION BY loser ORDER BY a DESC, b DESC) AS r FROM l) WHERE r = 1")
 def supersede_losers(spark, sf_dir):
-    return L.superseded(L.merge_candidates(tiered(spark, sf_dir)))
+    return L.superseded(L.merge_candidates(kept(spark, sf_dir)))
 
 
 _report = """dg AS (SELECT d, count(*) AS c FROM (SELECT a AS d FROM mut UNION ALL SELECT b FROM mut) GROUP BY d), z AS (SELECT budget, coalesce(c, 0) AS c FROM bud LEFT JOIN dg ON doc_id = d)
@@ -165,10 +170,10 @@ def graph_degree(spark, sf_dir):
     return G.degrees(graph(spark, sf_dir)[1])
 
 
-@register("graph_vis_export", f"WITH n AS (SELECT node_id FROM ({_nodes_sql}) WHERE node_id NOT LIKE 'c%' ORDER BY node_id LIMIT 500), e AS ({_edges_sql}) SELECT source, target FROM e WHERE source IN (SELECT node_id FROM n) AND target IN (SELECT node_id FROM n) ORDER BY source, target LIMIT 5000")
+@register("graph_vis_export", f"WITH n AS (SELECT node_id FROM ({_nodes_sql}) ORDER BY node_id LIMIT 500), e AS ({_edges_sql}) SELECT source, target FROM e WHERE source IN (SELECT node_id FROM n) AND target IN (SELECT node_id FROM n) ORDER BY source, target LIMIT 5000")
 def graph_vis_export(spark, sf_dir):
     nodes, edges = graph(spark, sf_dir)
-    return G.exported(nodes.where("node_id NOT LIKE 'c%'"), edges)[1]
+    return G.exported(nodes, edges)[1]
 
 
 @register("graph_unique_edges", f"WITH e AS ({_edges_sql}), b AS (SELECT * FROM e UNION ALL SELECT target, source FROM e) SELECT least(source, target) AS source, greatest(source, target) AS target FROM b GROUP BY 1, 2")

@@ -37,12 +37,15 @@ def title_parse(spark, sf_dir):
 
 @register(
     "cite_keys",
-    "WITH k AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Adams' || (2000 + doc_id % 20) WHEN 1 THEN 'Conti' || (2000 + doc_id % 20) WHEN 2 THEN 'Smith' || (1990 + doc_id % 30) END AS base FROM documents WHERE doc_id < 200 AND doc_id % 4 < 3), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS n FROM k) SELECT doc_id, base || CASE WHEN n = 1 THEN '' ELSE chr(CAST(95 + n AS INT)) END AS cite_key FROM r",
+    """WITH k AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Adams' || (2000 + doc_id % 20) WHEN 1 THEN 'Conti' || (2000 + doc_id % 20) WHEN 2 THEN 'Smith' || (1990 + doc_id % 30) END AS base, CASE doc_id % 4 WHEN 0 THEN 'x' ELSE 'Ite' END AS past FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS n FROM k WHERE base IS NOT NULL)
+SELECT doc_id, base || CASE WHEN n = 1 THEN '' WHEN n <= 27 THEN chr(CAST(95 + n AS INT)) ELSE past END AS cite_key FROM r""",
 )
 def cite_keys(spark, sf_dir):
-    rows = _titles(docs(spark, sf_dir)).where("doc_id < 200 AND doc_id % 4 < 3")  # notes of a bibliography
+    rows = _titles(docs(spark, sf_dir))
     base = F.concat(biblio.title_author(F.col("title")), biblio.title_year(F.col("title")))
-    rows = rows.select("doc_id", "title", base.alias("base")).withColumn("n", F.row_number().over(W.partitionBy("base").orderBy("doc_id")))
+    rows = rows.select("doc_id", "title", base.alias("base")).where("base IS NOT NULL")  # titles without an author or a year have no key
+    rows = rows.withColumn("n", F.row_number().over(W.partitionBy("base").orderBy("doc_id")))
     return rows.select("doc_id", biblio.cite_key(F.col("base"), F.col("n"), biblio.clean_title(F.col("title"))).alias("cite_key"))
 
 
@@ -58,14 +61,18 @@ def bibtex(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", e.alias("entry"))
 
 
-ACTIONS = ("ls -la", "rm -rf build", "git push origin main --force", "DROP TABLE users", "edit file", "find . -delete", "git status", "sudo rm -rf /", "delete from t", "pytest")
-TIERS = (0, 2, 2, 2, 1, 2, 0, 3, 2, 1)
+ACTIONS = ("ls -la", "rm -rf build", "git push origin main --force", "DROP TABLE users", "edit file", "find . -delete", "git status", "sudo rm -rf /", "delete from t", "pytest", "rm --dir old", "truncate logs", "chmod 777 /etc/x", ":(){ :|:& };:", "dd if=a of=/dev/sda", "python3 -c 'import shutil; shutil.rmtree(p)'")
+_listed = ", ".join("'" + a.replace("'", "''") + "'" for a in ACTIONS)
+_rules = " ".join(f"WHEN regexp_matches(action, '{pattern}') THEN {tier}" for tier, pattern in risk.RULES)
 
 
-@register("risk_tiers", f"SELECT event_id, [{', '.join(map(str, TIERS))}][CAST(event_id % 10 + 1 AS INT)] AS tier FROM events")
+@register("risk_tiers", f"WITH a AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN coalesce(text, '') || ' ; ' ELSE '' END || [{_listed}][CAST((conv_id + turn) % {len(ACTIONS)} + 1 AS INT)] || CASE WHEN turn % 3 = 1 THEN ' ' || coalesce(text, '') ELSE '' END AS action FROM conversations) SELECT conv_id, turn, CASE {_rules} ELSE {risk.DEFAULT} END AS tier FROM a")
 def risk_tiers(spark, sf_dir):
-    action = F.element_at(F.array(*map(F.lit, ACTIONS)), (F.col("event_id") % 10 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", risk.risk_tier(action).alias("tier"))
+    """Commands before, after and without the text of a turn."""
+    body, turn = F.coalesce("text", F.lit("")), F.col("turn")
+    command = F.element_at(F.array(*map(F.lit, ACTIONS)), ((F.col("conv_id") + turn) % len(ACTIONS) + 1).cast("int"))
+    action = F.concat(F.when(turn % 3 == 0, F.concat(body, F.lit(" ; "))).otherwise(""), command, F.when(turn % 3 == 1, F.concat(F.lit(" "), body)).otherwise(""))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", risk.risk_tier(action).alias("tier"))
 
 
 @register("slugs", "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(lower(text), '[^a-z0-9\\s-]', '', 'g'), ' ', '-')[1:50], '-+', '-', 'g'), '^-+', ''), '-+$', '') AS slug FROM documents")

@@ -15,21 +15,51 @@ from quillspark.plans.registry import register
 from quillspark.session import table
 
 
-@register("rewrite_vocabulary", "SELECT doc_id, 'Also, document ' || doc_id || ' shows a key point. We use it and look into it.' AS rewritten FROM documents")
+# whole texts with phrases of every kind put before and behind them
+_HEAD, _TAIL = "moreover, it is clear that this demonstrates a crucial point . ", " We leverage it and  delve deeper. They are here. In conclusion, it is statistically significant."
+_planted = f"'{_HEAD}' || coalesce(text, '') || '{_TAIL}'"
+
+
+def planted(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(_HEAD), F.coalesce("text", F.lit("")), F.lit(_TAIL)).alias("text"))
+
+
+def _vocabulary_sql(x: str) -> str:
+    for phrase in sorted(RW.SUBSTITUTIONS, key=len, reverse=True):
+        to, p = RW.SUBSTITUTIONS[phrase], phrase.replace("'", "''")
+        x = f"regexp_replace({x}, '\\b{p[0].upper()}(?i:{p[1:]})\\b', '{to.capitalize()}', 'g')"
+        x = f"regexp_replace({x}, '\\b(?i:{p})\\b', '{to}', 'g')"
+    for pattern, to in ((" {2,}", " "), (" ,", ","), (r" \.", "."), (r"\.\.+", "."), (r",\s*,", ","), (r"\.,\s", ". "), (r"(?i)\b(practically|statistically|clinically|economically)(\s+)large\b", r"\1\2significant"), (r"(?i)\b(statistical)(\s+)large\b", r"\1\2significance"), (" {2,}", " ")):
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return x
+
+
+@register("rewrite_vocabulary", f"SELECT doc_id, upper(r[1:1]) || r[2:] AS rewritten FROM (SELECT doc_id, {_vocabulary_sql(_planted)} AS r FROM documents)")
 def rewrite_vocabulary(spark, sf_dir):
-    t = F.concat(F.lit("Moreover, document "), F.col("doc_id"), F.lit(" demonstrates a crucial point . We leverage it and  delve it."))
-    return table(spark, sf_dir, "documents").select("doc_id", F.replace(RW.vocabulary(t), F.lit("look into it"), F.lit("look into it")).alias("rewritten"))
+    return planted(spark, sf_dir).select("doc_id", RW.vocabulary(F.col("text")).alias("rewritten"))
+
 
+def _contracted(s: str) -> str:
+    for phrase, to in RW.CONTRACTIONS.items():
+        to = to.replace("'", "''")
+        s = f"regexp_replace({s}, '(?i)\\b{phrase}\\b', '{to}')"
+    return s
 
-@register("rewrite_contractions", "SELECT doc_id, 'it''s ' || doc_id || ' and we don''t stop. It is so. They''re here now.' AS rewritten FROM documents")
+
+@register(
+    "rewrite_contractions",
+    f"""WITH s AS (SELECT doc_id, t, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')) >= 2) AS l FROM (SELECT doc_id, {_planted} AS t FROM documents))
+SELECT doc_id, CASE WHEN len(l) < 3 THEN t ELSE array_to_string(list_transform(l, lambda x, i: CASE WHEN (i - 1) % 3 = 0 THEN regexp_replace(CASE WHEN (i - 1) % 2 = 0 THEN {_contracted('x')} ELSE x END, 'do not', 'don''t') WHEN (i - 1) % 3 = 1 THEN regexp_replace(CASE WHEN (i - 1) % 2 = 0 THEN {_contracted('x')} ELSE x END, 'cannot', 'can''t') ELSE CASE WHEN (i - 1) % 2 = 0 THEN {_contracted('x')} ELSE x END END), ' ') END AS rewritten FROM s""",
+)
 def rewrite_contractions(spark, sf_dir):
-    t = F.concat(F.lit("it is "), F.col("doc_id"), F.lit(" and we do not stop. It is so. They are here now."))
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(RW.contractions(t), "they're here", "They're here").alias("rewritten"))
+    return planted(spark, sf_dir).select("doc_id", RW.contractions(F.col("text")).alias("rewritten"))
 
 
 @register("rewrite_scores")
 def rewrite_scores(spark, sf_dir):
-    return RW.sweep_scores(table(spark, sf_dir, "documents"))
+    from quillspark.plans.stat_queries import PHRASES
+
+    return RW.sweep_scores(table(spark, sf_dir, "documents"), spark.createDataFrame(PHRASES, "word string, category string, ratio string"))
 
 
 _stops = ", ".join(f"'{w}'" for w in text.KEYWORD_STOPS)
@@ -51,11 +81,17 @@ def batch_ingest(spark, sf_dir):
     return R.ingested(docs.select("doc_id", "text"), kw, name="doc_id").select("doc_id", "outcome")
 
 
-@register("report_validation", "SELECT event_id, event_id % 4 = 0 AS valid FROM events")
+@register(
+    "report_validation",
+    "SELECT conv_id, turn, turn % 5 <> 4 AND role IS NOT NULL AND text IS NOT NULL AND turn % 5 <> 3 AND turn % 5 <> 2 AS valid FROM conversations",
+)
 def report_validation(spark, sf_dir):
-    i = F.col("event_id") % 4
-    doc = F.when(i == 0, '{"status":"complete","summary":"s","evidence":"e"}').when(i == 1, '{"status":"odd","summary":"s","evidence":"e"}').when(i == 2, '{"status":"complete"}').otherwise("not json")
-    return table(spark, sf_dir, "events").select("event_id", (F.size(R.report_errors(doc)) == 0).alias("valid"))
+    """Turns as reports: known and unknown statuses, a field left out, and texts that are no JSON."""
+    kind = F.col("turn") % 5
+    status = F.when(kind == 0, "complete").when(kind == 1, "blocked").when(kind == 2, "odd").otherwise("continue")
+    doc = F.to_json(F.struct(status.alias("status"), F.substring("text", 1, 2000).alias("summary"), F.when(kind != 3, F.col("role")).alias("evidence")))
+    doc = F.when(kind == 4, F.concat(F.lit("not json "), F.coalesce("text", F.lit("")))).otherwise(doc)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.size(R.report_errors(doc)) == 0).alias("valid"))
 
 
 @register(

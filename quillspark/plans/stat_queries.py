@@ -161,10 +161,10 @@ def file_metrics(spark, sf_dir):
 def order_tasks(spark, sf_dir):
     t = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "qa_passed").when(F.col("o_orderstatus") == "O", "ready").otherwise("in_progress")
-    return t.select(F.col("o_orderkey").alias("task_id"), (F.col("o_custkey") % 50).alias("assignee"), (F.col("o_custkey") % 20).alias("project"), status.alias("status"), F.when(F.col("o_orderpriority").startswith("1"), "red").when(F.col("o_orderpriority").startswith("2"), "yellow").otherwise("green").alias("urgency"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), F.col("o_orderdate").alias("created_at"))
+    return t.select(F.col("o_orderkey").alias("task_id"), (F.col("o_custkey") % 50).alias("assignee"), (F.col("o_custkey") % 20).alias("project"), F.col("o_custkey").alias("customer"), status.alias("status"), F.when(F.col("o_orderpriority").startswith("1"), "red").when(F.col("o_orderpriority").startswith("2"), "yellow").otherwise("green").alias("urgency"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), F.col("o_orderdate").alias("created_at"))
 
 
-_tasks = "tk AS (SELECT o_orderkey AS task_id, o_custkey % 50 AS assignee, o_custkey % 20 AS project, CASE o_orderstatus WHEN 'F' THEN 'qa_passed' WHEN 'O' THEN 'ready' ELSE 'in_progress' END AS status, CASE o_orderpriority[1] WHEN '1' THEN 'red' WHEN '2' THEN 'yellow' ELSE 'green' END AS urgency, CAST(o_orderpriority[1] AS INT) AS priority, o_orderdate AS created_at FROM orders)"
+_tasks = "tk AS (SELECT o_orderkey AS task_id, o_custkey % 50 AS assignee, o_custkey % 20 AS project, o_custkey AS customer, CASE o_orderstatus WHEN 'F' THEN 'qa_passed' WHEN 'O' THEN 'ready' ELSE 'in_progress' END AS status, CASE o_orderpriority[1] WHEN '1' THEN 'red' WHEN '2' THEN 'yellow' ELSE 'green' END AS urgency, CAST(o_orderpriority[1] AS INT) AS priority, o_orderdate AS created_at FROM orders)"
 _runs = "rn AS (SELECT l_orderkey AS task_id, l_linenumber AS run, CASE l_returnflag WHEN 'R' THEN 'crashed' WHEN 'A' THEN 'completed' ELSE 'failed' END AS outcome FROM lineitem)"
 
 
@@ -200,11 +200,12 @@ def retry_distribution(spark, sf_dir):
 
 @register(
     "dispatch_caps",
-    f"WITH {_tasks}, b AS (SELECT assignee, count(*) AS busy FROM tk WHERE status = 'in_progress' AND task_id % 40 = 0 GROUP BY 1), r AS (SELECT t.*, row_number() OVER (PARTITION BY t.assignee ORDER BY priority, created_at, task_id) AS rk, coalesce(busy, 0) AS busy FROM tk t LEFT JOIN b ON t.assignee = b.assignee WHERE status = 'ready') SELECT task_id, assignee, priority FROM r WHERE rk <= 3 - busy ORDER BY priority, created_at, task_id LIMIT 20",
+    f"WITH {_tasks}, b AS (SELECT customer, count(*) AS busy FROM tk WHERE status = 'in_progress' GROUP BY 1), r AS (SELECT t.*, row_number() OVER (PARTITION BY t.customer ORDER BY priority, created_at, task_id) AS rk, coalesce(busy, 0) AS busy FROM tk t LEFT JOIN b ON t.customer = b.customer WHERE status = 'ready') SELECT task_id, customer AS assignee, priority FROM r WHERE rk <= 3 - busy ORDER BY priority, created_at, task_id LIMIT 20",
 )
 def dispatch_caps(spark, sf_dir):
-    t = order_tasks(spark, sf_dir)
-    return Q.dispatched(t.where("status = 'ready'"), t.where("status = 'in_progress' AND task_id % 40 = 0"), 3, 20).select("task_id", "assignee", "priority")
+    """Every customer is an assignee, with at most three tasks at a time."""
+    t = order_tasks(spark, sf_dir).withColumn("assignee", F.col("customer"))
+    return Q.dispatched(t.where("status = 'ready'"), t.where("status = 'in_progress'"), 3, 20).select("task_id", "assignee", "priority")
 
 
 @register("task_list", f"WITH {_tasks} SELECT task_id, urgency, priority FROM tk WHERE status = 'ready' AND project = 3 ORDER BY CASE urgency WHEN 'red' THEN 0 WHEN 'yellow' THEN 1 ELSE 2 END, priority, created_at, task_id LIMIT 100")

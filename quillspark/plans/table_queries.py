@@ -17,10 +17,10 @@ def events(spark, sf_dir):
 
 @register(
     "ts_bucket_hour",
-    "SELECT date_trunc('hour', ts) AS bucket, count(*) AS n, min(value) AS value_min, max(value) AS value_max, round(avg(value), 6) AS value_avg FROM events GROUP BY 1 ORDER BY 1 LIMIT 200",
+    "SELECT date_trunc('hour', ts) AS bucket, count(*) AS n, min(value) AS value_min, max(value) AS value_max, round(avg(value), 6) AS value_avg FROM events GROUP BY 1",
 )
 def ts_bucket_hour(spark, sf_dir):
-    return TS.buckets(events(spark, sf_dir).select("ts", "value"), "ts").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    return TS.buckets(events(spark, sf_dir).select("ts", "value"), "ts", most=None).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
 @register("ts_range", "SELECT ts, event_id, value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-06 00:00:00' ORDER BY ts, event_id LIMIT 500")

@@ -13,7 +13,7 @@ def cases():
         (text.tokens(F.lit("a bc def")), ["bc", "def"]),
         (text.tokens(F.lit("Hello WORLD the")), ["hello", "world"]),
         (text.max_count(F.array(*map(F.lit, "abcacbaa"))), 4),
-        (text.slug_from_name(F.lit("AI-KOS v1.7!")), "ai-kos-v1-7"),
+        (text.slug_from_name(F.lit("Note-Box v1.7!")), "note-box-v1-7"),
         (text.slug_from_name(F.lit("!!")), "skill"),
         (text.slug_from_filename(F.lit("My_File name.tar.md")), "my-file-name.tar"),
         (text.slug_from_question(F.lit("What is  TF-IDF, really?")), "what-is-tf-idf-really"),

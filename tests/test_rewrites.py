@@ -30,13 +30,26 @@ def test_tone(spark):
 
 
 def test_rhythm(spark):
-    assert RW.rhythm_text("Too short. Really.") == "Too short. Really."
-    assert RW.rhythm_text(None) is None
     text = " ".join(f"w{k}" for k in range(12)) + " and " + " ".join(f"v{k}" for k in range(12)) + ". A b c. D e f. G h i j k l."
-    out = RW.rhythm_text(text)
-    assert "and. V0 v1" in out and "A b c and d e f." in out
-    rows = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
-    assert {r["doc_id"]: r["text"] for r in RW.rhythm(rows).collect()} == {1: out, 2: None}
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "Too short. Really.")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in RW.rhythm(rows).collect()}
+    assert out[3] == "Too short. Really." and out[2] is None
+    assert "and. V0 v1" in out[1] and "A b c and d e f." in out[1]
+
+
+def test_rhythm_joins_runs_of_short_sentences_pair_by_pair(spark):
+    long = " ".join(f"x{k}" for k in range(30))
+    rows = spark.createDataFrame([(1, f"{long}. a b. C d. E f. {long}. G h. I j. K l.")], "doc_id long, text string")
+    assert RW.rhythm(rows).first()["text"] == f"{long}. a b and c d. E f. {long}. G h and i j. K l."
+
+
+def test_sweep_scores(spark):
+    text = "Moreover, the tools of the model are good and robust in their way. It is a cat. " * 4
+    phrases = spark.createDataFrame([("robust", "word", "~40x")], "word string, category string, ratio string")
+    found = {r["stage"]: r for r in RW.sweep_scores(spark.createDataFrame([(1, text), (2, "short"), (3, None)], "doc_id long, text string").where("doc_id = 1"), phrases).collect()}
+    assert list(found) != [] and set(found) == {"before", *RW.SWEEPS}
+    assert found["before"]["fingerprints"] == 1 and found["vocabulary"]["fingerprints"] == 0 and found["vocabulary"]["fingerprints_change"] == -1
+    assert all(0 <= r["human_pct"] <= 100 for r in found.values()) and found["before"]["human_pct_change"] == 0
 
 
 def test_research_run(spark):
