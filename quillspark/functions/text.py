@@ -306,3 +306,22 @@ def linkified(text: Column) -> Column:
     safe = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     wiki = F.regexp_replace(safe, r"\[\[([a-z0-9-]+)\]\]", r'<a href="/article/$1">$1</a>')
     return F.regexp_replace(wiki, r'(?<!["=])(https?://[^\s<]+)', r'<a href="$1">$1</a>')
+
+
+def html_body(text: Column) -> Column:
+    """Markdown as HTML, line by line: headings of the first two levels, items of plain and numbered lists, and paragraphs; blank lines go. Links as in `linkified`.
+    A list is opened where the line before is no item of its kind, and closed where the line after is none."""
+    lines = F.filter(F.split(linkified(strip(text)), "\n"), lambda x: F.trim(x) != "")
+    kind = lambda x: F.when(x.startswith("- "), "ul").when(x.rlike(r"^[1-9]\d*\. "), "ol").when(x.startswith("## "), "h2").when(x.startswith("# "), "h1").otherwise("p")
+    marked = F.transform(lines, lambda x: F.struct(kind(x).alias("k"), x.alias("x")))
+
+    def one(m, i):
+        before, after = F.get(marked, i - 1)["k"], F.get(marked, i + 1)["k"]
+        item = m["k"].isin("ul", "ol")
+        body = F.when(m["k"].isin("p"), m["x"]).otherwise(F.regexp_replace(m["x"], r"^(?:- |[1-9]\d*\. |#{1,2} )", ""))
+        tag = F.when(item, F.lit("li")).otherwise(m["k"])
+        opened = F.when(item & ~before.eqNullSafe(m["k"]), F.concat(F.lit("<"), m["k"], F.lit(">\n"))).otherwise("")
+        closed = F.when(item & ~after.eqNullSafe(m["k"]), F.concat(F.lit("\n</"), m["k"], F.lit(">"))).otherwise("")
+        return F.concat(opened, F.lit("<"), tag, F.lit(">"), body, F.lit("</"), tag, F.lit(">"), closed)
+
+    return F.array_join(F.transform(marked, one), "\n")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quillspark.functions import text
 from quillspark.session import reach_workers
@@ -77,15 +80,112 @@ def read_blobs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Text and code files with format, slug, suggested type and token estimate; empty ones have an error."""
+    """Text and code files, and the paragraphs of DOCX and plain PDF files, with format, slug, suggested type and token estimate; empty and unreadable ones have
+    an error."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     ext, body = extension(F.col("path")), F.decode("content", "UTF-8")
     kind = F.when(ext.isin(*text.TEXT_EXTENSIONS), "text").when(ext.isin(*text.CODE_EXTENSIONS), "code").when(ext == "pdf", "pdf").when(ext.isin("docx", "doc"), "docx").otherwise("other")
+    reach_workers(spark)
+    body = F.when(ext == "docx", document_text(F.col("content"))).when(ext == "pdf", pdf_text(F.col("content"))).when(ext != "doc", body)
     out = found.select("path", kind.alias("source_format"), text.slug_from_filename(file_name(F.col("path"))).alias("slug"), body.alias("text"))
-    readable = F.col("source_format").isin("text", "code", "other")
+    readable = F.col("text").isNotNull()
     return out.select("path", "source_format", "slug", F.when(readable, F.col("text")).alias("text"), text.article_type(F.col("text")).alias("suggested_type"), F.floor(F.length("text") / 4).alias("token_estimate"), F.when(~readable, "no extractor").when(F.trim("text") == "", "empty").alias("error"))
 
 
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+@F.pandas_udf(StringType())
+def document_text(content: pd.Series) -> pd.Series:
+    """Paragraphs of DOCX files with a blank line between; null for what is none. A zip archive has no built-in reader."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    def one(data):
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                body = ElementTree.fromstring(z.read("word/document.xml"))
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, TypeError):
+            return None
+        marks = {f"{_W}tab": "\t", f"{_W}br": "\n"}
+        paragraphs = ("".join(t.text or "" if t.tag == f"{_W}t" else marks.get(t.tag, "") for t in p.iter()) for p in body.iter(f"{_W}p"))
+        return "\n\n".join(p for p in paragraphs if p.strip())
+
+    return content.map(one)
+
+
+_STREAM = re.compile(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream", re.S)
+_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|\bT\*|\bT[dDm]\b|\bET\b|['\"](?=\s)", re.S)
+_ESCAPED = {b"n": b"\n", b"r": b"\r", b"t": b"\t"}
+
+
+def page_text(data: bytes) -> str | None:
+    """Literal strings shown by the content streams of a PDF, plain or deflated, a line for each move; null if it shows none. Fonts with encodings of their own
+    and encrypted files are not read."""
+    import zlib
+
+    if not data or not data.startswith(b"%PDF"):
+        return None
+    pages = []
+    for head, body in _STREAM.findall(data):
+        if b"FlateDecode" in head:
+            try:
+                body = zlib.decompress(body)
+            except zlib.error:
+                continue
+        if b"BT" not in body:
+            continue
+        out = []
+        for m in _SHOWN.finditer(body):
+            token = m[0]
+            if token.startswith(b"("):
+                plain = re.sub(rb"\\([0-7]{1,3}|.)", lambda e: bytes([int(e[1], 8) & 255]) if e[1].isdigit() else _ESCAPED.get(e[1], e[1]), token[1:-1], flags=re.S)
+                out.append(plain.decode("latin-1"))
+            else:
+                out.append("\n")
+        lines = (x.strip() for x in "".join(out).split("\n"))
+        pages.append("\n".join(x for x in lines if x))
+    return "\n\n".join(p for p in pages if p) or None
+
+
+@F.pandas_udf(StringType())
+def pdf_text(content: pd.Series) -> pd.Series:
+    return content.map(page_text)
+
+
+def scene_counts(files: DataFrame) -> DataFrame:
+    """path, meshes, vertices, faces of glTF and GLB contents (binaryFile rows): vertices are those of the POSITION accessors of all primitives, faces the number of
+    primitives. A GLB file has its JSON in the first chunk."""
+    little = lambda at: reduce(lambda a, b: a + b, [F.conv(F.hex(F.substring("content", at + 1 + k, 1)), 16, 10).cast("long") * (256**k) for k in range(4)])
+    ext = extension(F.col("path"))
+    doc = F.decode(F.when(ext == "glb", F.substring("content", F.lit(21), little(12).cast("int"))).otherwise(F.col("content")), "UTF-8")
+    shape = "struct<meshes:array<struct<primitives:array<struct<attributes:struct<POSITION:int>>>>>,accessors:array<struct<count:long>>>"
+    rows = files.where(ext.isin("gltf", "glb")).select("path", F.from_json(doc, shape).alias("s"))
+    primitives = F.flatten(F.transform("s.meshes", lambda m: F.coalesce(m["primitives"], F.array().cast("array<struct<attributes:struct<POSITION:int>>>"))))
+    count = lambda p: F.coalesce(F.get("s.accessors", p["attributes"]["POSITION"])["count"], F.lit(0))
+    vertices = F.aggregate(primitives, F.lit(0).cast("long"), lambda a, p: a + count(p))
+    zero = lambda c: F.coalesce(c.cast("long"), F.lit(0))
+    return rows.select("path", zero(F.when(F.col("s.meshes").isNotNull(), F.size("s.meshes"))).alias("meshes"), zero(vertices).alias("vertices"), zero(F.when(F.col("s.meshes").isNotNull(), F.size(primitives))).alias("faces"))
+
+
+def unclobbered(moves: DataFrame, taken: DataFrame) -> DataFrame:
+    """path, folder, name, stored: files to move into folders, where a name that is taken (folder, name), or that an earlier path takes, gets -1, -2 and so on before its
+    extension. The numbers go on from the highest one taken, so none is used twice."""
+    ext = F.regexp_extract("name", r"(\.[^.]+)$", 1)
+    base = F.col("name").substr(F.lit(1), F.length("name") - F.length(ext))
+    parts = lambda df: df.select("*", ext.alias("_e"), base.alias("_b"))
+    numbered = taken.select("folder", ext.alias("_e"), base.alias("_b"))
+    number = F.regexp_extract("_b", r"-(\d+)$", 1).try_cast("long")
+    plain = numbered.select("folder", "_e", "_b", F.lit(0).cast("long").alias("_k"))
+    with_number = numbered.where(number.isNotNull()).select("folder", "_e", F.regexp_replace("_b", r"-\d+$", "").alias("_b"), number.alias("_k"))
+    top = plain.union(with_number).groupBy("folder", "_e", "_b").agg(F.max("_k").alias("_top"), F.max((F.col("_k") == 0).cast("int")).alias("_there"))
+    rows = parts(moves).withColumn("_r", F.row_number().over(W.partitionBy("folder", "name").orderBy("path")) - 1).join(top, ["folder", "_e", "_b"], "left")
+    nth = F.col("_r") + F.coalesce("_there", F.lit(0))
+    stored = F.when(nth == 0, F.col("name")).otherwise(F.concat("_b", F.lit("-"), (nth + F.coalesce("_top", F.lit(0))).cast("string"), "_e"))
+    return rows.select("path", "folder", "name", stored.alias("stored"))
+
+
 def model_counts(files: DataFrame) -> DataFrame:
     """path, vertices, faces of OBJ and STL contents (binaryFile rows): lines for text forms, the count at byte 80 for binary STL."""
     ext, body = extension(F.col("path")), F.decode("content", "UTF-8")

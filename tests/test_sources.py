@@ -132,3 +132,36 @@ def test_spill_and_sinks(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "md")).first()["slug"] == "a"
     queue = spark.createDataFrame([("f1", "pending"), ("f2", "done")], "filepath string, status string")
     assert [r["path"] for r in files.unqueued(spark.createDataFrame([("f1",), ("f2",)], "path string"), queue).collect()] == ["f2"]
+
+
+def test_documents_and_scenes(spark, tmp_path):
+    import json
+    import struct
+    import zipfile
+    import zlib
+
+    from quillspark.functions import text
+
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>Hello </w:t></w:r><w:r><w:t>world</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>Second</w:t></w:r></w:p></w:body></w:document>')
+    page = zlib.compress(b"BT /F1 12 Tf 72 700 Td (Hello \\(PDF\\)) Tj 0 -14 Td [(wor) -20 (ld)] TJ ET")
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-1.4\n1 0 obj\n<< /Filter /FlateDecode >>\nstream\n" + page + b"\nendstream\nendobj\n")
+    (tmp_path / "bad.docx").write_bytes(b"zz")
+    found = {r["slug"]: (r["text"], r["error"]) for r in files.read_texts(spark, str(tmp_path)).collect()}
+    assert found == {"a": ("Hello world\n\nSecond", None), "b": ("Hello (PDF)\nworld", None), "bad": (None, "no extractor")}
+    scene = json.dumps({"meshes": [{"primitives": [{"attributes": {"POSITION": 1}}, {"attributes": {}}]}, {"primitives": [{"attributes": {"POSITION": 0}}]}], "accessors": [{"count": 5}, {"count": 7}]}).encode()
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "x.gltf").write_bytes(scene)
+    (tmp_path / "m" / "y.glb").write_bytes(b"glTF" + struct.pack("<III", 2, 20 + len(scene), len(scene)) + b"JSON" + scene + b"\0\0\0\0")
+    (tmp_path / "m" / "z.gltf").write_text("{}")
+    counts = files.scene_counts(spark.read.format("binaryFile").load(str(tmp_path / "m"))).collect()
+    assert sorted(tuple(r)[1:] for r in counts) == [(0, 0, 0), (2, 12, 3), (2, 12, 3)]
+    page = spark.createDataFrame([("# T\n\np <b> [[x-y]]\n- a\n- b\n1. one\n## S\n",)], "t string").select(text.html_body(F.col("t"))).first()[0]
+    assert page == '<h1>T</h1>\n<p>p &lt;b&gt; <a href="/article/x-y">x-y</a></p>\n<ul>\n<li>a</li>\n<li>b</li>\n</ul>\n<ol>\n<li>one</li>\n</ol>\n<h2>S</h2>'
+
+
+def test_moves_do_not_clobber(spark):
+    moves = spark.createDataFrame([("/1/a.md", "arch", "a.md"), ("/2/a.md", "arch", "a.md"), ("/1/b", "rej", "b"), ("/3/c.md", "arch", "c.md")], "path string, folder string, name string")
+    taken = spark.createDataFrame([("arch", "a.md"), ("arch", "a-4.md")], "folder string, name string")
+    assert {r["path"]: r["stored"] for r in files.unclobbered(moves, taken).collect()} == {"/1/a.md": "a-5.md", "/2/a.md": "a-6.md", "/1/b": "b", "/3/c.md": "c.md"}
