@@ -5,8 +5,12 @@ schedule has the point frac(i * golden ratio); the point falls into the source w
 it. The slots of a source are ranked, and rank r takes block r mod (number of blocks) of the source. Any stretch of
 the schedule has every source near its weight.
 
+Words are counted in one pass over the texts, which is written as one short row a document; all later steps read that.
+
 Odd input: a null text or one without words has size 0 and is taken for 0; null sources form one source, last in order and in weight; repeated rows
-count each; an empty table gives an empty result. Targets: 150 % of all words shared by weights 5, 2, 1, repeating over the
+count each, and `mixed_documents` gives each as often as the one that is taken most; ties of the hash order go by doc_id and size, and rows that agree in all three may
+change places; a very long text covers several blocks; an empty table gives an empty result; other columns are not read, and `mixed_documents` passes them
+through. Blocks have BLOCK words, or fewer where that would leave less than LEAST_SLOTS slots. Targets: 150 % of all words shared by weights 5, 2, 1, repeating over the
 sources in order of code points, a target being at most twice the source's size and the excess reshared by weight.
 No source, however hot, passes through one task: streams and ranks come from bucket sums.
 """
@@ -17,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WORD, ranked
+from quillspark.llm.common import WORD, ranked, saved
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -26,8 +30,12 @@ MOST = 2
 BLOCK = 1024
 LEAST_SLOTS = 65536
 GOLDEN = 0.6180339887498949
-DOC_BUCKETS = 256
+#: Hexadecimal digits of the hash order that cut a source into runs.
+RUN_DIGITS = 3
 SLOT_RUN = 4096
+#: Cells of the unit interval by which points find the span that holds them, and sources up to which their table is sent out (80 bytes each).
+CELLS = 4096
+SENT = 500_000
 
 
 def word_count(text: Column) -> Column:
@@ -54,36 +62,49 @@ def targets(sized: DataFrame) -> DataFrame:
     return sources.select("_src", "_at", "source_size", "target", low.alias("_low"), (low + F.col("target")).alias("_high"))
 
 
+def small(df: DataFrame, n: int) -> DataFrame:
+    """Sent out if it has at most SENT rows."""
+    return F.broadcast(df) if n <= SENT else df
+
+
 def schedule(sources: DataFrame, block: int, slots: int) -> DataFrame:
-    """slot, _at (the source), rank: which source each slot takes from, and how many times that was done before."""
+    """slot, _at (the source), rank: which source each slot takes from, and how many times that was done before.
+
+    Spans are listed by the cells of the unit interval that they touch, so a point is held against the spans of its cell.
+    """
     spark = sources.sparkSession
-    total = sources.agg(F.max("_high").alias("_all"))
-    spans = sources.where(F.col("target") > 0).crossJoin(total).select("_at", (F.col("_low") / F.col("_all")).alias("_from"), (F.col("_high") / F.col("_all")).alias("_to"), (F.col("_high") >= F.col("_all")).alias("_end"))
-    spans = spans.agg(F.sort_array(F.collect_list(F.struct("_from", "_to", "_end", "_at"))).alias("_spans"))  # one row, an entry a source
+    some = sources.where(F.col("target") > 0)
+    total = some.agg(F.max("_high").alias("_all"), F.max("_at").alias("_top"))
+    spans = some.crossJoin(F.broadcast(total)).select("_at", (F.col("_low") / F.col("_all")).alias("_from"), (F.col("_high") / F.col("_all")).alias("_to"), (F.col("_at") == F.col("_top")).alias("_end"))
+    cell = lambda c: F.least(F.floor(c * CELLS), F.lit(CELLS - 1))
+    spans = spans.withColumn("_cell", F.explode(F.sequence(cell(F.col("_from")), F.when(F.col("_end"), F.lit(CELLS - 1).cast("long")).otherwise(cell(F.col("_to"))))))
     point = (F.col("id") + 1) * F.lit(GOLDEN)
     point = point - F.floor(point)
-    inside = F.filter("_spans", lambda s: (s["_from"] <= F.col("_point")) & ((F.col("_point") < s["_to"]) | s["_end"]))
-    taken = spark.range(slots).select("id", point.alias("_point")).crossJoin(F.broadcast(spans)).select(F.col("id").alias("slot"), F.element_at(inside, -1)["_at"].alias("_at"))
-    return ranked(taken, ["_at"], ["slot"], F.floor(F.col("slot") / SLOT_RUN), "rank")
+    taken = spark.range(slots).select("id", point.alias("_point")).withColumn("_cell", cell(F.col("_point")))
+    taken = taken.join(small(spans, sources.count() + CELLS), "_cell")
+    taken = taken.where((F.col("_from") <= F.col("_point")) & ((F.col("_point") < F.col("_to")) | F.col("_end")))
+    return ranked(taken.select(F.col("id").alias("slot"), "_at"), ["_at"], ["slot"], F.floor(F.col("slot") / SLOT_RUN), "rank")
 
 
 def mix(docs: DataFrame, seed: str = "mix", block: int | None = None, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, size, source_size, target, taken for every row."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("_src"), word_count(F.col(text)).alias("size"), key.alias("_key"))
+    sized = saved(sized)  # counted once, one short row a document
     total = sized.agg(F.sum("size")).first()[0] or 0
-    sources = targets(sized)
+    sources = saved(targets(sized))
+    n = sources.count()
     if not total:
         return sized.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
     block = block or int(min(BLOCK, max(1, total * SHARE // LEAST_SLOTS)))
     slots = round(total * SHARE / block)
-    streams = ranked(sized, ["_src"], ["_key", "doc_id", "size"], F.substring("_key", 1, 2), "_row", add="size")
-    known = F.broadcast(sources.select(F.col("_src").alias("_s"), "_at", "source_size", "target"))  # one row a source
+    streams = ranked(sized, ["_src"], ["_key", "doc_id", "size"], F.substring("_key", 1, RUN_DIGITS), "_row", add="size")
+    known = small(sources.select(F.col("_src").alias("_s"), "_at", "source_size", "target"), n)
     streams = streams.join(known, F.col("_src").eqNullSafe(F.col("_s")))
     streams = streams.select("doc_id", "_at", "size", "source_size", "target", "size_before", "_row")
     pieces = streams.where(F.col("size") > 0).withColumn("_block", F.explode(F.sequence(F.floor(F.col("size_before") / block), F.floor((F.col("size_before") + F.col("size") - 1) / block))))
     words = F.least(F.col("size_before") + F.col("size"), (F.col("_block") + 1) * block) - F.greatest(F.col("size_before"), F.col("_block") * block)
-    counts = F.broadcast(sources.select(F.col("_at").alias("_a"), F.ceil(F.col("source_size") / block).alias("_blocks")))
+    counts = small(sources.select(F.col("_at").alias("_a"), F.ceil(F.col("source_size") / block).alias("_blocks")), n)
     uses = schedule(sources, block, slots).join(counts, F.col("_at") == F.col("_a"))
     uses = uses.where(F.col("rank") < MOST * F.col("_blocks"))  # a block is never taken more often than a source may be
     uses = uses.groupBy("_at", (F.col("rank") % F.col("_blocks")).alias("_block")).agg(F.count(F.lit(1)).alias("_times"))

@@ -410,6 +410,14 @@ def test_mixture_targets(docs):
     assert mixture.mix(docs).toPandas().sort_values("doc_id").reset_index(drop=True).equals(found.sort_values("doc_id").reset_index(drop=True))
 
 
+def test_mixture_is_the_same_with_tables_shuffled(docs, monkeypatch):
+    """Tables of sources are sent out or joined; many sources of all sizes."""
+    many = docs.withColumn("source", F.concat("source", (F.col("doc_id") % 37).cast("string")))
+    want = sorted(map(tuple, mixture.mix(many).collect()))
+    monkeypatch.setattr(mixture, "SENT", 0)
+    assert sorted(map(tuple, mixture.mix(many).collect())) == want
+
+
 def test_mixture_odd(odd, none):
     found = mixture.mix(odd)
     assert found.count() == odd.count() and mixture.mix(none).count() == 0
