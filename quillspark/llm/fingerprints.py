@@ -9,8 +9,9 @@ entries; the likeness of two is the share of their subsets with equal entries, a
 
 Odd input: a null text is empty; a text with fewer than LEAST lexicon terms uses all of its terms; a text without words has an empty
 fingerprint, which is like another empty one (1.0) and unlike all others (0.0); rows that repeat a doc_id follow each other in order of text; a null
-doc_id sorts first; a single row is followed by itself; an empty table gives an empty result; other columns are never read. The next
-document is found within ranges of doc_id; the first row of a range also goes to the range before it.
+doc_id sorts first; a single row is followed by itself; texts of any length are taken whole; an empty table gives an empty result; other columns are never read. The next
+document is found within ranges of doc_id; the first row of a range also goes to the range before it. Ranges follow the quantiles of doc_id, so ids that are
+clustered or far off do not fill one of them.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ NARROW = 31 << SLOT_BITS
 NARROW_LEAST = 6
 #: Documents of a range of doc_id on average, and the most ranges (their first ids are broadcast).
 RANGE, MOST_RANGES = 512, 200_000
+#: Quantiles of doc_id between which ranges are of equal width, in groups of GROUPED, and the error of their ranks.
+QUANTILES, GROUPED, RANK_ERROR = 1024, 32, 1 / 20_000
 SPLIT = r"[\x20\x09-\x0D]+"
 
 
@@ -120,14 +123,28 @@ def likeness(x: str, y: str) -> Column:
     return F.when((F.size(f"{x}a") == 0) & (F.size(f"{y}a") == 0), F.lit(1.0)).otherwise(F.greatest(level("a", 1), level("b", NARROW_LEAST)))
 
 
+def range_of(ids: DataFrame, per_range: int) -> Column:
+    """The number of the range of a doc_id, in ascending order; -1 for null. Which ranges there are changes nothing in the result."""
+    rows = ids.count()
+    n = max(1, min(QUANTILES, rows // per_range))
+    found = ids.where("doc_id IS NOT NULL").approxQuantile("doc_id", [k / n for k in range(n)], RANK_ERROR) if rows else []
+    low = sorted({int(x) for x in found}) or [0]
+    parts = max(1, min(MOST_RANGES, rows // per_range) // len(low))
+    width = [max(1, -(-(b - a) // parts)) for a, b in zip(low, [*low[1:], low[-1] + parts])]
+    groups = [low[k : k + GROUPED] for k in range(0, len(low), GROUPED)]
+    at_or_below = lambda xs: F.size(F.filter(xs, lambda x: x <= F.col("doc_id")))
+    longs = lambda xs: F.lit(xs).cast("array<long>")
+    group = F.greatest(at_or_below(longs([g[0] for g in groups])) - 1, F.lit(0))
+    inner = F.get(F.lit(groups).cast("array<array<long>>"), group)
+    place = F.greatest(group * GROUPED + at_or_below(inner) - 1, F.lit(0))
+    step = F.floor((F.col("doc_id") - F.get(longs(low), place)) / F.get(longs(width), place))
+    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(place * parts + F.greatest(F.least(step, F.lit(parts - 1)), F.lit(0))).cast("long")
+
+
 def with_next(docs: DataFrame, per_range: int = RANGE) -> tuple[DataFrame, W]:
     """doc_id, text, _copy, _next (the next text) and the window they were made with; rows with _copy only stand for the
     row after the last of a range."""
-    low, high, rows = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    low, high = (0, 0) if low is None else (low, high)
-    ranges = int(min(MOST_RANGES, max(1, rows // per_range)))
-    width = max(1, -(-(high - low + 1) // ranges))
-    bucket = F.coalesce(F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1))
+    bucket = range_of(docs.select("doc_id"), per_range)
     firsts = docs.select("doc_id", bucket.alias("_b")).groupBy("_b").agg(F.min("doc_id").alias("_first"))
     order = W.orderBy("_b")  # over at most MOST_RANGES + 2 rows
     last = F.max("_b").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))

@@ -269,6 +269,58 @@ def test_fingerprint_lexicon_goes_by_terms(spark):
     assert ((held[one] == many) | (held[two] == many)).all() and len(held) <= 8 * len(many)
 
 
+def test_fingerprints_ranges_follow_the_ids(spark):
+    """One far-off id and clusters of ids: no range holds more than a few times its share."""
+    ids = [*range(3000), *range(10**12, 10**12 + 3000), 10**17, -5, None]
+    rows = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    placed = [(r["doc_id"], r["b"]) for r in rows.select("doc_id", fingerprints.range_of(rows, 50).alias("b")).collect()]
+    known = sorted((i, b) for i, b in placed if i is not None)
+    assert [b for _, b in known] == sorted(b for _, b in known) and dict(placed)[None] == -1
+    assert max(sum(b == k for _, b in known) for k in {b for _, b in known}) <= 150
+
+
+def brute_likeness(x, y):
+    """By the two fingerprints as they are written: the share of equal entries among the subsets of either, at the better level."""
+    p, q = (set(v.split(".")) - {""} for v in (x, y))
+    wide = lambda s: {e for e in s if e[0] == "a"}
+    if not wide(p) and not wide(q):
+        return 1.0
+    best = 0.0
+    for a, b, least in ((wide(p), wide(q), 1), (p - wide(p), q - wide(q), fingerprints.NARROW_LEAST)):
+        subsets = {e[:3] for e in a | b}
+        if len(subsets) >= least:
+            best = max(best, len(a & b) / len(subsets))
+    return best
+
+
+def test_fingerprints_likeness_against_brute_force(docs):
+    found = {r["doc_id"]: r for r in fingerprints.fingerprints(docs).collect()}
+    order = sorted(found)
+    for i, after in zip(order, [*order[1:], order[0]]):
+        r = found[i]
+        assert r["near_edited"] == pytest.approx(brute_likeness(r["fingerprint"], r["edited_fingerprint"]))
+        assert r["near_next"] == pytest.approx(brute_likeness(r["fingerprint"], found[after]["fingerprint"]))
+
+
+def test_fingerprint_terms_against_brute_force(docs, rows):
+    """Which terms are in the lexicon and in which subset they fall, from a plain count of words."""
+    low = {i: {w for w in re.split(fingerprints.SPLIT, (t or "").lower()) if w} for i, t in rows}
+    words = sorted(set().union(*low.values()))
+    spark = docs.sparkSession
+    hashed = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    df = {w: 0 for w in words}
+    for s in low.values():
+        for w in s:
+            df[w] += 1
+    n = len(rows)
+    band = {w for w in words if fingerprints.BAND[0] * n <= df[w] <= fingerprints.BAND[1] * n}
+    found = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprints(docs).collect()}
+    for i, s in low.items():
+        chosen = s & band if len(s & band) >= fingerprints.LEAST else s
+        subsets = {(hashed[w] & (2**64 - 1)) >> (64 - fingerprints.SUBSET_BITS) for w in chosen}
+        assert {int(e[1:3], 16) for e in found[i].split(".") if e.startswith("a")} == subsets
+
+
 def test_fingerprints_odd(odd, none):
     found = fingerprints.fingerprints(odd).collect()
     assert len(found) == odd.count()
