@@ -1,7 +1,10 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
+Texts are scored in batches: the n-gram counts of ROWS texts make one sparse matrix (row, bucket, count), whose entries pick rows of the
+log-probability matrix, which every executor has.
+
 Rules for odd input: a null text and a text without a letter get `und` and score 0.0; rows with a null language, or from
-the held-out quarter, are never learned from; repeated rows are each predicted; an empty table gives an empty result; with
+the held-out quarter, are never learned from; repeated rows are each predicted; a tie goes to the first language by name; an empty table gives an empty result; with
 nothing to learn from every text is `und`. Other columns of the input are never read. Texts of any length are scored whole, in windows of
 `WINDOW` code points that overlap by the longest n-gram less one.
 """
@@ -23,6 +26,10 @@ WINDOW = 1 << 20
 UNKNOWN = "und"
 #: Training takes this many documents a language on average, chosen by a hash of doc_id; their texts are read whole.
 SAMPLE_PER_LANGUAGE = 3000
+#: Languages that are learned, the commonest ones: a bound on what the driver and the executors hold (2^BITS numbers a language).
+MOST_LANGUAGES = 256
+#: Texts of one sparse matrix, and the code points of them together.
+ROWS, POINTS = 32, 1 << 18
 
 
 def buckets(text: str, orders=ORDERS, bits: int = BITS) -> np.ndarray:
@@ -57,6 +64,30 @@ def counts(text: str, orders=ORDERS, bits: int = BITS, window: int = WINDOW) ->
     return total
 
 
+def sparse_counts(texts: list[str], orders=ORDERS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries (row, bucket, count) of the n-gram counts of some texts, in order of row and bucket."""
+    if len(texts) == 1:
+        c = counts(texts[0], orders, bits)
+        at = np.flatnonzero(c)
+        return np.zeros(len(at), np.int64), at, c[at]
+    keyed = [buckets(t, orders, bits).astype(np.int64) + (k << bits) for k, t in enumerate(texts)]
+    c = np.bincount(np.concatenate(keyed), minlength=len(texts) << bits)
+    at = np.flatnonzero(c)
+    return at >> bits, at & ((1 << bits) - 1), c[at]
+
+
+def in_batches(texts: list[str]):
+    """Slices of texts of bounded size; a text over the bound is alone."""
+    at = 0
+    while at < len(texts):
+        to, points = at + 1, len(texts[at])
+        while to < len(texts) and to - at < ROWS and points + len(texts[to]) <= POINTS:
+            points += len(texts[to])
+            to += 1
+        yield at, to
+        at = to
+
+
 @dataclass
 class Model:
     """Languages and a log-probability matrix, buckets by languages; its size depends on `BITS` and the languages alone."""
@@ -67,15 +98,31 @@ class Model:
     orders: tuple = ORDERS
     bits: int = BITS
 
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Log-probabilities, texts by languages, by sparse batches."""
+        out = np.tile(self.log_prior, (len(texts), 1))
+        for at, to in in_batches(texts):
+            row, bucket, n = sparse_counts(texts[at:to], self.orders, self.bits)
+            if len(row):
+                first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                out[at + row[first]] += np.add.reduceat(self.log_prob[bucket] * n[:, None], first)
+        return out
+
+    def predict_all(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The likeliest language of every text and its posterior probability."""
+        known = [k for k, t in enumerate(texts) if t is not None and self.languages and any(map(str.isalpha, t))]
+        names, sure = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        if known:
+            scores = self.scores([texts[k] for k in known])
+            best = scores.argmax(axis=1)  # a tie goes to the first language by name
+            posterior = 1.0 / np.exp(np.minimum(scores - scores.max(axis=1, keepdims=True), 0.0)).sum(axis=1)
+            for k, j, p in zip(known, best.tolist(), posterior.tolist()):
+                names[k], sure[k] = self.languages[j], p
+        return names, sure
+
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and its posterior probability."""
-        if text is None or not self.languages or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0
-        c = counts(text, self.orders, self.bits)
-        at = np.flatnonzero(c)
-        scores = self.log_prior + c[at].astype(np.float64) @ self.log_prob[at]
-        best = int(np.argmax(scores))  # a tie goes to the first language by name
-        return self.languages[best], float(1.0 / np.exp(np.minimum(scores - scores[best], 0.0)).sum())
+        names, sure = self.predict_all([text])
+        return names[0], sure[0]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -85,14 +132,14 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE, orders=ORDERS, bits: int = BITS, smoothing: float = 0.5) -> Model:
     """Learn from a hash sample of the labelled rows outside the held-out quarter.
 
-    What comes to the driver is a count for each language and a matrix of 2^bits counts for each language.
+    What comes to the driver is a count for each language and a matrix of 2^bits counts for each language, of MOST_LANGUAGES at most.
     """
     learn = docs.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in learn.groupBy(lang).count().collect()}
+    sizes = {r[0]: r[1] for r in learn.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect()}
     if not sizes:
         return Model([], np.zeros((1 << bits, 0)), np.zeros(0), orders, bits)
     languages = sorted(sizes)
-    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / sizes[k])))])
+    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, per_language / sizes[k])))])  # null for those not learned
     unit = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = learn.where(unit < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
@@ -122,8 +169,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "d
     def predict(batches):
         m = shared.value
         for b in batches:
-            found = [m.predict(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+            names, sure = m.predict_all(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(sure, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return map_arrow(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), predict, f"doc_id {kind}, lang_pred string, score double")
@@ -135,14 +182,14 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents whose language is recognised, with the columns they came with."""
+    """The documents whose language is recognised, with the columns they came with: those without a letter go, and those whose likeliest language has a
+    posterior probability under `least`. With nothing to learn from, all go."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
     at = docs.schema.fieldNames().index("text")
 
     def keep(batches):
         m = shared.value
         for b in batches:
-            found = [m.predict(t) for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array([k != UNKNOWN and s >= least for k, s in found], pa.bool_()))
+            yield b.filter(pa.array([k != UNKNOWN and s >= least for k, s in zip(*m.predict_all(b.column(at).to_pylist()))], pa.bool_()))
 
     return map_arrow(docs, keep, docs.schema)
