@@ -11,8 +11,8 @@ common ones gets a backslash after its first character, so it occurs nowhere ins
 splits at the marks and drops the escapes. The loss mask covers the texts of assistant messages.
 
 Odd input: null texts and roles are empty; a null conversation is one of its own; repeated rows are turns each, ties of
-turn are ordered by role and text; an empty table gives an empty result; other columns are never read. A conversation becomes one row, which one task has to build;
-nothing else is gathered.
+turn are ordered by role and text; texts of any length are taken whole; an empty table gives an empty result; other columns are never read. A conversation becomes one
+row, which one task has to build; nothing else is gathered.
 """
 
 from __future__ import annotations
@@ -44,10 +44,9 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    """As `unescape`, but backslash and n is a line feed; doubled backslashes are set aside first."""
-    held = F.replace(role, F.lit("\\\\"), F.lit("\x00\x01"))
-    held = F.replace(held, F.lit("\\n"), F.lit("\n"))
-    return F.replace(F.replace(held, F.lit("\\"), F.lit("")), F.lit("\x00\x01"), F.lit("\\"))
+    """As `unescape`, but backslash and n is a line feed. Doubled backslashes, read from the left, part the role; what is between has single ones only."""
+    plain = lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\"), F.lit(""))
+    return F.array_join(F.transform(F.split(role, r"\\\\"), plain), "\\")
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -94,10 +93,8 @@ def message_events(rows: DataFrame) -> DataFrame:
     """Plain conversation rows (conv_id, turn, role, text) as a log in which every row sets a message of its own."""
     text, role = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("role"), F.lit(""))
     row = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), role.alias("role"), text.alias("text"))
-    # repeated rows: one event each, told apart by a number among equals
-    same = row.groupBy("conv_id", "seq", "role", "text").agg(F.count(F.lit(1)).alias("_n"))
-    same = same.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-    return same.select("conv_id", "seq", F.struct("seq", "role", F.md5(F.col("text").cast("binary")), "_copy").alias("message"), F.lit("message").alias("kind"), "role", "text")
+    # the number only tells rows apart; of rows that agree in all else, it does not matter which comes first
+    return row.select("conv_id", "seq", F.monotonically_increasing_id().alias("message"), F.lit("message").alias("kind"), "role", "text")
 
 
 def probe(rows: DataFrame) -> DataFrame:

@@ -77,6 +77,39 @@ def test_language_prediction_is_naive_bayes():
     assert model.predict("123 !") == ("und", 0.0)
 
 
+def test_language_training_and_scores_against_plain_counts(docs, rows):
+    """The matrix from a plain count of all n-grams of the rows that may be learned from, and the scores from sums over n-grams."""
+    from collections import Counter
+    from math import exp, log
+
+    model = language_id.train(docs)
+    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    learned = [(i, t) for i, t in rows if t is not None and lang[i] is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    plain, seen = {k: Counter() for k in model.languages}, Counter(lang[i] for i, _ in learned)
+    assert model.languages == sorted(seen)
+    for i, t in learned:
+        low = t.lower()
+        for n in language_id.ORDERS:
+            for p in range(len(low) - n + 1):
+                plain[lang[i]][low[p : p + n]] += 1
+    grams = sorted(set().union(*plain.values()))
+    bucket = {g: int(language_id.buckets(g, (len(g),))[0]) for g in grams}
+    for j, k in enumerate(model.languages):
+        by = Counter()
+        for g, c in plain[k].items():
+            by[bucket[g]] += c
+        total = sum(by.values()) + 0.5 * 2**language_id.BITS
+        for b in (*list(by)[:2000], 0, 17, 32767):
+            assert model.log_prob[b, j] == pytest.approx(log((by[b] + 0.5) / total))
+        assert model.log_prior[j] == pytest.approx(log(seen[k] / len(learned)))
+    some = [t for _, t in rows if t and any(map(str.isalpha, t))][:60]
+    names, sure = model.predict_all(some)
+    for t, name, p in zip(some, names, sure):
+        low = t.lower()
+        s = [model.log_prior[j] + sum(model.log_prob[int(b), j] for b in language_id.buckets(low)) for j in range(len(model.languages))]
+        assert name == model.languages[s.index(max(s))] and p == pytest.approx(1 / sum(exp(x - max(s)) for x in s), abs=1e-9)
+
+
 def test_language_odd(odd, none):
     found = {r["doc_id"]: r["lang_pred"] for r in language_id.language_id(odd).collect()}
     assert found[1] == found[2] == found[3] == found[6] == "und" and found[4] != "und"
@@ -113,6 +146,13 @@ def test_chat_fold_against_loop(spark):
         assert [m["text"] for m in row["messages"]] == [t for _, t in sorted(state.values())]
 
 
+def test_chat_roles_with_any_characters_come_back(spark):
+    roles = ["a\x00\x01b", "x\ny", "\\n", "\\\n", "\\\\n", "<|turn|>", "\\", "\n\\", "<\\|", "</s>\\\n"]
+    rows = spark.createDataFrame(list(enumerate(roles)), "i long, role string")
+    found = rows.select("i", chat_format.unescape_role(chat_format.escape_role(F.col("role"))).alias("r"), chat_format.escape_role(F.col("role")).alias("e")).collect()
+    assert {r["i"]: r["r"] for r in found} == dict(enumerate(roles)) and not any("\n" in r["e"] or "<|" in r["e"] for r in found)
+
+
 def test_chat_digests_and_odd(spark):
     rows = [(1, 0, "user", None, 1), (1, 1, "assistant", "hey", 1), (1, 1, "assistant", "hey", 1), (None, 0, None, "x", 1), (2, None, "assistant", "ü", 1)]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, message long")
@@ -502,6 +542,20 @@ def test_shards(docs, rows):
     assert (sharding.assign(docs, shards=25).toPandas().set_index("doc_id")["shard"].sort_index() == found.set_index("doc_id")["grown_shard"].sort_index()).all()
 
 
+def test_shards_against_plain_draws(docs):
+    """Every record's least cost by a plain loop over the shards, also with weights."""
+    from math import log
+
+    def draw(key, weights):
+        unit = lambda j: (int(hashlib.md5(f"{key}:{j}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        return min((-log(unit(j)) / w, j) for j, w in enumerate(weights))[1]
+
+    for weights in (None, [1.0 + j % 3 for j in range(25)]):
+        for r in sharding.assign(docs, weights=weights).collect():
+            w = weights or [1.0] * 25
+            assert r["shard"] == draw(r["doc_id"], w[:-1]) and r["grown_shard"] == draw(r["doc_id"], w)
+
+
 def test_shards_follow_weights(spark):
     table = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
     n = sharding.assign(table, shards=3, weights=[1.0, 2.0, 1.0, 1.0]).groupBy("shard").count().collect()
