@@ -1,12 +1,18 @@
 """Secret scans with multipart credential linking.
 
-Base spans come from three patterns, each applied leftmost and non-overlapping over the whole text. On top of them, weak
-candidates (long mixed tokens and endpoints that prove nothing alone) are joined by interval with access identifiers and
-keyed secrets: each is reported where its scope, a section of the document that ends at two or more blank lines in a row or
-at the end of the text, holds a complementary part, however far away.
+Base spans come from three patterns, each applied leftmost and non-overlapping over the whole text. They, and weak candidates that
+prove nothing alone, are parts of credentials: each has a role (identifier, secret or endpoint) and a provider. A weak candidate is reported if its scope, a section of the
+document that ends at two or more blank lines in a row or at the end of the text, holds a base part of another role and the same provider, however far away:
 
-Odd input: a null text is empty and has no span; offsets are code points, ends are exclusive; repeated rows each get their
-own result; an empty table gives an empty result; matches never cross documents. Other columns are never read.
+| provider | identifier | secret | endpoint |
+|---|---|---|---|
+| cloud | access key id (base) | token of 40 characters with letters of both cases and digits or signs (weak) | host under amazonaws.com (weak) |
+| service | account after `user`, `login`, `client_id`, `account` and the like (weak) | password, secret, token or key after its name (base) | address after `endpoint`, `host`, `url`, `server` and the like (weak) |
+
+Scopes are intervals of the text; parts are joined to the interval that holds their start.
+
+Odd input: a null text is empty and has no span; offsets are code points, ends are exclusive; texts of any length are scanned whole; parts that start together are listed in order of
+kind; repeated rows each get their own result; an empty table gives an empty result; matches never cross documents. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -14,7 +20,6 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
-from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,12 +30,17 @@ from quillspark.llm.common import map_arrow
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-WEAK = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
-ENDPOINT = re.compile(r"(?a)\b(?:https?://[^\s\"'<>]+|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com)")
-SCOPE = re.compile(r"\n[^\S\n]*\n")
-KINDS = ("assign", "access", "hex", "linked_secret", "linked_endpoint")
+#: Weak candidates: kind, provider, role, pattern. The span is the last group, or the match.
+WEAK = (
+    ("linked_secret", "cloud", "secret", re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")),
+    ("linked_endpoint", "cloud", "endpoint", re.compile(r"(?a)(?:\bhttps?://)?\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com\b[^\s\"'<>,;]*")),
+    ("linked_endpoint", "service", "endpoint", re.compile(r"""(?ai)\b(?:endpoint|hostname|host|base_?url|url|server)["']?\x20*[:=]\x20*["']?((?:[a-z]+://)?[a-z0-9-]+(?:\.[a-z0-9-]+)+[^\s"'<>,;]*)""")),
+    ("linked_id", "service", "identifier", re.compile(r"""(?ai)\b(?:user_?name|user|login|client_?id|account_?id|account)["']?\x20*[:=]\x20*["']?([a-z0-9_.@+-]{3,})""")),
+)
+KINDS = ("assign", "access", "hex", "linked_secret", "linked_endpoint", "linked_id")
+#: Base kinds as parts.
+PARTS = {"access": ("cloud", "identifier"), "assign": ("service", "secret")}
 SECTION = re.compile(r"\n(?:[^\S\n]*\n){2,}")
-REACH = 200
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -43,52 +53,40 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-def near(sorted_spans: list[tuple[int, int]], longest: int, start: int, end: int) -> bool:
-    """Whether any of the spans, sorted by start and at most `longest` long, overlaps [start, end)."""
-    k = bisect.bisect_left(sorted_spans, (end,)) - 1
-    while k >= 0 and sorted_spans[k][0] >= start - longest:
-        if sorted_spans[k][1] > start:
-            return True
-        k -= 1
-    return False
-
-
-def linked_spans(text: str, base: list[tuple[int, int, str, int]], ends: re.Pattern = SCOPE, reach: int | None = REACH) -> list[tuple[int, int, str, int]]:
-    """Weak candidates whose complementary part lies in the same scope, and within reach if there is one; `ends` matches between scopes."""
-    anchors = [(s, e) for s, _, kind, e in base if kind in ("access", "assign")]
-    if not anchors:
-        return []
-    cuts = [m.start() for m in ends.finditer(text)]
-    scope = lambda at: bisect.bisect_right(cuts, at)
-    by_scope: dict[int, list[tuple[int, int]]] = {}
-    for s, e in anchors:
-        by_scope.setdefault(scope(s), []).append((s, e))
-    longest = {k: max(e - s for s, e in v) for k, v in by_scope.items()}
-    taken = {(s, e) for s, _, _, e in base}
-    found = []
+def linked_spans(text: str, base: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
+    """Weak candidates with a complementary base part in their scope. Only sections with a base part are searched."""
+    cuts = [m.start() for m in SECTION.finditer(text)]
+    held: dict[int, set[tuple[str, str]]] = {}
+    for s, _, kind, _ in base:
+        if kind in PARTS:
+            held.setdefault(bisect.bisect_right(cuts, s), set()).add(PARTS[kind])
+    starts, tops, top = [s for s, *_ in base], [], 0
+    for *_, e in base:
+        top = max(top, e)
+        tops.append(top)
     bounds = [0, *cuts, len(text)]
-    for k, spans in by_scope.items():  # only scopes with an anchor are searched
-        lo, hi = bounds[k], bounds[k + 1]
-        starts, tops = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
-        for place, kind, pattern in ((3, "linked_secret", WEAK), (4, "linked_endpoint", ENDPOINT)):
-            for m in pattern.finditer(text, lo, hi):
-                s, e = m.span()
+    found = set()
+    for scope, parts in held.items():
+        for kind, provider, role, pattern in WEAK:
+            if not any(p == provider and r != role for p, r in parts):
+                continue
+            for m in pattern.finditer(text, bounds[scope], bounds[scope + 1]):
+                s, e = m.span(m.lastindex or 0)
                 before = bisect.bisect_right(starts, s)
-                if (s, e) in taken or kind == "linked_secret" and before and e <= tops[before - 1]:
-                    continue
-                if reach is None or near(spans, longest[k], s - reach, e + reach):
-                    found.append((s, place, kind, e))
-    return found
+                if before and e <= tops[before - 1]:
+                    continue  # within a base span
+                found.add((s, KINDS.index(kind), kind, e))
+    return sorted(found)
 
 
 def listed(spans) -> str:
     return ",".join(f"{kind}:{s}:{e}" for s, _, kind, e in spans)
 
 
-def scan_text(text: str | None, ends: re.Pattern = SCOPE, reach: int | None = REACH) -> tuple[int, int, int, str, str]:
-    """Counts of the base kinds, digest of the base spans, and all spans. `secret_scan` links over whole sections, without a reach."""
+def scan_text(text: str | None) -> tuple[int, int, int, str, str]:
+    """Counts of the base kinds, digest of the base spans, and all spans."""
     base = base_spans(text or "")
-    every = sorted(base + linked_spans(text or "", base, ends, reach)) if base else base
+    every = sorted(base + linked_spans(text or "", base)) if base else base
     kinds = [x[2] for x in base]
     return kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(listed(base).encode()).hexdigest(), listed(every)
 
@@ -98,7 +96,7 @@ def secret_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     def scan(batches):
         for b in batches:
-            found = [scan_text(t, SECTION, None) for t in b.column(1).to_pylist()]
+            found = [scan_text(t) for t in b.column(1).to_pylist()]
             cols = list(zip(*found)) or [()] * 5
             kinds = [pa.int64()] * 3 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])

@@ -406,8 +406,7 @@ def test_secrets_links_need_both_parts():
     both = secret_scan.scan_text(f"id {key} and {weak} at https://x.amazonaws.com/y")[4]
     assert "linked_secret" in both and "linked_endpoint" in both
     assert secret_scan.scan_text(f"only {weak} at https://x.amazonaws.com/y")[4] == ""
-    assert "linked" not in secret_scan.scan_text(f"{key}\n\n{weak}")[4]  # another scope
-    assert "linked" not in secret_scan.scan_text(f"{key}{' x' * 300} {weak}")[4]  # out of reach
+    assert "linked" not in secret_scan.scan_text(f"{key}\n\n\n{weak}")[4]  # another scope
 
 
 def test_secrets_link_over_the_whole_section(spark):
@@ -415,7 +414,56 @@ def test_secrets_link_over_the_whole_section(spark):
     texts = [f"{key}{' x' * 300}\n# a note\naws_secret_access_key = {weak}", f"{key}\n \n{weak} {url}", f"{key}\n\n \r\n{weak}", f"{weak}{' x' * 9000} {key}", f"password={weak} {weak}"]
     rows = secret_scan.secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     found = {r["doc_id"]: [x.split(":")[0] for x in r["spans"].split(",")] for r in rows}
-    assert found == {0: ["access", "linked_secret"], 1: ["access", "linked_secret", "linked_endpoint"], 2: ["access"], 3: ["linked_secret", "access"], 4: ["assign", "linked_secret"]}
+    # two secrets are not complementary
+    assert found == {0: ["access", "linked_secret"], 1: ["access", "linked_secret", "linked_endpoint"], 2: ["access"], 3: ["linked_secret", "access"], 4: ["assign"]}
+
+
+def test_secrets_links_go_by_role_and_provider():
+    kinds = lambda t: [x.split(":")[0] for x in secret_scan.scan_text(t)[4].split(",")]
+    assert kinds("reset your password: hunter2hunter2 then read https://en.wikipedia.org/wiki/Cat") == ["assign"]
+    assert kinds("password: hunter2hunter2 x.amazonaws.com " + "aB3/" * 10) == ["assign"]
+    assert kinds("host=db.example.org\nuser: bob\npassword: hunter2hunter2") == ["linked_endpoint", "linked_id", "assign"]
+    assert kinds("AKIA" + "Q" * 16 + " user: bob host=db.example.org") == ["access"]
+    assert kinds("AKIA" + "Q" * 16 + " " + "g" * 40) == ["access"]
+
+
+def brute_links(text):
+    """Every weak part against every base part of its section, by a plain loop over lines."""
+    scope, scopes, blank, at = 0, [], 0, 0
+    for line in text.split("\n"):
+        if line.strip() == "" and at:
+            blank += 1
+        else:
+            scope += blank >= 2
+            blank = 0
+        scopes.append((at, scope))
+        at += len(line) + 1
+    of = lambda p: max((a, k) for a, k in scopes if a <= p)[1]
+    base = brute_secrets(text)
+    out = []
+    for name, provider, role, pattern in secret_scan.WEAK:
+        for m in pattern.finditer(text):
+            s, e = m.span(m.lastindex or 0)
+            if any(b <= s and e <= f for _, b, f in base):
+                continue
+            if any(k in secret_scan.PARTS and secret_scan.PARTS[k][0] == provider and secret_scan.PARTS[k][1] != role and of(b) == of(s) for k, b, _ in base):
+                out.append((name, s, e))
+    return out
+
+
+def test_secrets_links_against_brute_force(rows):
+    r = random.Random(5)
+    parts = ["AKIA" + "Z9" * 8, "aB3/" * 10, "Xy7" * 14, "https://s3.amazonaws.com/b", "password=abcdefgh12", "user: alice", "endpoint = https://api.example.org/v1", "host: db1.example.org", "plain words", "api_key: 'zzzzzzzz9'", "0f" * 20, "https://example.org"]
+    texts = ["".join(r.choice(parts) + r.choice([" ", "\n", "\n\n", "\n\n\n", "\n \n\n", " x " * 40]) for _ in range(r.randrange(1, 14))) for _ in range(300)]
+    texts += [t for _, t in rows if t and ("AKIA" in t or "password" in t.lower() or "token" in t.lower())]
+    linked = 0
+    for t in texts:
+        want = [(k, s, e) for k, s, e in brute_secrets(t)] + sorted(set(brute_links(t)))
+        want.sort(key=lambda x: (x[1], secret_scan.KINDS.index(x[0]), x[2]))
+        got = secret_scan.scan_text(t)[4]
+        assert got == ",".join(f"{k}:{s}:{e}" for k, s, e in want), t
+        linked += "linked" in got
+    assert linked > 50
 
 
 def test_secrets_odd(odd, none):
