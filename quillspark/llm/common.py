@@ -6,10 +6,11 @@ from functools import reduce
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.session import reach_workers
+from quillspark.session import reach_workers, saved  # noqa: F401
+
 
 #: Words are runs of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,19 +20,6 @@ PIECE = 1 << 22
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; set one only where none is configured, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors and cuts the lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes (wraps on purpose)."""
     h = h ^ (h >> np.uint64(30))

@@ -21,7 +21,7 @@ def packed(df: DataFrame, rows: int) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """node, label: the least node that is reachable, for every node of `edges` (a, b), which may repeat or be loops.
 
-    A round takes the least label of the neighbours, then the label of the label. Rows of a node with many edges are
+    A round takes the least label of the neighbours, then the label of the label, so a path of n edges takes about log2(n) rounds; 64 are more than any table needs. Rows of a node with many edges are
     pre-aggregated on the map side; a join on such a node is one that adaptive execution may split.
     """
     both = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())

@@ -19,7 +19,7 @@ drifted apart costs its few doubtful pairs.
 
 Odd input: a null text or one without words has an empty set, is linked with nothing and is its own component; a null
 doc_id is linked with nothing and has a null component; rows that repeat a doc_id are one document; ties cannot occur, as
-components are named by their least doc_id; an empty table gives an empty result; other columns are never read. `keep_one`
+components are named by their least doc_id; texts of any length are taken whole; an empty table gives an empty result; other columns are never read. `keep_one`
 goes by rows where a doc_id is null or repeated, so each row is a document there.
 """
 

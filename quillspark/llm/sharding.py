@@ -4,7 +4,7 @@ Every (key, shard) pair gets a uniform number from MD5; the shard with the least
 shard can only take records over, and takes its share of them. The law is `key`: doc_id and the shards decide.
 
 Odd input: a null text has no bytes (size 8, CRC-32 of nothing: 0); a null doc_id is the key ''; equal doc_ids go to one shard with
-different slots; an empty table gives an empty result; other columns are not read. Slots come from counts per hash bucket
+different slots, in order of CRC-32 and size (equal rows in any order); texts of any length are read whole; ties of cost go to the lower shard; an empty table gives an empty result; other columns are not read. Slots come from counts per hash bucket
 of a shard, so that no shard has to pass through one task.
 """
 

@@ -262,7 +262,11 @@ def test_keep_one_goes_by_rows(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(3, one), (3, two), (None, other), (8, None), (8, None), (9, "x y")], key=repr)
 
 
-def test_components_on_paths(spark):
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_components_on_paths(spark, sent, monkeypatch):
+    import quillspark.llm.components as module
+
+    monkeypatch.setattr(module, "SENT", sent)
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (102, 101), (7, 7)]
     found = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(found[k] == 0 for k in range(41)) and found[100] == found[101] == found[102] == 100
