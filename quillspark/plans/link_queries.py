@@ -170,10 +170,15 @@ def graph_degree(spark, sf_dir):
     return G.degrees(graph(spark, sf_dir)[1])
 
 
-@register("graph_vis_export", f"WITH n AS (SELECT node_id FROM ({_nodes_sql}) ORDER BY node_id LIMIT 500), e AS ({_edges_sql}) SELECT source, target FROM e WHERE source IN (SELECT node_id FROM n) AND target IN (SELECT node_id FROM n) ORDER BY source, target LIMIT 5000")
+_shown = "regexp_replace({0}, '^c', 'z')"
+
+
+@register("graph_vis_export", f"WITH n AS (SELECT {_shown.format('node_id')} AS node_id FROM ({_nodes_sql})), f AS (SELECT node_id FROM n ORDER BY node_id LIMIT 500), e AS (SELECT {_shown.format('source')} AS source, {_shown.format('target')} AS target FROM ({_edges_sql})) SELECT source, target FROM e WHERE source IN (SELECT node_id FROM f) AND target IN (SELECT node_id FROM f) ORDER BY source, target LIMIT 5000")
 def graph_vis_export(spark, sf_dir):
+    """The whole graph, customers named so that they come after regions, nations and suppliers."""
     nodes, edges = graph(spark, sf_dir)
-    return G.exported(nodes, edges)[1]
+    named = lambda c: F.regexp_replace(c, "^c", "z").alias(c)
+    return G.exported(nodes.select(named("node_id"), "name"), edges.select(named("source"), named("target")))[1]
 
 
 @register("graph_unique_edges", f"WITH e AS ({_edges_sql}), b AS (SELECT * FROM e UNION ALL SELECT target, source FROM e) SELECT least(source, target) AS source, greatest(source, target) AS target FROM b GROUP BY 1, 2")

@@ -37,7 +37,7 @@ def title_parse(spark, sf_dir):
 
 @register(
     "cite_keys",
-    """WITH k AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Adams' || (2000 + doc_id % 20) WHEN 1 THEN 'Conti' || (2000 + doc_id % 20) WHEN 2 THEN 'Smith' || (1990 + doc_id % 30) END AS base, CASE doc_id % 4 WHEN 0 THEN 'x' ELSE 'Ite' END AS past FROM documents),
+    """WITH k AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Adams' || (2000 + doc_id % 20) WHEN 1 THEN 'Conti' || (2000 + doc_id % 20) WHEN 2 THEN 'Smith' || (1990 + doc_id % 30) END AS base, 'Ite' AS past FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS n FROM k WHERE base IS NOT NULL)
 SELECT doc_id, base || CASE WHEN n = 1 THEN '' WHEN n <= 27 THEN chr(CAST(95 + n AS INT)) ELSE past END AS cite_key FROM r""",
 )

@@ -219,8 +219,8 @@ def spawn_days(spark, sf_dir):
     return Q.spawn_allowed(table(spark, sf_dir, "events").where("event_type = 'purchase'"), "ts").withColumn("day", F.col("day").cast("string"))
 
 
-def lease_events(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
+def lease_events(spark, sf_dir, events=None):
+    e = table(spark, sf_dir, "events") if events is None else events
     kind = F.element_at(F.array(*map(F.lit, ("claim", "heartbeat", "heartbeat", "fail", "complete"))), (F.col("event_id") % 5 + 1).cast("int"))
     return e.select((F.col("user_id") * 10 + F.col("event_id") % 10).alias("task_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), kind.alias("kind"))
 
@@ -236,8 +236,8 @@ def lease_reap(spark, sf_dir):
     return Q.lease_states(lease_events(spark, sf_dir), F.lit(1706700000))
 
 
-def turn_log(spark, sf_dir):
-    t = table(spark, sf_dir, "conversations")
+def turn_log(spark, sf_dir, turns=None):
+    t = table(spark, sf_dir, "conversations") if turns is None else turns
     kind = F.element_at(F.array(*map(F.lit, ("step_started", "step_completed", "status_changed", "step_failed", "unknown"))), ((F.col("turn") * 3 + F.col("conv_id")) % 5 + 1).cast("int"))
     return t.select(F.col("conv_id").alias("pipeline_id"), F.col("turn").alias("seq"), kind.alias("type"), F.concat(F.lit("s"), F.col("turn") % 3).alias("step"), F.col("role").alias("status"))
 

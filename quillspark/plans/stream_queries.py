@@ -1,26 +1,64 @@
-"""Streaming operators over the events table. Registered queries run the same plans as batches, so that SQL can check them;
-the tests run them as streams and hold both together."""
+"""Streams over the events table, run to the end of what is there and written to tables, which the queries return."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from quillspark.plans.registry import register
-from quillspark.session import table
+from quillspark.plans.stat_queries import _log, lease_events, turn_log
+from quillspark.session import scratch, table
 from quillspark.streaming import folds
 
 
+def source(spark, sf_dir, name="events"):
+    """A table as a stream of files; the pattern also matches one that is a single file."""
+    return folds.read_stream(spark, f"{sf_dir}/{name}.parquet*", table(spark, sf_dir, name).schema)
+
+
 @register("stream_window", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def stream_window(spark, sf_dir):
-    return folds.windowed(table(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """Changed windows go to a table by key, of which the last state is read: a projection behind the log."""
+    at = scratch(spark, "windows")
+    folds.written(folds.windowed(source(spark, sf_dir)), folds.upsert_sink(f"{at}/rows", ("start", "event_type"), "n"), "update", at)
+    return folds.upserted(spark, f"{at}/rows").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @register("stream_session", "WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), s AS (SELECT user_id, ts, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM l) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, g")
 def stream_session(spark, sf_dir):
-    return folds.sessions(table(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    at = scratch(spark, "sessions")
+    folds.written(folds.sessions(source(spark, sf_dir)), folds.replace_sink(f"{at}/rows"), "complete", at)
+    return spark.read.parquet(f"{at}/rows").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @register("stream_dedup", "SELECT event_id, any_value(event_type) AS event_type FROM events GROUP BY 1")
 def stream_dedup(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.union(e).dropDuplicates(["event_id"]).select("event_id", "event_type")
+    """Every event comes twice, in two streams."""
+    twice = source(spark, sf_dir).union(source(spark, sf_dir))
+    return folds.appended(folds.deduplicated(twice).select("event_id", "event_type"), scratch(spark, "distinct"))
+
+
+@register("stream_totals", "SELECT user_id, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1")
+def stream_totals(spark, sf_dir):
+    at = scratch(spark, "totals")
+    totals = source(spark, sf_dir).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
+    folds.written(totals, folds.upsert_sink(f"{at}/rows", ("user_id",), "n"), "update", at)
+    return folds.upserted(spark, f"{at}/rows")
+
+
+@register("stream_states", f"WITH {_log} SELECT pipeline_id, max(seq) AS last_seq, coalesce(arg_max(status, seq) FILTER (WHERE type = 'status_changed'), 'pending') AS status FROM lg GROUP BY 1")
+def stream_states(spark, sf_dir):
+    """The fold of the log with state of its own, its last rows by key."""
+    at = scratch(spark, "states")
+    log = folds.fold_stream(turn_log(spark, sf_dir, source(spark, sf_dir, "conversations")))
+    folds.written(log, folds.upsert_sink(f"{at}/rows", ("pipeline_id",), "last_seq"), "update", at)
+    return folds.upserted(spark, f"{at}/rows")
+
+
+@register("stream_claims", "WITH e AS (SELECT user_id * 10 + event_id % 10 AS task_id, ['claim', 'heartbeat', 'heartbeat', 'fail', 'complete'][CAST(event_id % 5 + 1 AS INT)] AS kind FROM events) SELECT task_id, count(*) FILTER (WHERE kind = 'claim') AS claims FROM e GROUP BY 1")
+def stream_claims(spark, sf_dir):
+    """Leases of tasks with timeouts in event time."""
+    at = scratch(spark, "leases")
+    leases = folds.lease_stream(lease_events(spark, sf_dir, source(spark, sf_dir)))
+    rows = leases.withColumn("_seen", F.col("claims") * 1_000_000 + F.col("failures") * 1000 + (F.col("state") == "done").cast("int"))
+    folds.written(rows, folds.upsert_sink(f"{at}/rows", ("task_id",), "_seen"), "update", at)
+    return folds.upserted(spark, f"{at}/rows").select("task_id", "claims")

@@ -65,8 +65,12 @@ def _parsed(batches):
 def read_articles(spark: SparkSession, *paths: str) -> DataFrame:
     """Articles of .md and .yaml files, read whole; files that cannot be read as such are left out. YAML has no built-in
     parser, so front matter goes through an Arrow function."""
-    reach_workers(spark)
-    files = spark.read.option("recursiveFileLookup", True).text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return parsed_articles(spark.read.option("recursiveFileLookup", True).text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def parsed_articles(files: DataFrame) -> DataFrame:
+    """Articles of rows (path, value)."""
+    reach_workers(files.sparkSession)
     found = split_front_matter(files).mapInPandas(_parsed, ARTICLE_FIELDS + ", body string")
     found = found.withColumn("body_words", text.word_count(text.without_related(F.col("body"))))
     return found.withColumn("keywords", text.normal_keywords(F.col("keywords"))).withColumn("subject_keywords", F.array_except(text.normal_keywords(F.col("subject_keywords")), F.col("keywords")))
@@ -74,8 +78,12 @@ def read_articles(spark: SparkSession, *paths: str) -> DataFrame:
 
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:
     """path, name, size, mime of the files of a folder; contents are not read."""
+    return described(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime"))
+
+
+def described(found: DataFrame) -> DataFrame:
+    """Name, size and type of rows (path, length, modificationTime)."""
     mime = F.create_map(*[F.lit(x) for pair in MIME.items() for x in pair])
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
     return found.select("path", file_name(F.col("path")).alias("name"), F.col("length").alias("size"), F.coalesce(mime[extension(F.col("path"))], F.lit("application/octet-stream")).alias("mime"), "modificationTime")
 
 
@@ -244,7 +252,11 @@ def read_json_docs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_skills(spark: SparkSession, path: str) -> DataFrame:
     """slug, description, keywords, steps, outcome of skill files."""
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return parsed_skills(spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def parsed_skills(files: DataFrame) -> DataFrame:
+    """Skills of rows (path, value)."""
     f = split_front_matter(files)
     name, description = text.field(F.col("raw"), "name"), text.field(F.col("raw"), "description")
     tags = F.filter(F.split(F.regexp_replace(text.field(F.col("raw"), "tags"), r"[\[\]]", ""), r"\s*,\s*"), lambda t: t != "")

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillspark.operators.queues import ATTEMPTS, LEASE, STALE
-from quillspark.session import reach_workers
+from quillspark.session import reach_workers, saved
+
+#: Folders of a table that is updated by key.
+BUCKETS = 16
 
 
 def read_stream(spark: SparkSession, path: str, schema, files: int = 1, fmt: str = "parquet") -> DataFrame:
@@ -91,23 +94,49 @@ def fold_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("pipeline_id").applyInPandasWithState(_fold, FOLD_OUT, "last long, at long, status string", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_sink(path: str, key: str, order: str):
-    """For `foreachBatch`: the last row of every key, as a Parquet folder for each version. Returns the function."""
+def upsert_sink(path: str, keys: tuple[str, ...], order: str, buckets: int = BUCKETS):
+    """For `foreachBatch`: a table of the last row of every key by `order`, in Parquet folders by bucket of the key. A batch rewrites the buckets that it touches and no
+    others, and gives the same when it is written again. Returns the function; `upserted` reads the table."""
 
     def write(batch: DataFrame, version: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("_r")).select("_r.*")
+        spark, names = batch.sparkSession, batch.columns
+        last = lambda df: df.groupBy(*keys).agg(F.max_by(F.struct(*names, "_b"), F.struct(order, "_new")).alias("_r")).select("_r.*")
+        fresh = saved(last(batch.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).withColumn("_new", F.lit(1))))
+        touched = [r["_b"] for r in fresh.select("_b").distinct().collect()]  # at most `buckets`
         if version:
-            old = spark.read.parquet(f"{path}/v{version - 1}")
-            rest = old.join(rows.select(key), key, "left_anti")
-            newer = rows.join(old.select(key, F.col(order).alias("_o")), key, "left").where(f"_o IS NULL OR {order} >= _o").drop("_o")
-            kept = old.join(rows.select(key, F.col(order).alias("_n")), key).where(f"{order} > _n").drop("_n")
-            rows = rest.unionByName(newer).unionByName(kept)
-        rows.write.mode("overwrite").parquet(f"{path}/v{version}")
+            old = spark.read.schema(fresh.schema).parquet(path).where(F.col("_b").isin(touched)).select(*names, "_b", F.lit(0).alias("_new"))
+            fresh = saved(last(old.unionByName(fresh.withColumn("_new", F.lit(1)))))
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_b").parquet(path)
 
     return write
 
 
+def upserted(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("_b")
+
+
+def replace_sink(path: str):
+    """For `foreachBatch` in complete mode: the whole result, in place of the one before."""
+
+    def write(batch: DataFrame, version: int) -> None:
+        saved(batch).write.mode("overwrite").parquet(path)
+
+    return write
+
+
+def written(stream: DataFrame, sink, mode: str, folder: str) -> None:
+    """All that is there through a function for batches, with the offsets in a folder that survives the driver."""
+    q = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def appended(stream: DataFrame, folder: str) -> DataFrame:
+    """All that is there, appended to Parquet files."""
+    q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start(f"{folder}/rows")
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def run_available(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """All that is there, as a table in memory; for tests and small states."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()

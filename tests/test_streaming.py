@@ -69,7 +69,14 @@ def test_upserts(spark, tmp_path):
     frame = spark.createDataFrame([(k % 5, k, f"v{k}") for k in range(20)], "k long, at long, v string")
     frame.repartition(4).write.parquet(str(tmp_path / "in"))
     stream = folds.read_stream(spark, str(tmp_path / "in"), frame.schema)
-    q = stream.writeStream.foreachBatch(folds.upsert_sink(str(tmp_path / "out"), "k", "at")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = max(int(p.name[1:]) for p in (tmp_path / "out").iterdir())
-    assert rows(spark.read.parquet(str(tmp_path / "out" / f"v{last}")).select("k", "at", "v")) == [(k, 15 + k, f"v{15 + k}") for k in range(5)]
+    out = str(tmp_path / "out")
+    folds.written(stream, folds.upsert_sink(out, ("k",), "at", 3), "append", str(tmp_path / "w"))
+    want = [(k, 15 + k, f"v{15 + k}") for k in range(5)]
+    assert rows(folds.upserted(spark, out).select("k", "at", "v")) == want
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet")}
+    sink = folds.upsert_sink(out, ("k",), "at", 3)
+    one = spark.createDataFrame([(3, 99, "new"), (3, 1, "old")], frame.schema)
+    for _ in range(2):  # a batch that is written again changes nothing
+        sink(one, 7)
+        assert rows(folds.upserted(spark, out).select("k", "at", "v")) == sorted([w for w in want if w[0] != 3] + [(3, 99, "new")])
+    assert sum(p in before and p.stat().st_mtime_ns == before[p] for p in (tmp_path / "out").rglob("*.parquet")) > 0
