@@ -9,8 +9,8 @@ anchor form a segment; equal strings have equal anchors, so they meet wherever s
 2. Group by anchor: rows are streamed in order of anchor, content and position, with at most HOT rows held. A later copy of a segment is
    covered. Where an anchor has several different segments, their bytes are asked for.
 3. Index: the segments of a block of anchors form one text, of which a run-length compressed Burrows-Wheeler transform is built, with a sample of suffix
-   array and common prefix length at every run head. Streaming over the text from sample to sample gives every
-   position's matching statistic: where the preceding suffix starts, and how long the match is. Matches of LENGTH and
+   array and common prefix length at the start of every run. Streaming the segments backwards through the runs gives every
+   position's matching statistic: where the suffix in the row above starts, and how long the match is. Matches of LENGTH and
    more chain equal strings together; all but the earliest of a chain are covered.
 4. The covered spans of a document are merged and removed from its text.
 
@@ -340,7 +340,7 @@ def grouped(batches):
 
 
 class RunLengthIndex:
-    """Run-length compressed Burrows-Wheeler transform of some strings, with samples at the run heads."""
+    """Run-length compressed Burrows-Wheeler transform of some strings, with samples at the first rows of runs. Ranks of all prefixes are only held while it is built."""
 
     def __init__(self, strings: list[bytes]):
         sizes = np.array([len(s) + 1 for s in strings])
@@ -363,21 +363,43 @@ class RunLengthIndex:
             levels.append((h, rank))
         before = text[order - 1]
         heads = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
-        self.run_symbol, self.run_head = before[heads], heads  # the transform itself: symbol and first row of every run
-        here, above = order[heads], order[heads - 1]
+        self.run_symbol, self.run_head = before[heads], heads  # the transform: symbol and first row of every run
+        # the row that a run's first row is mapped to: rows by symbol, then in the order they have
+        sizes = np.diff(np.append(heads, n))
+        by_symbol = np.argsort(self.run_symbol, kind="stable")
+        self.mapped = np.empty(len(heads), np.int64)
+        self.mapped[by_symbol] = np.cumsum(sizes[by_symbol]) - sizes[by_symbol]
+        # samples there: the suffix in the row above, and what both have in common, by the ranks of prefixes of 2^k symbols
+        here, above = order[self.mapped], order[self.mapped - 1]
         common = np.zeros(len(heads), np.int64)
-        for h, r in reversed(levels):  # irreducible common prefixes, by the ranks of prefixes of 2^k symbols
+        for h, r in reversed(levels):
             x, y = np.minimum(here + common, n - 1), np.minimum(above + common, n - 1)
             common += np.where((r[x] == r[y]) & (here + common < n) & (above + common < n), h, 0)
-        common[0] = 0  # the first row has none above
-        by_place = np.argsort(here)
-        self.sample, self.sample_above, self.sample_common = here[by_place], above[by_place], common[by_place]
+        common[self.mapped == 0] = 0  # the first row has none above
+        self.sample_above, self.sample_common = above, common
 
     def stream(self) -> tuple[np.ndarray, np.ndarray]:
-        """For every position, where the suffix before it in order starts, and the length of their match."""
-        runs = np.diff(np.append(self.sample, self.n))
-        past = np.arange(self.n) - np.repeat(self.sample, runs)
-        return np.repeat(self.sample_above, runs) + past, np.repeat(self.sample_common, runs) - past
+        """For every position, where the suffix in the row above starts, and the length of their match.
+
+        All strings are read backwards at once, a symbol a step, through the runs: within a run the match with the row above grows by a symbol, at the first
+        row of a run it is the run's sample.
+        """
+        above, match = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
+        row = np.arange(len(self.ends))  # the ends of the strings are the first rows
+        at, up, common = self.ends.copy(), np.append(0, self.ends[:-1]), np.zeros(len(row), np.int64)
+        start = np.append(0, self.ends[:-1] + 1)
+        above[at] = up
+        while True:
+            go = at > start
+            if not go.any():
+                return above, match
+            row, at, up, common, start = row[go], at[go] - 1, up[go], common[go], start[go]
+            run = np.searchsorted(self.run_head, row, side="right") - 1
+            past = row - self.run_head[run]
+            row = self.mapped[run] + past
+            up = np.where(past == 0, self.sample_above[run], up - 1)
+            common = np.where(past == 0, self.sample_common[run], common + 1)
+            above[at], match[at] = up, common
 
 
 def covered_strings(strings: list[bytes], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

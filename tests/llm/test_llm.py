@@ -693,6 +693,20 @@ def test_run_length_index_matches():
         k = int(match[p])
         a = int(above[p])
         assert text[p : p + k] == text[a : a + k]
+    # against a sorted list of suffixes
+    r = random.Random(11)
+    strings = ["".join(r.choice("ab") for _ in range(r.randrange(1, 60))).encode() for _ in range(25)] + [b"ab" * 20] * 3
+    index = repeats.RunLengthIndex(strings)
+    above, match = index.stream()
+    symbols = []
+    for k, x in enumerate(strings):
+        symbols += [c + len(strings) for c in x] + [k]
+    order = sorted(range(index.n), key=lambda p: symbols[p:])
+    for x, y in zip(order, order[1:]):
+        k = 0
+        while x + k < index.n and y + k < index.n and symbols[x + k] == symbols[y + k]:
+            k += 1
+        assert above[y] == x and match[y] == k
 
 
 def test_repeats_odd(odd, none):
