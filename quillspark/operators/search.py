@@ -136,10 +136,17 @@ def best_matches(findings: DataFrame, articles: DataFrame, least: float = 1.0) -
 
 def hashed_vector(body: Column, dims: int = 64) -> Column:
     """A deterministic embedding without a model: signed hashed token counts, unit length."""
-    t = text.tokens(body)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(t, F.lit(0.0), lambda s, x: s + F.when(F.pmod(F.xxhash64(x), F.lit(dims)) == d, F.when(F.pmod(F.xxhash64(x, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0)))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: F.when(norm > 0, x / norm).otherwise(x).cast("float"))
+    place = lambda x: F.pmod(F.xxhash64(x), F.lit(dims)) * 2 + F.pmod(F.xxhash64(x, F.lit(1)), F.lit(2))
+    # each token is hashed once; the inner names are bound to what is in an array of one
+    counted = lambda h: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: (F.size(F.filter(h, lambda x: x == d * 2)) - F.size(F.filter(h, lambda x: x == d * 2 + 1))).cast("double"))
+    raw = F.transform(F.array(F.transform(text.tokens(body), place)), counted)
+    unit = F.transform(raw, _unit)
+    return F.get(unit, F.lit(0))
+
+
+def _unit(v: Column) -> Column:
+    norm = lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x).cast("float"))
+    return F.get(F.transform(F.array(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))), norm), F.lit(0))
 
 
 def claim_citations(claims: DataFrame, articles: DataFrame, least: float = 1.0) -> DataFrame:

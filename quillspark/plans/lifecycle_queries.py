@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.functions import scores, text
 from quillspark.operators import articles as A
 from quillspark.operators import eventlog as E
 from quillspark.operators import graph as G
@@ -17,7 +18,7 @@ from quillspark.plans.article_queries import view
 from quillspark.plans.registry import ORACLES, register
 from quillspark.plans.stat_queries import _tasks, order_tasks, turn_log
 from quillspark.session import table
-from quillspark.sources import files, tables
+from quillspark.sources import files, synthetic, tables
 
 
 def name(c) -> F.col:
@@ -446,3 +447,75 @@ def table_names(spark, sf_dir):
     return view(spark, sf_dir).select("slug", tables.table_name(F.col("slug")).alias("name"))
 
 
+
+
+@register("pipeline_summary", f"SELECT status, count(*) AS n, CAST(sum(completed) AS BIGINT) AS completed FROM ({ORACLES['eventlog_fold']}) GROUP BY 1")
+def pipeline_summary(spark, sf_dir):
+    return E.pipeline_states(turn_log(spark, sf_dir)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("completed").alias("completed"))
+
+
+@register("article_templates", f"WITH {sql.ARTICLES} SELECT slug, {sql.case(scores.REVIEW_DAYS, 'type', 365)} AS review_days, 'internal' AS sensitivity FROM art")
+def article_templates(spark, sf_dir):
+    """Every article with what its type starts from."""
+    known = spark.createDataFrame([(k, t["review_days"], t["sensitivity"]) for k, t in LC.templates().items()], "type string, review_days int, sensitivity string")
+    return view(spark, sf_dir).select("slug", "type").join(F.broadcast(known), "type").select("slug", "review_days", "sensitivity")
+
+
+@register("nested_json", f"WITH {_rich} SELECT slug, to_json(list_transform(related, lambda r, i: struct_pack(slug := r, type := CASE WHEN i = 1 THEN 'see-also' ELSE 'extends' END))) AS related FROM rich")
+def nested_json(spark, sf_dir):
+    return rich(spark, sf_dir).select("slug", F.to_json("related").alias("related"))
+
+
+@register("merged_citations", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'given' WHEN doc_id % 3 = 1 THEN 'parsed' ELSE 'none' END AS title, lang AS journal FROM documents")
+def merged_citations(spark, sf_dir):
+    """Field by field the first of three sources that has it."""
+    i = F.col("doc_id")
+    fields = LC.merged_citation({"title": F.when(i % 3 == 0, "given")}, {"title": F.when(i % 3 == 1, "parsed"), "journal": F.col("lang")}, {"title": F.lit("none")})
+    return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in fields.items()])
+
+
+def _parity(row: dict) -> str:
+    if row["task_id"] % 5 == 0:
+        raise ValueError("fifth")
+    return "odd" if row["task_id"] % 2 else "even"
+
+
+@register("handled_tasks", "SELECT o_orderkey AS task_id, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 2 = 1 THEN 'odd' ELSE 'even' END AS result, CASE WHEN o_orderkey % 5 = 0 THEN 'fifth' END AS error FROM orders")
+def handled_tasks(spark, sf_dir):
+    """A function on every task, tried again where it raises."""
+    return LC.handled(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("task_id")), _parity)
+
+
+@register("research_run", "SELECT q || '-' || item_id AS finding_id, text AS claim FROM benchmark, (VALUES (0), (1), (2), (3), (4)) v(q)")
+def research_run(spark, sf_dir):
+    """A whole run with the benchmark as what is found for every query."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("finding_id"), F.col("text").alias("snippet"), F.lit("t").alias("title"), F.lit("u").alias("url"))
+    out = R.run("What is said", view(spark, sf_dir).where("type = 'mission'").select("slug", "body"), lambda query: items)
+    return out["findings"].select("finding_id", "claim")
+
+
+@register("search_view", f"WITH {sql.ARTICLES} SELECT slug, title || ' ' || ' ' || array_to_string(list_filter(string_split(title, ' '), lambda w: w <> ''), ' ') || ' ' || CASE doc_id % 4 WHEN 0 THEN body WHEN 1 THEN 'a b' WHEN 2 THEN 'k  5' ELSE 'seen' END AS text FROM art")
+def search_view(spark, sf_dir):
+    """What an article of every backend is searched by."""
+    i = F.col("doc_id")
+    rows = view(spark, sf_dir).withColumn("backend", F.element_at(F.array(*map(F.lit, ("md", "sql", "json", "blob"))), (i % 4 + 1).cast("int")))
+    rows = rows.withColumn("keywords", F.filter(F.split("title", " "), lambda w: w != "")).withColumn("column_names", F.lit("a b")).withColumn("doc", F.lit('{"k": 5}')).withColumn("extracted_text", F.lit("seen"))
+    return rows.select("slug", F.regexp_replace(S.source_text(rows), "^$", "").alias("text"))
+
+
+@register("point_clouds", "SELECT i AS id, 2.0::DOUBLE AS radius, 0.25::DOUBLE AS tube FROM range(2000) r(i)")
+def point_clouds(spark, sf_dir):
+    """Points of a sphere and of a torus, by their distances from the surfaces' centres."""
+    sq = lambda *c: sum(F.col(x) * F.col(x) for x in c)
+    ball = synthetic.sphere(spark, 2000, 2.0, seed=3).select("id", F.round(F.sqrt(sq("x", "y", "z")), 6).alias("radius"))
+    ring = synthetic.torus(spark, 2000, seed=4)
+    tube = (F.sqrt(sq("x", "y")) - 2.0) * (F.sqrt(sq("x", "y")) - 2.0) + sq("z")
+    return ball.join(ring.select("id", F.round(tube, 6).alias("tube")), "id")
+
+
+@register("hashed_vectors", f"WITH {sql.ARTICLES}, t AS (SELECT slug, len({sql.TOKENS.replace('text', 'body')}) AS n FROM art) SELECT slug, 64 AS dims, n > 0 AS has_terms FROM t")
+def hashed_vectors(spark, sf_dir):
+    """Vectors of unit length without a model; their index is a table."""
+    rows = view(spark, sf_dir).select("slug", F.size(text.tokens(F.col("body"))).alias("_n"), S.hashed_vector(F.col("body")).alias("_v"))
+    norm = F.round(F.sqrt(S.dot(F.col("_v"), F.col("_v"))), 3)
+    return rows.select("slug", F.size("_v").alias("dims"), ((F.col("_n") > 0) & norm.isin(0.0, 1.0)).alias("has_terms"))

@@ -12,7 +12,7 @@ from quillspark.plans import sql
 from quillspark.plans.article_queries import rendered_articles, view
 from quillspark.plans.misc_queries import bibtex
 from quillspark.plans.registry import register
-from quillspark.session import scratch, table
+from quillspark.session import reach_workers, scratch, table
 from quillspark.sources import files, tables
 
 
@@ -176,3 +176,23 @@ def html_views(spark, sf_dir):
     rows = view(spark, sf_dir).where("title <> ''")
     page = F.concat(F.lit("# "), "title", F.lit("\n\n- "), "type", F.lit("\n- [["), "slug", F.lit("]]\n## Words\n1. "), F.col("body_words").cast("string"))
     return rows.select("slug", text.html_body(page).alias("html"))
+
+
+@register("source_documents", "SELECT n_nationkey, 'First line of ' || n_name || chr(10) || chr(10) || 'Region ' || n_regionkey AS text FROM nation")
+def source_documents(spark, sf_dir):
+    """A DOCX file for every nation (25 rows) and the paragraphs in it."""
+    import io
+    import zipfile
+
+    space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+
+    def docx(*paragraphs: str) -> bytes:
+        out = io.BytesIO()
+        body = "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in paragraphs)
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="{space}"><w:body>{body}</w:body></w:document>')
+        return out.getvalue()
+
+    rows = [(r["n_nationkey"], docx(f"First line of {r['n_name']}", "", f"Region {r['n_regionkey']}")) for r in table(spark, sf_dir, "nation").collect()]
+    reach_workers(spark)
+    return spark.createDataFrame(rows, "n_nationkey int, content binary").select("n_nationkey", files.document_text(F.col("content")).alias("text"))
