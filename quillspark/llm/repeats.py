@@ -55,6 +55,8 @@ SAMPLE, COMMON = 4000, 16
 LISTED = 1 << 17
 #: Different segments of an anchor that one index takes.
 HOT = 4096
+#: doc_ids with several texts that are sent to the texts (8 bytes each); beyond it both are shuffled.
+SENT = 500_000
 NULL_ID = -(1 << 63)
 _TABLE, _OTHER = np.random.default_rng(7).integers(0, 2**63, (2, 256), np.int64).astype(np.uint64)
 _B = 0x9E3779B97F4A7C15
@@ -182,7 +184,7 @@ def ranks(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
     return out
 
 
-#: A segment: anchor, hash of the content, document, hash of its text, and start * 128 + number of strings (at most SPAN). A covered span has 0 strings,
+#: A segment: anchor, hash of the content, document, its tag, and start * 128 + number of strings (at most SPAN). A covered span has 0 strings,
 #: and its length for the hash of a content. A segment whose anchor has too many for one index has ~at.
 ROWS = "key long, content long, doc long, tag long, at long"
 NAMES = ["key", "content", "doc", "tag", "at"]
@@ -517,9 +519,18 @@ def cut(text: bytes, starts: list[int], stops: list[int]) -> tuple[bytes, int, i
     return kept, len(text) - len(kept), spans
 
 
+def identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc, tag, data: rows are told apart by doc_id, and by a hash of the text where a doc_id has several texts (elsewhere the tag is 0, which packs well)."""
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("_tag"), F.col(text).cast("binary").alias("data"))
+    several = saved(rows.groupBy(F.col("doc").alias("_several")).agg(F.min("_tag").alias("_lo"), F.max("_tag").alias("_hi")).where("_lo <> _hi").select("_several"))
+    if several.count() <= SENT:
+        several = F.broadcast(several)
+    return rows.join(several, F.col("doc") == F.col("_several"), "left").select("doc", F.when(F.col("_several").isNull(), F.lit(0).cast("long")).otherwise(F.col("_tag")).alias("tag"), "data")
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
-    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("tag"), F.col(text).cast("binary").alias("data"))
+    texts = identified(docs, doc_id, text)
     spans = covered(texts).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     spans = spans.select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), "spans").hint("shuffle_hash")
     rows = texts.join(spans, (F.col("doc") == F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left").select("doc", "data", "spans.start", "spans.stop")

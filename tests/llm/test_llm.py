@@ -663,8 +663,10 @@ def test_repeats_by_single_strings_and_small_blocks(spark, hot, index, monkeypat
     assert {r["doc_id"]: tuple(r)[1:] for r in found} == brute_repeats(rows)
 
 
-def test_repeats_keep_to_their_own_text(spark):
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_repeats_keep_to_their_own_text(spark, sent, monkeypatch):
     """Rows that share a doc_id, or have none, but hold different texts are documents of their own."""
+    monkeypatch.setattr(repeats, "SENT", sent)
     r = random.Random(3)
     x, y, z = ("".join(r.choice("abcdefgh ") for _ in range(400)) for _ in range(3))
     rows = [(1, x), (7, y), (7, x), (7, z), (None, z), (None, z[:150] + "!" + z[150:]), (9, z)]
