@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 # Stop words, intent words and type heuristics as data.
 STOP_WORDS = (
-    "the a an is are was were be been being have has had do does did will would shall should can could may might "
-    "i me my we our you your he she it its they them this that these those in on at to for of with by from up about "
-    "into through during before after above below between and but or not no nor so if then else when where why how "
-    "all each every both few more most other some such only own same too very just also now here there"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "shall", "should",
+    "can", "could", "may", "might", "i", "me", "my", "we", "our", "you", "your", "he", "she", "it", "its", "they", "them", "this", "that", "these",
+    "those", "in", "on", "at", "to", "for", "of", "with", "by", "from", "up", "about", "into", "through", "during", "before", "after", "above", "below",
+    "between", "and", "but", "or", "not", "no", "nor", "so", "if", "then", "else", "when", "where", "why", "how", "all", "each", "every", "both", "few",
+    "more", "most", "other", "some", "such", "only", "own", "same", "too", "very", "just", "also", "now", "here", "there",
+)
 DOC_TYPE_INTENT = {
     "how": "how-to", "guide": "how-to", "steps": "how-to", "procedure": "how-to", "setup": "how-to", "configure": "how-to", "install": "how-to", "fix": "how-to", "solve": "how-to",
     "tutorial": "tutorial", "learn": "tutorial", "beginner": "tutorial",
@@ -31,9 +32,10 @@ TYPE_MARKS = (
 TEXT_EXTENSIONS = ("md", "txt", "rst", "org", "log", "jsonl")
 CODE_EXTENSIONS = ("py", "js", "ts", "rs", "go", "java", "cpp", "c", "h", "sh", "bash", "yaml", "yml", "toml", "json")
 KEYWORD_STOPS = (
-    "this that with from have been were they their about which what when where over into such other only also very "
-    "just some each both more most many and using the are was not all can has had its but"
-).split()
+    "this", "that", "with", "from", "have", "been", "were", "they", "their", "about", "which", "what", "when", "where", "over", "into", "such", "other",
+    "only", "also", "very", "just", "some", "each", "both", "more", "most", "many", "and", "using", "the", "are", "was", "not", "all", "can", "has",
+    "had", "its", "but",
+)
 CONTRADICT_WORDS = ("however", "but", "contrary", "unlike", "differs", "disagree")
 EXTEND_WORDS = ("additionally", "furthermore", "moreover", "extends", "builds on", "also")
 PASSIVE = ("is shown", "can be seen", "was performed", "were conducted", "has been demonstrated", "is considered", "are presented")
@@ -63,7 +65,7 @@ def strip(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of two or more of a-z and 0-9 that are no stop words."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]{2,})"), F.lit(1)), lambda t: ~t.isin(STOP_WORDS))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]{2,})"), F.lit(1)), lambda t: ~t.isin(*STOP_WORDS))
 
 
 def max_count(items: Column) -> Column:
@@ -157,7 +159,7 @@ def normal_keywords(keywords: Column) -> Column:
 
 def extracted_keywords(text: Column, most: int = 8) -> Column:
     found = F.regexp_extract_all(F.lower(text), F.lit("([a-zA-Z]{4,})"), F.lit(1))
-    return F.slice(F.array_distinct(F.filter(found, lambda w: ~w.isin(KEYWORD_STOPS))), 1, most)
+    return F.slice(F.array_distinct(F.filter(found, lambda w: ~w.isin(*KEYWORD_STOPS))), 1, most)
 
 
 def skill_keywords(tags: Column, name: Column, description: Column, most: int = 8) -> Column:

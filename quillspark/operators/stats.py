@@ -13,30 +13,33 @@ HUMAN = {"sentence_mean": (15, 25), "sentence_std": (8, 15), "sentence_cv": (0.3
 AI = {"sentence_mean": (18, 22), "sentence_std": (5, 8), "sentence_cv": (0.25, 0.45), "ttr": (0.50, 0.65), "hapax_ratio": (0.25, 0.40), "avg_word_len": (4.5, 5.8)}
 CATEGORIES = {
     "nouns": (
-        "system model data result method approach analysis performance evaluation dataset architecture framework algorithm component "
-        "configuration implementation parameter technique strategy process function structure network application solution task problem "
-        "feature metric accuracy error training inference layer module representation distribution classification detection generation "
-        "prediction optimization validation experiment finding limitation contribution domain context evidence hypothesis insight mechanism "
-        "phenomenon property relationship pattern trend variation"
-    ).split(),
+        "system", "model", "data", "result", "method", "approach", "analysis", "performance", "evaluation", "dataset", "architecture", "framework",
+        "algorithm", "component", "configuration", "implementation", "parameter", "technique", "strategy", "process", "function", "structure", "network",
+        "application", "solution", "task", "problem", "feature", "metric", "accuracy", "error", "training", "inference", "layer", "module", "representation",
+        "distribution", "classification", "detection", "generation", "prediction", "optimization", "validation", "experiment", "finding", "limitation",
+        "contribution", "domain", "context", "evidence", "hypothesis", "insight", "mechanism", "phenomenon", "property", "relationship", "pattern", "trend",
+        "variation",
+    ),
     "pronouns": (
-        "i you he she it we they me him her us them my your his its our their mine yours hers ours theirs myself yourself himself herself "
-        "itself ourselves yourselves themselves this that these those who whom whose which what someone anyone everyone nobody something "
-        "anything everything nothing"
-    ).split(),
+        "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them", "my", "your", "his", "its", "our", "their", "mine", "yours", "hers",
+        "ours", "theirs", "myself", "yourself", "himself", "herself", "itself", "ourselves", "yourselves", "themselves", "this", "that", "these", "those",
+        "who", "whom", "whose", "which", "what", "someone", "anyone", "everyone", "nobody", "something", "anything", "everything", "nothing",
+    ),
     "auxiliaries": (
-        "be am is are was were been being have has had having do does did doing can could will would shall should may might must not n't "
-        "i'm you're he's she's it's we're they're i've you've we've they've i'd you'd he'd she'd we'd they'd i'll you'll he'll she'll we'll "
-        "they'll ain't won't shan't don't doesn't didn't isn't aren't wasn't weren't haven't hasn't hadn't can't couldn't wouldn't shouldn't "
-        "mightn't mustn't"
-    ).split(),
+        "be", "am", "is", "are", "was", "were", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing", "can", "could", "will",
+        "would", "shall", "should", "may", "might", "must", "not", "n't", "i'm", "you're", "he's", "she's", "it's", "we're", "they're", "i've", "you've",
+        "we've", "they've", "i'd", "you'd", "he'd", "she'd", "we'd", "they'd", "i'll", "you'll", "he'll", "she'll", "we'll", "they'll", "ain't", "won't",
+        "shan't", "don't", "doesn't", "didn't", "isn't", "aren't", "wasn't", "weren't", "haven't", "hasn't", "hadn't", "can't", "couldn't", "wouldn't",
+        "shouldn't", "mightn't", "mustn't",
+    ),
     "adjectives": (
-        "new good high old great big small large long short early late young different important major key significant robust comprehensive "
-        "extensive detailed careful thorough rigorous novel innovative effective efficient optimal superior improved enhanced advanced modern "
-        "traditional conventional standard typical various several numerous multiple simple complex difficult easy hard clear obvious apparent "
-        "evident possible likely unlikely potential specific particular general overall current previous future recent prior available suitable "
-        "appropriate relevant common rare unique distinct similar"
-    ).split(),
+        "new", "good", "high", "old", "great", "big", "small", "large", "long", "short", "early", "late", "young", "different", "important", "major", "key",
+        "significant", "robust", "comprehensive", "extensive", "detailed", "careful", "thorough", "rigorous", "novel", "innovative", "effective",
+        "efficient", "optimal", "superior", "improved", "enhanced", "advanced", "modern", "traditional", "conventional", "standard", "typical", "various",
+        "several", "numerous", "multiple", "simple", "complex", "difficult", "easy", "hard", "clear", "obvious", "apparent", "evident", "possible", "likely",
+        "unlikely", "potential", "specific", "particular", "general", "overall", "current", "previous", "future", "recent", "prior", "available", "suitable",
+        "appropriate", "relevant", "common", "rare", "unique", "distinct", "similar",
+    ),
 }
 # End of fixed values.
 CONFIDENCE_BUCKETS = ((0.3, "0.0-0.3"), (0.6, "0.3-0.6"), (0.8, "0.6-0.8"))
@@ -83,8 +86,11 @@ def contradictions(articles: DataFrame) -> DataFrame:
 
 
 def coverage(modules: DataFrame, articles: DataFrame) -> DataFrame:
-    """module, status: whether a help article, another or none names the module. Modules are few: they go to the texts."""
-    hit = articles.select("type", F.lower("body").alias("_t")).join(F.broadcast(modules), text.docaudit_match(F.col("_t"), F.col("module")))
+    """module, status: whether a help article, another or none names the module. The list of modules goes to the texts as one row, and every text is looked through once for
+    each; only hits become rows."""
+    listed = modules.agg(F.collect_list("module").alias("_m"))
+    hit = articles.select("type", F.lower("body").alias("_t")).crossJoin(F.broadcast(listed))
+    hit = hit.select("type", F.filter("_m", lambda m: text.docaudit_match(F.col("_t"), m)).alias("_m")).select("type", F.explode_outer("_m").alias("module")).where("module IS NOT NULL")
     known = hit.groupBy("module").agg(F.max((F.col("type") == "help").cast("int")).alias("_h"), F.count(F.lit(1)).alias("matches"))
     out = modules.join(known, "module", "left")
     return out.select("module", F.coalesce("matches", F.lit(0)).alias("matches"), F.when(F.col("_h") == 1, "DOCUMENTED").when(F.col("_h") == 0, "PARTIAL").otherwise("UNDOCUMENTED").alias("status"))
@@ -148,7 +154,7 @@ def human_share(metrics: DataFrame) -> DataFrame:
 def category_ratios(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
     """Counts and shares of word categories, within the row."""
     rows = docs.select(key, text.words(F.col(body)).alias("_w"))
-    count = lambda name: F.size(F.filter("_w", lambda w: w.isin(CATEGORIES[name])))
+    count = lambda name: F.size(F.filter("_w", lambda w: w.isin(*CATEGORIES[name])))
     rows = rows.select(key, F.size("_w").alias("total"), *[count(n).alias(n) for n in CATEGORIES])
     share = lambda c: F.round(c / F.greatest(F.col("total"), F.lit(1)) * 100, 1)
     return rows.select(
