@@ -9,7 +9,7 @@ from quillspark.operators import articles as A
 from quillspark.operators import search as S
 from quillspark.plans import sql
 from quillspark.plans.article_queries import view
-from quillspark.plans.registry import register
+from quillspark.plans.registry import ORACLES, register
 from quillspark.session import table
 
 PLAIN = "ing tion er"
@@ -126,3 +126,18 @@ SELECT finding_id, slug, round(score, 6) AS score FROM (SELECT *, row_number() O
 def finding_matches(spark, sf_dir):
     found = S.best_matches(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("finding_id"), F.col("text").alias("claim")), view(spark, sf_dir))
     return found.select("finding_id", "slug", F.round("score", 6).alias("score"))
+
+
+_notes = ORACLES["finding_matches"].replace("FROM documents", "FROM (SELECT * FROM documents WHERE doc_id % 8 = 4)")
+
+
+@register(
+    "claim_citations",
+    f"SELECT finding_id, slug, CASE CAST(slug[5:] AS BIGINT) % 3 WHEN 0 THEN 'Adams' WHEN 1 THEN 'Conti' END AS author, CASE CAST(slug[5:] AS BIGINT) % 3 WHEN 0 THEN 2000 + CAST(slug[5:] AS BIGINT) % 20 WHEN 1 THEN 1990 + CAST(slug[5:] AS BIGINT) % 20 END AS year FROM ({_notes})",
+)
+def claim_citations(spark, sf_dir):
+    """The research note that a claim is nearest to, and what its title says of author and year."""
+    i = F.col("doc_id")
+    title = F.when(i % 3 == 0, F.concat(F.lit("Adams et al. "), 2000 + i % 20, F.lit(" — On it"))).when(i % 3 == 1, F.concat(F.lit("Conti "), 1990 + i % 20, F.lit(" On it"))).otherwise("on it")
+    claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("finding_id"), F.col("text").alias("claim"))
+    return S.claim_citations(claims, view(spark, sf_dir).withColumn("title", title))
