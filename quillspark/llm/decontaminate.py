@@ -151,7 +151,7 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     gone = saved(hits(seen, known).select("row").distinct().join(seen.select("row", "digest"), "row").select(F.col("digest").alias("_gone")).distinct())
     if gone.count() <= SENT:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.unhex(F.sha2(docs["text"].cast("binary"), 256)) == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.unhex(F.sha2(docs["text"].cast("binary"), 256)) == gone["_gone"], "left_anti")
 
 
 _words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+')"

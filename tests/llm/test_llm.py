@@ -752,6 +752,14 @@ def test_leaks_against_brute_force(spark, rows, bits, common, monkeypatch):
     assert all(r["contaminated"] == bool(r["items"]) and r["n_items"] == len(r["items"]) for r in found)
 
 
+def test_leaks_pass_columns_through_whatever_their_names(spark, odd):
+    items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog")], "item_id long, text string")
+    named = odd.withColumnRenamed("key", "_gone").withColumnRenamed("node", "row").withColumnRenamed("label", "digest").withColumnRenamed("size", "set")
+    kept = decontaminate.keep_clean(named, items)
+    assert kept.columns == named.columns and kept.count() == odd.count() - 1
+    assert decontaminate.decontaminate(named, items).where("contaminated").count() == 1
+
+
 def test_leaks_odd(spark, odd, none):
     items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog", 1)], "item_id long, text string, doc_id long")
     assert {r["doc_id"] for r in decontaminate.decontaminate(odd, items).where("contaminated").collect()} == {9}
