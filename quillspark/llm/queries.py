@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat_format, decontaminate, fingerprints, html_extract, language_id, mixture, near_dedup, repeats, secret_scan, sharding
+from quillspark.llm import chat_format, decontaminate, divergence, fingerprints, html_extract, language_id, mixture, near_dedup, ranking, repeats, secret_scan, sharding
 from quillspark.session import table
 
 
@@ -53,11 +53,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("items", F.array_join(F.transform("items", lambda i: i.cast("string")), ","))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return own | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op2_chat_format": chat_format.ORACLE, "op3_near_dedup": near_dedup.ORACLE, "op7_mixture": mixture.ORACLE, "op10_decontamination": decontaminate.ORACLE}
+    found = {"op2_chat_format": chat_format.ORACLE, "op3_near_dedup": near_dedup.ORACLE, "op7_mixture": mixture.ORACLE, "op10_decontamination": decontaminate.ORACLE, "op11_ranked_search": ranking.ORACLE, "op12_divergence": divergence.ORACLE}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
