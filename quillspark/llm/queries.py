@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat_format, decontaminate, divergence, fingerprints, html_extract, language_id, mixture, near_dedup, ranking, repeats, secret_scan, sharding
+from quillspark.llm import chat_format, decontaminate, divergence, fingerprints, html_extract, language_id, mixture, near_dedup, personal_data, ranking, repeats, secret_scan, sharding
 from quillspark.session import table
 
 
@@ -61,6 +61,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return own | {"pipeline": corpus_pipeline.run}
