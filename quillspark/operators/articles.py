@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import scores, text
+from quillspark.session import reach_workers
 
 DOC_TYPES = ("tutorial", "how-to", "reference", "explanation")
 KEYWORDS = 10
@@ -44,16 +47,28 @@ def article_view(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 def postings(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
-    """key, term, tf, max_tf, counted within the row: a term's count is the length of its run among the sorted tokens, so tokens are not shuffled."""
-    at = lambda p: F.try_element_at("_t", p)
-    rows = docs.select(key, F.sort_array(text.tokens(F.col(body))).alias("_t"))
-    first = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_t"), F.lit(1))), lambda p: (p == 1) | (at(p) != at(F.greatest(p - 1, F.lit(1)))))
-    rows = rows.select(key, "_t", first.alias("_f"))
-    rows = rows.select(key, "_t", "_f", F.array_append(F.slice("_f", F.lit(2), F.size("_t") + 1), F.size("_t") + 1).alias("_e"))
-    rows = rows.select(key, F.zip_with("_f", "_e", lambda p, e: F.struct(at(p).alias("term"), (e - p).cast("long").alias("tf"))).alias("_c"))
-    rows = rows.select(key, "_c", F.array_max(F.transform("_c", lambda c: c["tf"])).alias("max_tf"))
-    # an outer explode: from an inner one a filter on the size is inferred, which would count once more below
-    return rows.select(key, F.explode_outer("_c").alias("_c"), "max_tf").select(key, "_c.term", "_c.tf", "max_tf").where("term IS NOT NULL")
+    """key, term, tf, max_tf, counted within the row in Arrow batches, so tokens are not shuffled. Null and empty bodies have none."""
+    import pyarrow as pa
+
+    def count(batches):
+        stops = set(text.STOP_WORDS)
+        tokens = re.compile("[a-z0-9]{2,}")
+        for b in batches:
+            rows, terms, counts, tops = [], [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                found = Counter(tokens.findall(t.lower())) if t else Counter()
+                for w in stops & found.keys():
+                    del found[w]
+                if found:
+                    n = len(found)
+                    rows += [i] * n
+                    terms += found.keys()
+                    counts += found.values()
+                    tops += [max(found.values())] * n
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(terms, pa.string()), pa.array(counts, pa.int64()), pa.array(tops, pa.int64())], [key, "term", "tf", "max_tf"])
+
+    reach_workers(docs.sparkSession)
+    return docs.select(key, body).mapInArrow(count, f"{key} {docs.schema[key].dataType.simpleString()}, term string, tf long, max_tf long")
 
 
 def document_frequencies(posted: DataFrame, total: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -8,12 +8,12 @@ from quillspark.functions import scores, text
 from quillspark.operators import articles as A
 from quillspark.plans import sql
 from quillspark.plans.registry import register
-from quillspark.session import table
+from quillspark.session import table, texts
 
 
 def view(spark, sf_dir, confidence=False):
     """The article view; `labels` are joined only where confidence is asked for."""
-    return A.article_view(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels") if confidence else None)
+    return A.article_view(texts(spark, sf_dir), table(spark, sf_dir, "labels") if confidence else None)
 
 
 @register("article_list", f"WITH {sql.ARTICLES} SELECT slug, title, type, lifecycle, sensitivity, doc_type, body_words, retrieval_count, confidence FROM art WHERE type = 'plan' AND lifecycle = 'current' AND sensitivity IN ('public', 'internal')")

@@ -9,12 +9,12 @@ from quillspark.operators import jsondocs as J
 from quillspark.operators import lifecycle as LC
 from quillspark.plans.misc_queries import _titles
 from quillspark.plans.registry import register
-from quillspark.session import table
+from quillspark.session import table, texts
 from quillspark.sources import files
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    return texts(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
 
 
 _docs = "d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents)"
@@ -143,5 +143,5 @@ def json_words(spark, sf_dir):
 @register("front_fields", "SELECT doc_id, 'doc-' || doc_id AS slug, lang, '' AS missing FROM documents WHERE lang IS NOT NULL")
 def front_fields(spark, sf_dir):
     raw = F.concat(F.lit("slug: doc-"), F.col("doc_id"), F.lit("\ntitle: lang: no\nlang:  "), F.col("lang"), F.lit(" \nbody: "), F.regexp_replace(F.coalesce("text", F.lit("")), "[\r\n]+", " "))
-    rows = table(spark, sf_dir, "documents").where("lang IS NOT NULL").select("doc_id", raw.alias("raw"))
+    rows = texts(spark, sf_dir).where("lang IS NOT NULL").select("doc_id", raw.alias("raw"))
     return rows.select("doc_id", *[text.field(F.col("raw"), n).alias(n) for n in ("slug", "lang", "missing")])

@@ -17,7 +17,7 @@ from quillspark.plans import research_queries, sql
 from quillspark.plans.article_queries import view
 from quillspark.plans.registry import ORACLES, register
 from quillspark.plans.stat_queries import _tasks, order_tasks, turn_log
-from quillspark.session import table
+from quillspark.session import table, texts
 from quillspark.sources import files, synthetic, tables
 
 
@@ -471,7 +471,7 @@ def merged_citations(spark, sf_dir):
     """Field by field the first of three sources that has it."""
     i = F.col("doc_id")
     fields = LC.merged_citation({"title": F.when(i % 3 == 0, "given")}, {"title": F.when(i % 3 == 1, "parsed"), "journal": F.col("lang")}, {"title": F.lit("none")})
-    return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in fields.items()])
+    return texts(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in fields.items()])
 
 
 def _parity(row: dict) -> str:

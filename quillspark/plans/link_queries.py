@@ -10,11 +10,11 @@ from quillspark.operators import linking as L
 from quillspark.plans import sql
 from quillspark.plans.article_queries import view
 from quillspark.plans.registry import register
-from quillspark.session import saved, table
+from quillspark.session import saved, table, texts
 
 
 def tiered(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     kw = A.keywords(docs)
     return L.tiers(kw, L.frequencies(kw, docs))
 
@@ -62,14 +62,14 @@ _plain = f"WITH {sql.KEYWORDS}, {_freq}, br AS (SELECT doc_id, kw, idf FROM kw J
 
 @register("link_legacy_idf", f"{_plain} SELECT a, b, round(score, 6) AS score FROM (SELECT x.doc_id AS a, y.doc_id AS b, round(sum(x.idf), 9) AS score FROM br x JOIN br y ON x.kw = y.kw AND x.doc_id < y.doc_id GROUP BY 1, 2) WHERE score >= 5.5")
 def link_legacy_idf(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     kw = saved(A.keywords(docs))
     return L.legacy_idf(kw, L.frequencies(kw, docs)).select("a", "b", F.round("score", 6).alias("score"))
 
 
 @register("link_legacy_count", f"{_plain} SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM br x JOIN br y ON x.kw = y.kw AND x.doc_id < y.doc_id GROUP BY 1, 2 HAVING count(*) >= 2")
 def link_legacy_count(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     kw = saved(A.keywords(docs))
     return L.legacy_count(kw, L.frequencies(kw, docs))
 
@@ -105,7 +105,7 @@ def related_lists(spark, sf_dir):
 @register("kg_export", f"{sql.MUTUAL}, sh AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM kw x JOIN kw y ON x.kw = y.kw AND x.doc_id < y.doc_id GROUP BY 1, 2) SELECT 'doc-' || a AS source, 'doc-' || b AS target, greatest(coalesce(c, 0), 1) AS weight FROM mut LEFT JOIN sh USING (a, b)")
 def kg_export(spark, sf_dir):
     edges = mutual_edges(spark, sf_dir)[0]
-    kw = A.keywords(table(spark, sf_dir, "documents"))
+    kw = A.keywords(texts(spark, sf_dir))
     rows = edges.join(kw.withColumnRenamed("doc_id", "a"), "a").join(kw.select(F.col("doc_id").alias("b"), F.col("kw").alias("_k")), "b")
     shared = rows.groupBy("a", "b").agg(F.sum((F.col("kw") == F.col("_k")).cast("long")).alias("weight"))
     name = lambda c: F.concat(F.lit("doc-"), F.col(c))
@@ -120,7 +120,7 @@ def kg_by_type(spark, sf_dir):
 
 @register("merge_with", f"WITH {sql.KEYWORDS}, o AS (SELECT kw FROM kw WHERE doc_id = 5), s AS (SELECT doc_id, count(*) AS shared FROM kw JOIN o USING (kw) WHERE doc_id <> 5 GROUP BY doc_id), z AS (SELECT doc_id, count(*) AS n FROM kw GROUP BY doc_id) SELECT doc_id, shared, round(CAST(shared AS DOUBLE) / least(n, (SELECT count(*) FROM o)), 4) AS ratio FROM s JOIN z USING (doc_id) WHERE CAST(shared AS DOUBLE) / least(n, (SELECT count(*) FROM o)) > 0.5")
 def merge_with(spark, sf_dir):
-    kw = A.keywords(table(spark, sf_dir, "documents"))
+    kw = A.keywords(texts(spark, sf_dir))
     own = kw.where("doc_id = 5").agg(F.collect_list("kw").alias("_own"))  # keywords of one article
     rows = kw.where("doc_id <> 5").groupBy("doc_id").agg(F.collect_list("kw").alias("_kw")).crossJoin(F.broadcast(own))
     shared = F.size(F.array_intersect("_kw", "_own"))

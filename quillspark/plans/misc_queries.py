@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import biblio, risk, scores, text
 from quillspark.plans.registry import register
-from quillspark.session import table
+from quillspark.session import table, texts
 
 
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return texts(spark, sf_dir)
 
 
 @register("doi_extract", "SELECT doc_id, '10.' || (1000 + doc_id) || '/abc.' || doc_id AS doi, '2101.' || lpad(CAST(doc_id % 10000 AS VARCHAR), 5, '0') AS arxiv FROM documents")

@@ -12,7 +12,7 @@ from quillspark.operators import rewrites as RW
 from quillspark.plans import sql
 from quillspark.plans.article_queries import view
 from quillspark.plans.registry import register
-from quillspark.session import table
+from quillspark.session import table, texts
 
 
 # whole texts with phrases of every kind put before and behind them
@@ -21,7 +21,7 @@ _planted = f"'{_HEAD}' || coalesce(text, '') || '{_TAIL}'"
 
 
 def planted(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(_HEAD), F.coalesce("text", F.lit("")), F.lit(_TAIL)).alias("text"))
+    return texts(spark, sf_dir).select("doc_id", F.concat(F.lit(_HEAD), F.coalesce("text", F.lit("")), F.lit(_TAIL)).alias("text"))
 
 
 def _vocabulary_sql(x: str) -> str:
@@ -59,7 +59,7 @@ def rewrite_contractions(spark, sf_dir):
 def rewrite_scores(spark, sf_dir):
     from quillspark.plans.stat_queries import PHRASES
 
-    return RW.sweep_scores(table(spark, sf_dir, "documents"), spark.createDataFrame(PHRASES, "word string, category string, ratio string"))
+    return RW.sweep_scores(texts(spark, sf_dir), spark.createDataFrame(PHRASES, "word string, category string, ratio string"))
 
 
 _stops = ", ".join(f"'{w}'" for w in text.KEYWORD_STOPS)
@@ -76,7 +76,7 @@ b AS (SELECT doc_id, max(struct_pack(ratio := ratio, shared := shared)) AS b FRO
 SELECT doc_id, CASE WHEN r > 1 THEN 'duplicate' WHEN len(trim(text)) < 500 THEN 'rejected' WHEN b.ratio > 0.6 AND b.shared >= 3 THEN 'skipped' WHEN b.ratio > 0.4 THEN 'review' ELSE 'ingested' END AS outcome FROM rn LEFT JOIN b USING (doc_id)""",
 )
 def batch_ingest(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     kw = A.keywords(docs).groupBy("doc_id").agg(F.collect_list("kw").alias("keywords")).withColumnRenamed("doc_id", "slug")
     return R.ingested(docs.select("doc_id", "text"), kw, name="doc_id").select("doc_id", "outcome")
 
@@ -100,7 +100,7 @@ def report_validation(spark, sf_dir):
 )
 def tier_migration(spark, sf_dir):
     """Keywords moved to tiers, with the check that none is lost."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     kw = A.keywords(docs)
     tiered = L.tiers(kw, L.frequencies(kw, docs))
     before = kw.groupBy("doc_id").agg(F.array_sort(F.collect_set("kw")).alias("_before"))

@@ -10,7 +10,7 @@ from quillspark.operators import search as S
 from quillspark.plans import sql
 from quillspark.plans.article_queries import view
 from quillspark.plans.registry import ORACLES, register
-from quillspark.session import table
+from quillspark.session import table, texts
 
 PLAIN = "ing tion er"
 GUIDED = "guide ing tion mente"
@@ -66,14 +66,14 @@ def search_snippet(spark, sf_dir):
 
 @register("df_idf_top", f"WITH {sql.POSTINGS} SELECT term, df, round(idf, 6) AS idf FROM df ORDER BY df DESC, term LIMIT 50")
 def df_idf_top(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     df = A.document_frequencies(A.postings(docs), docs.agg(F.count(F.lit(1)).alias("n")))
     return df.orderBy(F.desc("df"), "term").limit(50).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @register("doc_keywords", f"WITH {sql.KEYWORDS} SELECT doc_id, kw FROM kw")
 def doc_keywords(spark, sf_dir):
-    return A.keywords(table(spark, sf_dir, "documents"))
+    return A.keywords(texts(spark, sf_dir))
 
 
 _dot = "list_sum(list_transform(range(1, 65), lambda i: CAST(v.embedding[i] AS DOUBLE) * CAST(q.embedding[i] AS DOUBLE)))"
@@ -106,13 +106,13 @@ def hybrid_rrf(spark, sf_dir):
 
 @register("paper_search", "SELECT 'doc-' || doc_id AS slug, len(text) AS char_count, text[1:200] AS snippet FROM documents WHERE text ILIKE '%tion%' AND text ILIKE '%ing%' ORDER BY char_count DESC, slug LIMIT 10")
 def paper_search(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("slug"), F.col("text").alias("full_text"))
+    docs = texts(spark, sf_dir).select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("slug"), F.col("text").alias("full_text"))
     return S.all_terms_like(docs, "tion, ing").withColumn("char_count", F.col("char_count").cast("long"))
 
 
 @register("term_snippet", "WITH p AS (SELECT doc_id, text, instr(lower(text), 'tion') AS a FROM documents), b AS (SELECT *, greatest(a - 150, 1) AS lo, least(a + 3 + 150, len(text)) AS hi FROM p) SELECT doc_id, CASE WHEN a > 0 THEN CASE WHEN lo > 1 THEN '…' ELSE '' END || text[lo:hi] || CASE WHEN hi < len(text) THEN '…' ELSE '' END ELSE text[1:300] END AS snippet FROM b")
 def term_snippet(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.snippet_around(F.col("text"), F.lit("tion")).alias("snippet"))
+    return texts(spark, sf_dir).select("doc_id", text.snippet_around(F.col("text"), F.lit("tion")).alias("snippet"))
 
 
 @register(

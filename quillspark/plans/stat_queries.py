@@ -11,7 +11,7 @@ from quillspark.operators import stats as ST
 from quillspark.plans import sql
 from quillspark.plans.article_queries import view
 from quillspark.plans.registry import register
-from quillspark.session import table
+from quillspark.session import table, texts
 
 
 @register(
@@ -84,12 +84,12 @@ SELECT doc_id, sentences, n AS total_words, coalesce(u, 0) AS unique_words, roun
  round(CASE WHEN n > 0 THEN CAST(h AS DOUBLE) / n ELSE 0 END, 3) AS hapax_ratio, round(CASE WHEN n > 0 THEN c / n ELSE 0 END, 1) AS avg_word_len, round(CASE WHEN n > 0 THEN CAST(t AS DOUBLE) / n ELSE 0 END, 3) AS repetition_ratio FROM v LEFT JOIN wa USING (doc_id)""",
 )
 def text_variance(spark, sf_dir):
-    return ST.text_variance(table(spark, sf_dir, "documents"))
+    return ST.text_variance(texts(spark, sf_dir))
 
 
 @register("sentence_histogram", f"SELECT CAST(floor(n / 5) * 5 AS BIGINT) AS bucket, count(*) AS sentences FROM (SELECT unnest({_sent}) AS n FROM documents) GROUP BY 1")
 def sentence_histogram(spark, sf_dir):
-    return ST.sentence_histogram(table(spark, sf_dir, "documents"))
+    return ST.sentence_histogram(texts(spark, sf_dir))
 
 
 def _count(name: str) -> str:
@@ -107,7 +107,7 @@ SELECT *, {_share.format('nouns', 'noun_ratio')}, {_share.format('pronouns', 'pr
  round(CAST(nouns AS DOUBLE) / greatest(pronouns, 1), 1) AS noun_pronoun_ratio, {_share.format('(pronouns + auxiliaries)', 'functional_ratio')} FROM c""",
 )
 def category_ratios(spark, sf_dir):
-    return ST.category_ratios(table(spark, sf_dir, "documents"))
+    return ST.category_ratios(texts(spark, sf_dir))
 
 
 PHRASES = [("tion", "syllable", "~2x"), ("the_of", "formulaic_phrase", "~50x"), ("que_la", "formulaic_phrase", "~35x"), ("ing", "syllable", "~1x"), ("mente", "syllable", "none"), ("thth", "syllable", "~30x"), ("nowhere", "syllable", "~9x")]
@@ -123,7 +123,7 @@ SELECT *, CASE WHEN matches = 0 THEN 'clean' WHEN severe >= 3 AND density > 5 TH
 )
 def phrase_scan(spark, sf_dir):
     phrases = spark.createDataFrame(PHRASES, "word string, category string, ratio string")
-    return ST.phrase_scan(table(spark, sf_dir, "documents"), phrases)
+    return ST.phrase_scan(texts(spark, sf_dir), phrases)
 
 
 @register("dedup_groups", "SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -133,7 +133,7 @@ def dedup_groups(spark, sf_dir):
 
 @register("quality_verdict", "SELECT doc_id, CASE WHEN len(trim(text)) < 500 THEN 'reject' WHEN len(trim(text)) < 5000 THEN 'warn' ELSE 'ok' END AS verdict FROM documents")
 def quality_verdict(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.quality_verdict(F.col("text")).alias("verdict"))
+    return texts(spark, sf_dir).select("doc_id", text.quality_verdict(F.col("text")).alias("verdict"))
 
 
 _mixed = "lower(text || ' ' || ['First, step 1.', 'The study and its findings', 'milestone and timeline', 'architecture of the service api', 'a guide for usage', ''][CAST(doc_id % 6 + 1 AS INT)])"
@@ -147,12 +147,12 @@ def _type_sql() -> str:
 @register("type_heuristic", _type_sql())
 def type_heuristic(spark, sf_dir):
     extra = F.element_at(F.array(*map(F.lit, ("First, step 1.", "The study and its findings", "milestone and timeline", "architecture of the service api", "a guide for usage", ""))), (F.col("doc_id") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.article_type(F.concat("text", F.lit(" "), extra)).alias("type"))
+    return texts(spark, sf_dir).select("doc_id", text.article_type(F.concat("text", F.lit(" "), extra)).alias("type"))
 
 
 @register("file_metrics", "SELECT doc_id, len(string_split(text, chr(10))) AS lines, len(text) AS chars, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS words FROM documents")
 def file_metrics(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.file_metrics(F.col("text")).alias("m")).select("doc_id", "m.lines", "m.chars", "m.words")
+    return texts(spark, sf_dir).select("doc_id", text.file_metrics(F.col("text")).alias("m")).select("doc_id", "m.lines", "m.chars", "m.words")
 
 
 # queues on the order tables

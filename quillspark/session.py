@@ -64,3 +64,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where the files are fewer than these: one row group is one task otherwise. Large tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for queries that work on whole texts."""
+    return spread(table(spark, sf_dir, "documents"))

@@ -46,10 +46,14 @@ def test_rhythm_joins_runs_of_short_sentences_pair_by_pair(spark):
 def test_sweep_scores(spark):
     text = "Moreover, the tools of the model are good and robust in their way. It is a cat. " * 4
     phrases = spark.createDataFrame([("robust", "word", "~40x")], "word string, category string, ratio string")
-    found = {r["stage"]: r for r in RW.sweep_scores(spark.createDataFrame([(1, text), (2, "short"), (3, None)], "doc_id long, text string").where("doc_id = 1"), phrases).collect()}
-    assert list(found) != [] and set(found) == {"before", *RW.SWEEPS}
+    docs = spark.createDataFrame([(1, text), (2, "short"), (3, None), (4, ""), (5, "One word. Two. Three.")], "doc_id long, text string")
+    every = {(r["doc_id"], r["stage"]): r for r in RW.sweep_scores(docs, phrases).collect()}
+    assert set(every) == {(d, s) for d in range(1, 6) for s in ("before", *RW.SWEEPS)}
+    found = {s: r for (d, s), r in every.items() if d == 1}
     assert found["before"]["fingerprints"] == 1 and found["vocabulary"]["fingerprints"] == 0 and found["vocabulary"]["fingerprints_change"] == -1
-    assert all(0 <= r["human_pct"] <= 100 for r in found.values()) and found["before"]["human_pct_change"] == 0
+    assert all(0 <= r["human_pct"] <= 100 for r in every.values()) and found["before"]["human_pct_change"] == 0
+    assert {s: (r["words"], r["fingerprints"], r["human_pct"]) for (d, s), r in every.items() if d in (3, 4)} == dict.fromkeys(found, (0, 0, 0))
+    assert {r["words"] for (d, _), r in every.items() if d == 2} == {1} and {r["fingerprints_change"] for (d, _), r in every.items() if d > 1} == {0}
 
 
 def test_research_run(spark):
