@@ -18,7 +18,8 @@ So no link between different components is left out, components are those of all
 drifted apart costs its few doubtful pairs.
 
 Odd input: a null text or one without words has an empty set, is linked with nothing and is its own component; a null
-doc_id is linked with nothing and has a null component; rows that repeat a doc_id are one document; ties cannot occur, as
+doc_id is linked with nothing and has a null component; rows that repeat a doc_id are one document: it is linked with what any of its
+texts is linked with, whatever the order of the rows; doc_ids are whole numbers; ties cannot occur, as
 components are named by their least doc_id; texts of any length are taken whole; an empty table gives an empty result; other columns are never read. `keep_one`
 goes by rows where a doc_id is null or repeated, so each row is a document there.
 """
@@ -237,6 +238,8 @@ def cross_pairs(shared: DataFrame, labels: DataFrame, nodes: DataFrame, tested:
 def near_dedup(docs: DataFrame, signed: DataFrame | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row. `signed` has the signatures of docs, if they are there."""
     signed = saved(signatures(docs)) if signed is None else signed
+    if several_texts(signed):
+        return near_dedup_rows(docs)
     nodes = saved(signed.where("set_hash IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")))
     rows = key_rows(nodes)
     centres = rows.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -253,6 +256,24 @@ def near_dedup(docs: DataFrame, signed: DataFrame | None = None) -> DataFrame:
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def several_texts(signed: DataFrame) -> bool:
+    """Whether a doc_id has different sets; texts could not be fetched by doc_id then."""
+    sets = F.coalesce("set_hash", F.lit(b""))
+    return bool(signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(sets).alias("lo"), F.max(sets).alias("hi")).where("lo < hi").limit(1).count())
+
+
+def near_dedup_rows(docs: DataFrame) -> DataFrame:
+    """The same where a doc_id has several texts: rows are joined by keys of their own, then doc_ids by the groups of their rows."""
+    keyed = saved(docs.select(F.monotonically_increasing_id().alias("r"), F.col("doc_id").cast("long").alias("i"), "text"))
+    placed = near_dedup(keyed.select(F.col("r").alias("doc_id"), "text")).select(F.col("doc_id").alias("r"), "n_shingles", "component_id")
+    placed = saved(placed.join(keyed.select("r", "i"), "r"))
+    known = placed.where("i IS NOT NULL")
+    least = known.groupBy("component_id").agg(F.min("i").alias("b"))
+    labels = components(known.join(least, "component_id").select(F.col("i").alias("a"), "b"))
+    out = placed.join(labels, placed["i"] == labels["node"], "left")
+    return out.select(F.col("i").alias("doc_id"), "n_shingles", F.col("label").alias("component_id"), F.coalesce(F.col("i") == F.col("label"), F.lit(True)).alias("kept"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of every component, with the columns it came with."""
     signed = saved(signatures(docs))
