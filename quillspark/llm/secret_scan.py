@@ -30,10 +30,12 @@ from quillspark.llm.common import map_arrow
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: Weak candidates: kind, provider, role, pattern. The span is the last group, or the match.
+CLOUD, REST = ".amazonaws.com", re.compile(r"[^\s\"'<>,;]*")
+HOST = "abcdefghijklmnopqrstuvwxyz0123456789.-"
+#: Weak candidates: kind, provider, role, pattern. The span is the last group, or the match; hosts of the cloud are found by `cloud_hosts`.
 WEAK = (
     ("linked_secret", "cloud", "secret", re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")),
-    ("linked_endpoint", "cloud", "endpoint", re.compile(r"(?a)(?:\bhttps?://)?\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com\b[^\s\"'<>,;]*")),
+    ("linked_endpoint", "cloud", "endpoint", None),
     ("linked_endpoint", "service", "endpoint", re.compile(r"""(?ai)\b(?:endpoint|hostname|host|base_?url|url|server)["']?\x20*[:=]\x20*["']?((?:[a-z]+://)?[a-z0-9-]+(?:\.[a-z0-9-]+)+[^\s"'<>,;]*)""")),
     ("linked_id", "service", "identifier", re.compile(r"""(?ai)\b(?:user_?name|user|login|client_?id|account_?id|account)["']?\x20*[:=]\x20*["']?([a-z0-9_.@+-]{3,})""")),
 )
@@ -53,6 +55,48 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
+def word(text: str, at: int) -> bool:
+    """Whether a letter, digit or _ of ASCII is there."""
+    c = text[at : at + 1]
+    return c.isascii() and (c.isalnum() or c == "_")
+
+
+def cloud_hosts(text: str, lo: int, hi: int):
+    """Spans of `[http[s]://]label[.label...].amazonaws.com[rest]`, leftmost, that begin at a word's edge: the fixed part is looked for, then the labels before it, each character once."""
+    at = text.find(CLOUD, lo, hi)
+    tried = lo
+    while at >= 0:
+        end = at + len(CLOUD)
+        found = None
+        if at > lo and text[at - 1] in HOST and text[at - 1] != "." and not (end < hi and word(text, end)):
+            double = text.rfind("..", tried, at)
+            start, width = at, 64
+            floor = lo if double < 0 else double + 2
+            while start > floor:  # the run of host characters before, in growing steps
+                part = text[max(floor, at - width) : at]
+                start = at - (len(part) - len(part.rstrip(HOST)))
+                if start > max(floor, at - width):
+                    break
+                width *= 4
+            cut = text.rfind("..", start, at)
+            start = max(start, cut + 2) if cut >= 0 else start
+            for s in range(start, at):
+                if text[s] != "." and word(text, s) != (s > 0 and word(text, s - 1)):
+                    found = s
+                    break
+        if found is not None:
+            for scheme in ("https://", "http://"):
+                k = found - len(scheme)
+                if k >= lo and text.startswith(scheme, k) and not (k > 0 and word(text, k - 1)):
+                    found = k
+                    break
+            end = REST.match(text, end, hi).end()
+            yield found, end
+            lo = end
+        tried = end
+        at = text.find(CLOUD, end, hi)
+
+
 def linked_spans(text: str, base: list[tuple[int, int, str, int]]) -> list[tuple[int, int, str, int]]:
     """Weak candidates with a complementary base part in their scope. Only sections with a base part are searched."""
     cuts = [m.start() for m in SECTION.finditer(text)]
@@ -70,8 +114,8 @@ def linked_spans(text: str, base: list[tuple[int, int, str, int]]) -> list[tuple
         for kind, provider, role, pattern in WEAK:
             if not any(p == provider and r != role for p, r in parts):
                 continue
-            for m in pattern.finditer(text, bounds[scope], bounds[scope + 1]):
-                s, e = m.span(m.lastindex or 0)
+            lo, hi = bounds[scope], bounds[scope + 1]
+            for s, e in (m.span(m.lastindex or 0) for m in pattern.finditer(text, lo, hi)) if pattern else cloud_hosts(text, lo, hi):
                 before = bisect.bisect_right(starts, s)
                 if before and e <= tops[before - 1]:
                     continue  # within a base span
