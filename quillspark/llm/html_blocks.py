@@ -1,9 +1,13 @@
-"""Leaf blocks of a DOM: one forgiving pass over the tags of a page, without a tree."""
+"""Leaf blocks of a DOM: one forgiving pass over the tags of a page, without a tree, in time linear in its length.
+
+Quoted values may hold any character; once a tag's quotes never close, this and later tags end at their first `>`. What follows the last `>` of a page holds no tag. A block knows its NEAR nearest ancestors.
+"""
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -11,6 +15,9 @@ TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z][^>]*>""",
     re.S,
 )
+#: The same where quotes cannot be relied on.
+PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>", re.S)
+NEAR = 64
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS = re.compile(r"[a-z]+")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -33,12 +40,16 @@ ENDS = {
 class Block(NamedTuple):
     text: str
     linked: int  # characters inside links
-    path: tuple  # element features from the outermost ancestor
+    path: tuple  # element features of the ancestors, the nearest last
 
 
-@lru_cache(maxsize=65536)
 def element(tag: str, attributes: str) -> tuple[str, ...]:
-    """Features of an element: its tag and the words of its class, id and role."""
+    """Features of an element: its tag and the words of its class, id and role; those of short tags are kept."""
+    return _element(tag, attributes) if len(attributes) < 1000 else _element.__wrapped__(tag, attributes)
+
+
+@lru_cache(maxsize=65536)
+def _element(tag: str, attributes: str) -> tuple[str, ...]:
     found = {f"in:{tag}"}
     for name, *values in ATTRIBUTE.findall(attributes):
         for word in WORDS.findall("".join(values).lower()):
@@ -56,6 +67,11 @@ def blocks(page: str | None) -> list[Block]:
     parts: list[str] = []
     linked, in_link = 0, False
     at, end = 0, len(page)
+    last = page.rfind(">") + 1  # no tag ends behind it
+    tail = page.find("<!--", last)  # but a comment may begin there
+    seen = end if tail < 0 else tail
+    pattern = TAG
+    open_tags: Counter = Counter()
 
     def flush():
         nonlocal linked, in_link
@@ -63,16 +79,18 @@ def blocks(page: str | None) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append(Block(text, linked, tuple(x[1] for x in stack)))
+                out.append(Block(text, linked, tuple(x[1] for x in stack[-NEAR:])))
         linked, in_link = 0, False
 
     def pop():
         nonlocal hidden
-        hidden -= stack.pop()[0] in HIDDEN
+        name = stack.pop()[0]
+        open_tags[name] -= 1
+        hidden -= name in HIDDEN
 
     while at < end:
-        m = TAG.search(page, at)
-        stop = m.start() if m else end
+        m = pattern.search(page, at, last) if at < last else None
+        stop = m.start() if m else seen
         if stop > at and not hidden:
             piece = page[at:stop]
             parts.append(piece)
@@ -83,6 +101,10 @@ def blocks(page: str | None) -> list[Block]:
         at = m.end()
         tag = m[2]
         if tag is None:
+            if page[m.start() + 1].isalpha():  # quotes that never close
+                pattern, at = PLAIN, m.start()
+            elif page.startswith("<!--", m.start()) and not m[0].endswith("-->"):
+                break
             continue
         tag = tag.lower()
         if tag in INLINE:
@@ -93,14 +115,14 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if m[1]:
             flush()
-            if any(x[0] == tag for x in stack):
+            if open_tags[tag] > 0:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
             continue
         flush()
         if tag in RAW:
-            closing = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            closing = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at, last)
             at = closing.end() if closing else end
             continue
         if stack and stack[-1][0] == "p":
@@ -111,6 +133,7 @@ def blocks(page: str | None) -> list[Block]:
         if tag in VOID or m[3].endswith("/") and tag not in ("p", "div", "li"):
             continue
         stack.append((tag, element(tag, m[3])))
+        open_tags[tag] += 1
         hidden += tag in HIDDEN
     flush()
     return out
