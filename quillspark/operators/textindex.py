@@ -10,7 +10,7 @@
 
 An upsert writes one segment with the new versions of articles, marks for the versions that they replace and for removed articles, and what both change in the document frequencies. A version is live
 while no mark of its slug is later than it. A merge rewrites segments without what is dead in them. A segment counts once its row is in the log, which is written last, so a run that stopped
-half-way leaves nothing behind but a folder that the next one overwrites. One writer at a time; readers see the segments that the log names when they start.
+half-way counts for nothing.
 """
 
 from __future__ import annotations
@@ -21,22 +21,21 @@ from collections import Counter
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import scores, text
 from quillspark.operators.search import intent, query_tokens
+from quillspark.operators.segments import Segmented
 from quillspark.session import reach_workers
 
 ATTRIBUTES = ("lifecycle", "doc_type", "type", "sensitivity")
-BUCKETS = 32
 _OF_ROW = ", ".join(f"{a} string" for a in ATTRIBUTES)
 SCHEMAS = {
     "rows": f"slug string, seq int, {_OF_ROW}, terms array<string>, counts array<int>, max_tf int, segment int, bucket int",
     "postings": f"term string, slug string, seq int, tf int, max_tf int, {_OF_ROW}, segment int, bucket int",
     "frequencies": "term string, delta long, segment int, bucket int",
     "marks": "slug string, at int, segment int, bucket int",
-    "log": "segment int, replaces array<int>, buckets int, live long",
 }
 
 
@@ -65,57 +64,11 @@ def bucket_of(term: str, n: int) -> int:
     return zlib.crc32(term.encode()) % n
 
 
-class TextIndex:
+class TextIndex(Segmented):
     """The index in a folder that Spark can read and write; `buckets` counts where it is new."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path = spark, path.rstrip("/")
-        log = self._log()
-        self.buckets = log[0]["buckets"] if log else buckets
-
-    # tables
-
-    def _fs(self, path: str):
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
-
-    def _exists(self, path: str) -> bool:
-        fs, where = self._fs(path)
-        return fs.exists(where)
-
-    def _log(self) -> list:
-        """One row for each upsert and merge."""
-        path = f"{self.path}/log"
-        return sorted(self.spark.read.schema(SCHEMAS["log"]).parquet(path).collect()) if self._exists(path) else []
-
-    def segments(self) -> list[int]:
-        """Those in force."""
-        log = self._log()
-        gone = {s for r in log for s in r["replaces"]}
-        return [r["segment"] for r in log if r["segment"] not in gone]
-
-    def live(self) -> int:
-        """How many articles there are."""
-        log = self._log()
-        return log[-1]["live"] if log else 0
-
-    def table(self, name: str, segments: list[int] | None = None) -> DataFrame:
-        """Rows of the given segments, or of all in force."""
-        segments = self.segments() if segments is None else segments
-        path = f"{self.path}/{name}"
-        if not segments or not self._exists(path):
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(path).where(F.col("segment").isin(segments))
-
-    def _bucket(self, name: str) -> Column:
-        return F.pmod(F.crc32(F.col(name).cast("binary")), F.lit(self.buckets)).cast("int")
-
-    def _write(self, name: str, segment: int, df: DataFrame, order: str) -> None:
-        """A segment's part of a table. Rebalancing gives each bucket about one file, and a large one several."""
-        key = "term" if name in ("postings", "frequencies") else "slug"
-        columns = [x.split()[0] for x in SCHEMAS[name].split(", ")][:-2]
-        df = df.select(*columns, self._bucket(key).alias("bucket")).hint("rebalance", "bucket").sortWithinPartitions("bucket", order)
-        df.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/segment={segment}")
+    SCHEMAS = SCHEMAS
+    CUT = {"rows": "slug", "marks": "slug", "postings": "term", "frequencies": "term"}
 
     def live_rows(self, segments: list[int] | None = None) -> DataFrame:
         return self._living(self.table("rows", segments))
@@ -136,18 +89,18 @@ class TextIndex:
             rows = term_arrays(articles.select("slug", *have, F.col(body).alias("body"))).withColumn("seq", F.lit(segment))
         else:
             rows = self.spark.createDataFrame([], SCHEMAS["rows"])
-        self._write("rows", segment, rows, "slug")
+        self._write("rows", segment, rows)
         rows = self.table("rows", [segment])
         slugs = rows.select("bucket", "slug")
         if removed is not None:
             slugs = slugs.unionByName(removed.select("slug").withColumn("bucket", self._bucket("slug")).select("bucket", "slug"))
         old = self.live_rows().join(slugs.distinct(), ["bucket", "slug"], "left_semi")
-        self._write("marks", segment, old.select("slug", F.lit(segment).alias("at")).distinct(), "slug")
+        self._write("marks", segment, old.select("slug", F.lit(segment).alias("at")).distinct())
         self._write_postings(segment, rows)
         added = self.table("postings", [segment]).select("term", F.lit(1).alias("delta"))
         ended = old.select(F.explode("terms").alias("term"), F.lit(-1).alias("delta"))
         delta = added.unionByName(ended).groupBy("term").agg(F.sum("delta").alias("delta")).where("delta <> 0")
-        self._write("frequencies", segment, delta, "term")
+        self._write("frequencies", segment, delta)
         self._commit(segment, [], self.live() + rows.count() - self.table("marks", [segment]).count())
         return segment
 
@@ -156,31 +109,18 @@ class TextIndex:
         log, every = self._log(), self.segments()
         some = every if segments is None else [s for s in every if s in segments]
         segment = log[-1]["segment"] + 1
-        self._write("rows", segment, self.live_rows(some), "slug")
+        self._write("rows", segment, self.live_rows(some))
         self._write_postings(segment, self.table("rows", [segment]))
         delta = self.table("frequencies", some).groupBy("term").agg(F.sum("delta").alias("delta")).where("delta <> 0")
-        self._write("frequencies", segment, delta, "term")
+        self._write("frequencies", segment, delta)
         marks = self.table("marks", some) if set(some) != set(every) else self.table("marks", [])
-        self._write("marks", segment, marks.groupBy("slug").agg(F.max("at").alias("at")), "slug")
+        self._write("marks", segment, marks.groupBy("slug").agg(F.max("at").alias("at")))
         self._commit(segment, some, self.live())
         return segment
 
     def _write_postings(self, segment: int, rows: DataFrame) -> None:
         each = rows.select("slug", "seq", "max_tf", *ATTRIBUTES, F.explode(F.arrays_zip("terms", "counts")).alias("x"))
-        self._write("postings", segment, each.select("*", F.col("x.terms").alias("term"), F.col("x.counts").alias("tf")), "term")
-
-    def _commit(self, segment: int, replaces: list[int], live: int) -> None:
-        self.spark.createDataFrame([(segment, replaces, self.buckets, live)], SCHEMAS["log"]).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
-
-    def vacuum(self) -> None:
-        """Delete the files of segments that are not in force; no reader may be at work."""
-        keep = set(self.segments())
-        for name in ("rows", "postings", "frequencies", "marks"):
-            fs, where = self._fs(f"{self.path}/{name}")
-            for f in fs.listStatus(where) if fs.exists(where) else ():
-                segment = re.fullmatch(r"segment=(\d+)", f.getPath().getName())
-                if segment and int(segment[1]) not in keep:
-                    fs.delete(f.getPath(), True)
+        self._write("postings", segment, each.select("*", F.col("x.terms").alias("term"), F.col("x.counts").alias("tf")))
 
     # questions
 
