@@ -107,6 +107,17 @@ class VectorIndex(Segmented):
         second = self._best(more, parts, k, questions.count())
         return self._ranked(first.drop("rank").unionByName(second.drop("rank")), k)
 
+    def probes(self, share: float = 0.95, k: int = 10, sample: int = 200) -> int:
+        """How many lists hold this share of the k best of at most `sample` stored vectors, taken by the hash of their ids."""
+        rows = self._living(self.table("vectors")).select("id", "vector", "bucket")
+        asked = saved(rows.orderBy(F.xxhash64("id")).limit(sample).select(F.col("id").alias("qid"), F.col("vector").alias("q")))
+        answers = self.search(asked, k, exact=True).join(rows.select("id", "bucket"), "id").groupBy("qid").agg(F.collect_list("bucket").alias("lists")).join(asked, "qid").collect()  # k lists for each of the sample
+        places, centres = [], self.centres()
+        for r in answers:
+            order = np.argsort(np.argsort(-(centres @ np.array(r["q"], np.float64)), kind="stable"))
+            places += order[r["lists"]].tolist()
+        return 1 + int(np.quantile(places, share, method="higher")) if places else 1
+
     def _reads(self, questions: DataFrame, centres: np.ndarray, radius: np.ndarray, probes: int, rest) -> DataFrame:
         """qid, q, bucket: the lists to read for each question; with `rest`, those not read yet whose bound reaches `least`."""
 

@@ -46,6 +46,7 @@ def test_exact_answers_equal_all_products(spark, tmp_path, part, block, monkeypa
     share = sum(len(set(a) & set(dict(want)[q])) for q, a in answers(some).items()) / 40
     row = V.recall(some, exact).first()
     assert row["questions"] == 8 and row["recall"] == pytest.approx(share, abs=1e-4) and share > 0.6
+    assert 1 <= index.probes(0.5, k=5, sample=20) <= index.probes(1.0, k=5, sample=20) <= 9
     assert answers(index.search(asked.where("qid = 7"), k=500, probes=1, exact=True)) == brute(vectors, questions[7:], 500)
 
 
