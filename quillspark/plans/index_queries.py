@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from quillspark.operators import bodystore as B
 from quillspark.operators import vectorindex as V
 from quillspark.operators.segments import kept_at
 from quillspark.operators.textindex import TextIndex
@@ -11,7 +14,7 @@ from quillspark.plans import sql
 from quillspark.plans.article_queries import view
 from quillspark.plans.registry import ORACLES, register
 from quillspark.plans.search_queries import PLAIN
-from quillspark.session import shared_folder, table
+from quillspark.session import shared_folder, table, texts
 
 
 def text_index(spark, sf_dir) -> TextIndex:
@@ -73,3 +76,19 @@ def vector_index_recall(spark, sf_dir):
     index, asked = vector_index(spark, sf_dir), vector_questions(spark, sf_dir)
     found = V.recall(index.search(asked, probes=index.probes(0.95)), index.search(asked, exact=True))
     return found.select("questions", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@register(
+    "body_verify",
+    "SELECT 'doc-' || doc_id AS slug, CASE WHEN doc_id % 13 = 0 THEN 'missing' ELSE 'changed' END AS state FROM documents WHERE doc_id % 13 = 0 OR doc_id % 11 = 0 UNION ALL SELECT 'new-' || doc_id, 'extra' FROM documents WHERE doc_id % 17 = 0",
+)
+def body_verify(spark, sf_dir):
+    """Bodies kept apart in bucketed tables; some lose a body, some have a letter changed, some have no article."""
+    name = f"bodies_{uuid.uuid4().hex}"
+    docs = texts(spark, sf_dir).select("doc_id", F.concat(F.lit("doc-"), "doc_id").alias("slug"), F.coalesce("text", F.lit("")).alias("body"))
+    B.migrate(docs, f"{name}_articles", name)
+    changed = docs.where("doc_id % 11 = 0").select("slug", F.concat("body", F.lit("x")).alias("body"))
+    extra = docs.where("doc_id % 17 = 0").select(F.concat(F.lit("new-"), "doc_id").alias("slug"), "body")
+    B.upsert(spark, name, changed.unionByName(extra))
+    B.upsert(spark, name, removed=docs.where("doc_id % 13 = 0").select("slug"))
+    return B.verify(spark, f"{name}_articles", name)
