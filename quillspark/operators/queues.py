@@ -150,3 +150,34 @@ def bounded_rounds(step, most: int = 10) -> list:
         if done[-1].get("status") in ("complete", "blocked"):
             break
     return done
+
+
+def enqueued(tasks: DataFrame, files: DataFrame, now: Column) -> DataFrame:
+    """The queue (filepath, priority, status, attempts, created_at, updated_at, result) with new files (filepath, priority; 0 where it is null) as pending tasks."""
+    new = files.select("filepath", F.coalesce("priority", F.lit(0)).alias("priority"), F.lit("pending").alias("status"), F.lit(0).alias("attempts"), now.alias("created_at"), now.alias("updated_at"), F.lit(None).cast("string").alias("result"))
+    return tasks.unionByName(new)
+
+
+def completed(tasks: DataFrame, done: DataFrame, now: Column) -> DataFrame:
+    """The queue with tasks completed: done has filepath, created_at and result ('' where it is null)."""
+    marks = done.select("filepath", "created_at", F.coalesce("result", F.lit("")).alias("_result")).dropDuplicates(["filepath", "created_at"])
+    rows = tasks.join(marks, ["filepath", "created_at"], "left")
+    hit = F.col("_result").isNotNull()
+    put = lambda n, v: F.when(hit, v).otherwise(F.col(n)).alias(n)
+    return rows.select("filepath", "priority", put("status", F.lit("completed")), "attempts", "created_at", put("updated_at", now), put("result", F.col("_result")))
+
+
+def with_procedures(tasks: DataFrame, articles: DataFrame, today: Column) -> tuple[DataFrame, DataFrame]:
+    """Tasks (task_id, title, objective, approach, verification, tags) with the slug of a procedure article for each, and these articles. A slug that an article or a task before has is made
+    unique by a part of the hash of the task; titles are compared by their slugs, so the tasks of one title are ranked together."""
+    base = F.regexp_replace(F.concat(F.lit("proc-"), F.replace(F.lower("title"), F.lit(" "), F.lit("-")).substr(1, 60)), "[^a-z0-9-]", "").substr(1, 80)
+    rows = tasks.withColumn("_base", base).join(articles.select(F.col("slug").alias("_base"), F.lit(True).alias("_taken")).distinct(), "_base", "left")
+    first = F.min("task_id").over(W.partitionBy("_base"))
+    unique = F.concat(F.col("_base").substr(1, 60), F.lit("-"), F.substring(F.md5(F.col("task_id").cast("string").cast("binary")), 1, 8))
+    rows = rows.withColumn("procedure", F.when((F.col("task_id") == first) & F.col("_taken").isNull(), F.col("_base")).otherwise(unique))
+    tags = F.slice(F.concat(F.coalesce("tags", F.array().cast("array<string>")), F.array(F.lit("procedure"), F.lit("task"))), 1, 8)
+    made = rows.select(
+        F.col("procedure").alias("slug"), F.concat(F.lit("Procedure: "), "title").alias("title"), F.lit("procedure").alias("type"), "task_id", "objective", "approach", "verification", tags.alias("keywords"),
+        F.concat(F.lit("Implementation guide for task: "), "title").alias("summary"), F.lit(0.9).alias("confidence"), today.alias("created_at"), F.add_months(today, 12).alias("next_review_at"),
+    )
+    return rows.select(*tasks.columns, F.array("procedure").alias("article_slugs")), made

@@ -111,3 +111,47 @@ def ingested(files: DataFrame, articles: DataFrame, content: str = "text", name:
 
 def ingest_summary(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+# What is kept of a result.
+NOTES, SOURCES, SUMMARY, TOPIC = 10, 5, 250, 80
+# End of fixed values.
+
+
+def persisted(results: DataFrame, articles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New articles of research results (question, findings: key_claim, title, url; gaps; synthesis), and what became of each: question, error, research_note, base_article.
+
+    Without a question, findings, or a claim in them nothing is made. A result makes a research note, and a base article if it has a synthesis; an article that is there stays as it is, and of results with one
+    slug the first by question makes it.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    findings = F.coalesce("findings", F.array().cast(results.schema["findings"].dataType))
+    error = (
+        F.when(blank(F.col("question")), "question is empty").when(F.size(findings) == 0, "no findings to persist").when(~F.exists(findings, lambda f: ~blank(f["key_claim"])), "no findings with a non-empty key_claim")
+    )
+    text_of = lambda c: F.coalesce(c, F.lit(""))
+    topic = text.smart_truncate(F.col("question"), TOPIC)
+    lines = F.filter(F.transform(F.split(text_of(F.col("synthesis")), "\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    summary = F.coalesce(F.get(lines, F.lit(0)), F.concat(F.lit("Deep research findings on: "), topic)).substr(1, SUMMARY)
+    some = F.slice(findings, 1, NOTES)
+    rows = results.withColumns({
+        "error": error, "_slug": text.slug_from_question(F.col("question")), "_topic": topic, "summary": summary,
+        "key_notes": F.transform(some, lambda f: F.concat(text_of(f["key_claim"]), F.lit(" ["), text_of(f["title"]), F.lit("]"))),
+        "sources": F.transform(some, lambda f: F.concat(text_of(f["title"]), F.lit(": "), text_of(f["url"]))),
+        "_urls": F.transform(F.slice(findings, 1, SOURCES), lambda f: text_of(f["url"])),
+        "open_questions": F.when(F.size("gaps") > 0, F.col("gaps")).otherwise(F.array(F.lit("No significant gaps identified"))),
+    })
+    good = rows.where("error IS NULL")
+    made = {}
+    for kind, slug, title, provenance, content in (
+        ("research-note", F.concat(F.lit("research-"), "_slug"), F.concat(F.lit("Research: "), "_topic"), F.col("_urls"), F.lit(None).cast("string")),
+        ("base", F.substring("_slug", 1, 45), F.col("_topic"), F.array(F.lit("deep-research-synthesis")), F.col("synthesis")),
+    ):
+        new = (good if kind == "research-note" else good.where(~blank(F.col("synthesis")))).select(
+            "question", slug.alias("slug"), title.alias("title"), F.lit(kind).alias("type"), "summary", "key_notes", "open_questions", "sources", provenance.alias("provenance"), content.alias("content")
+        )
+        new = new.withColumn("_r", F.row_number().over(W.partitionBy("slug").orderBy("question"))).where("_r = 1").drop("_r")
+        made[kind] = new.join(articles.select("slug"), "slug", "left_anti")
+    note, base = (made[k].select("question", F.col("slug").alias(n)) for k, n in (("research-note", "research_note"), ("base", "base_article")))
+    outcomes = rows.select("question", "error").join(note, "question", "left").join(base, "question", "left")
+    return made["research-note"].unionByName(made["base"]).drop("question"), outcomes

@@ -104,9 +104,9 @@ def related_upgrade(spark, sf_dir):
 _unique = "list_filter({0}, lambda w, i: list_position({0}, w) = i)"
 
 
-@register("tier_dedupe", f"WITH {_rich}, k AS (SELECT slug, {_unique.format('keywords')} AS keywords, [title[1:4], lang] AS s FROM rich WHERE lang IS NOT NULL), t AS (SELECT slug, keywords, list_filter(list_transform(s, lambda x: lower(trim(x))), lambda x: x <> '') AS s FROM k) SELECT slug, array_to_string(keywords, ',') AS keywords, array_to_string(list_filter({_unique.format('s')}, lambda x: NOT list_contains(keywords, x)), ',') AS subjects FROM t")
+@register("tier_dedupe", f"WITH {_rich}, k AS (SELECT slug, {_unique.format('keywords')} AS keywords, [title[1:4], lang] AS s FROM rich), t AS (SELECT slug, keywords, list_filter(list_transform(s, lambda x: lower(trim(x))), lambda x: x <> '') AS s FROM k) SELECT slug, array_to_string(keywords, ',') AS keywords, array_to_string(list_filter({_unique.format('s')}, lambda x: NOT list_contains(keywords, x)), ',') AS subjects FROM t")
 def tier_dedupe(spark, sf_dir):
-    rows = rich(spark, sf_dir).where("lang IS NOT NULL").withColumn("subject_keywords", F.array(F.substring("title", 1, 4), F.col("lang")))
+    rows = rich(spark, sf_dir).withColumn("subject_keywords", F.array(F.substring("title", 1, 4), F.col("lang")))
     return A.deduped_tiers(rows).select("slug", F.array_join("keywords", ",").alias("keywords"), F.array_join("subject_keywords", ",").alias("subjects"))
 
 
@@ -369,10 +369,10 @@ def audit_log(spark, sf_dir):
     return E.tail(E.log_rows(log, "3", "click", 100), 50).select("seq", "user_id")
 
 
-@register("log_context", "WITH c AS (SELECT conv_id AS pipeline_id, turn, unnest(['role', 'odd' || turn % 2]) AS key, unnest([role, CAST(turn AS VARCHAR)]) AS value FROM conversations WHERE role IS NOT NULL) SELECT pipeline_id, key, arg_max(value, turn) AS value FROM c GROUP BY 1, 2")
+@register("log_context", "WITH c AS (SELECT conv_id AS pipeline_id, turn, unnest(['role', 'odd' || turn % 2]) AS key, unnest([role, CAST(turn AS VARCHAR)]) AS value FROM conversations) SELECT pipeline_id, key, arg_max(value, turn) AS value FROM c GROUP BY 1, 2")
 def log_context(spark, sf_dir):
     context = F.create_map(F.lit("role"), F.col("role"), F.concat(F.lit("odd"), F.col("turn") % 2), F.col("turn").cast("string"))
-    rows = table(spark, sf_dir, "conversations").where("role IS NOT NULL").select(F.col("conv_id").alias("pipeline_id"), F.col("turn").alias("seq"), F.lit("context_updated").alias("type"), context.alias("context"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("pipeline_id"), F.col("turn").alias("seq"), F.lit("context_updated").alias("type"), context.alias("context"))
     return E.merged_context(rows)
 
 
@@ -519,3 +519,47 @@ def hashed_vectors(spark, sf_dir):
     rows = view(spark, sf_dir).select("slug", F.size(text.tokens(F.col("body"))).alias("_n"), S.hashed_vector(F.col("body")).alias("_v"))
     norm = F.round(F.sqrt(S.dot(F.col("_v"), F.col("_v"))), 3)
     return rows.select("slug", F.size("_v").alias("dims"), ((F.col("_n") > 0) & norm.isin(0.0, 1.0)).alias("has_terms"))
+
+
+@register(
+    "queue_enqueue",
+    "SELECT '/in/' || p_partkey AS filepath, CAST(p_partkey % 4 AS INT) AS priority, CASE WHEN p_partkey % 3 = 0 THEN 'completed' ELSE 'pending' END AS status, CASE WHEN p_partkey % 3 = 0 THEN p_name END AS result FROM part UNION ALL SELECT '/old/' || s_suppkey, 1, CASE WHEN s_suppkey % 2 = 0 THEN 'completed' ELSE 'processing' END, CASE WHEN s_suppkey % 2 = 0 THEN '' END FROM supplier",
+)
+def queue_enqueue(spark, sf_dir):
+    """Files put into a queue that has tasks, and some of all completed, without a result or with one."""
+    at = lambda k: F.lit(f"2024-01-0{k} 00:00:00").cast("timestamp")
+    old = table(spark, sf_dir, "supplier").select(F.concat(F.lit("/old/"), "s_suppkey").alias("filepath"), F.lit(1).alias("priority"), F.lit("processing").alias("status"), F.lit(1).alias("attempts"), at(1).alias("created_at"), at(1).alias("updated_at"), F.lit(None).cast("string").alias("result"))
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("/in/"), "p_partkey").alias("filepath"), F.when(F.col("p_partkey") % 4 > 0, (F.col("p_partkey") % 4).cast("int")).alias("priority"), "p_partkey", "p_name")
+    queue = Q.enqueued(old, parts, at(2))
+    done = parts.where("p_partkey % 3 = 0").select("filepath", at(2).alias("created_at"), F.col("p_name").alias("result"))
+    done = done.unionByName(table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("/old/"), "s_suppkey").alias("filepath"), at(1).alias("created_at"), F.lit(None).cast("string").alias("result")))
+    return Q.completed(queue, done, at(3)).select("filepath", "priority", "status", "result")
+
+
+@register(
+    "task_procedures",
+    """WITH t AS (SELECT p_partkey AS task_id, p_name AS title, regexp_replace('proc-' || replace(lower(p_name), ' ', '-')[1:60], '[^a-z0-9-]', '', 'g')[1:80] AS b FROM part), f AS (SELECT *, min(task_id) OVER (PARTITION BY b) AS first, b IN (SELECT b FROM t WHERE task_id % 9 = 0) AS taken FROM t)
+SELECT task_id, CASE WHEN task_id = first AND NOT taken THEN b ELSE b[1:60] || '-' || md5(CAST(task_id AS VARCHAR))[1:8] END AS slug, 'Procedure: ' || title AS title, 'procedure,task' AS keywords FROM f""",
+)
+def task_procedures(spark, sf_dir):
+    """A procedure article for each task, among articles that have some of the slugs."""
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("task_id"), F.col("p_name").alias("title"), *[F.lit("x").alias(n) for n in ("objective", "approach", "verification")], F.lit(None).cast("array<string>").alias("tags"))
+    there = t.where("task_id % 9 = 0").select(F.regexp_replace(F.concat(F.lit("proc-"), F.replace(F.lower("title"), F.lit(" "), F.lit("-"))), "[^a-z0-9-]", "").alias("slug"))
+    tasks, articles = Q.with_procedures(t, there, F.lit("2024-01-01").cast("date"))
+    return tasks.select("task_id", F.get("article_slugs", F.lit(0)).alias("slug")).join(articles.drop("task_id"), "slug").select("task_id", "slug", "title", F.array_join("keywords", ",").alias("keywords"))
+
+
+@register(
+    "persisted_research",
+    r"""WITH r AS (SELECT p_partkey AS k, 'How is ' || p_name || ' number ' || p_partkey AS question FROM part),
+a AS (SELECT *, CASE WHEN k % 5 = 0 THEN 'no findings to persist' WHEN k % 5 = 1 THEN 'no findings with a non-empty key_claim' END AS error, regexp_replace(replace(regexp_replace(lower(question), '[^a-z0-9\s-]', '', 'g'), ' ', '-')[1:50], '-+', '-', 'g') AS s0 FROM r), b AS (SELECT *, trim(s0, '-') AS s FROM a)
+SELECT question, error, CASE WHEN error IS NULL AND k % 11 <> 0 THEN 'research-' || s END AS research_note, CASE WHEN error IS NULL AND k % 2 = 0 THEN s[1:45] END AS base_article FROM (SELECT *, row_number() OVER (PARTITION BY s[1:45], error IS NULL AND k % 2 = 0 ORDER BY question) AS r1 FROM b)""",
+)
+def persisted_research(spark, sf_dir):
+    """Results stored as articles behind their gates, among articles that have some of the slugs."""
+    k = F.col("p_partkey")
+    claim = F.when(k % 5 == 1, F.lit("  ")).otherwise(F.concat(F.lit("Claim "), k))
+    finding = F.struct(claim.alias("key_claim"), F.lit("T").alias("title"), F.lit("u").alias("url"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("How is "), "p_name", F.lit(" number "), k).alias("question"), F.when(k % 5 == 0, F.array().cast("array<struct<key_claim:string,title:string,url:string>>")).otherwise(F.array(finding)).alias("findings"), F.array().cast("array<string>").alias("gaps"), F.when(k % 2 == 0, "# A\n\nIt is so.").alias("synthesis"))
+    there = rows.where("p_partkey % 11 = 0").select(F.concat(F.lit("research-"), text.slug_from_question(F.col("question"))).alias("slug"))
+    return R.persisted(rows.drop("p_partkey"), there)[1]

@@ -11,7 +11,7 @@ from quillspark.operators import lifecycle as LC
 from quillspark.plans import sql
 from quillspark.plans.article_queries import rendered_articles, view
 from quillspark.plans.misc_queries import bibtex
-from quillspark.plans.registry import register
+from quillspark.plans.registry import ORACLES, register
 from quillspark.session import reach_workers, scratch, table
 from quillspark.sources import files, tables
 
@@ -107,11 +107,11 @@ def source_blobs(spark, sf_dir):
     return found.select("page_id", "name", "size", "mime", files.stored_name(F.concat(F.lit("blob-"), "page_id"), F.col("modificationTime"), F.lit(".pdf")).alias("stored"))
 
 
-@register("source_articles", f"WITH {sql.ARTICLES} SELECT slug, type, body_words, 'current' AS lifecycle, CAST(0.8 AS DOUBLE) AS confidence FROM art WHERE body_words > 0")
+@register("source_articles", f"WITH {sql.ARTICLES} SELECT slug, type, body_words, 'current' AS lifecycle, CAST(0.8 AS DOUBLE) AS confidence FROM art")
 def source_articles(spark, sf_dir):
     """Articles as rendered, read back from their front matter and body."""
     rows = rendered_articles(spark, sf_dir).select(F.concat(F.lit("/a/"), "slug", F.lit(".md")).alias("path"), F.col("markdown").alias("value"))
-    return files.parsed_articles(rows).where("body_words > 0").select("slug", "type", F.col("body_words").cast("int").alias("body_words"), "lifecycle", "confidence")
+    return files.parsed_articles(rows).select("slug", "type", F.col("body_words").cast("int").alias("body_words"), "lifecycle", "confidence")
 
 
 @register("source_skills", r"SELECT 'skill-' || p_partkey AS slug, p_name AS description, 'first|second|third' AS steps FROM part")
@@ -122,21 +122,22 @@ def source_skills(spark, sf_dir):
     return files.parsed_skills(rows).select("slug", "description", F.array_join("steps", "|").alias("steps"))
 
 
-@register("source_spill", "SELECT doc_id, md5(text) AS digest, length(text) > 4000 AS spilled FROM documents WHERE text IS NOT NULL")
+@register("source_spill", "SELECT doc_id, md5(text) AS digest, coalesce(length(text) > 4000, FALSE) AS spilled FROM documents")
 def source_spill(spark, sf_dir):
     """Long texts moved to a side table and found again by their locators."""
     at = scratch(spark, "spill")
-    short, long = files.spilled(table(spark, sf_dir, "documents").where("text IS NOT NULL"), "doc_id", "text", "s1")
+    short, long = files.spilled(table(spark, sf_dir, "documents"), "doc_id", "text", "s1")
     long.write.parquet(at)
     back = short.join(spark.read.parquet(at), "locator", "left")
     return back.select("doc_id", F.md5(F.coalesce("full_text", "text").cast("binary")).alias("digest"), F.col("locator").isNotNull().alias("spilled"))
 
 
-@register("source_bibtex", "SELECT count(*) AS entries FROM documents")
+@register("source_bibtex", r"SELECT regexp_extract(entry, '@(\w+)', 1) AS kind, regexp_extract(entry, '\{([^,]+),', 1) AS key, count(*) AS entries FROM (" + ORACLES["bibtex"] + ") GROUP BY 1, 2")
 def source_bibtex(spark, sf_dir):
     at = scratch(spark, "bibtex")
     files.write_bibtex(bibtex(spark, sf_dir), at)
-    return spark.read.text(at).where("value LIKE '@%'").agg(F.count(F.lit(1)).alias("entries"))
+    entries = spark.read.text(at).where("value LIKE '@%'")
+    return entries.groupBy(F.regexp_extract("value", r"@(\w+)", 1).alias("kind"), F.regexp_extract("value", r"\{([^,]+),", 1).alias("key")).agg(F.count(F.lit(1)).alias("entries"))
 
 
 @register("source_vectors", "SELECT vec_id, len(embedding) AS dims, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings")
@@ -171,9 +172,9 @@ def source_models(spark, sf_dir):
     return files.model_counts(rows).select(F.regexp_extract("path", r"\d+", 0).cast("long").alias("p_partkey"), "vertices", "faces")
 
 
-@register("html_views", f"WITH {sql.ARTICLES} SELECT slug, '<h1>' || title || '</h1>' || chr(10) || '<ul>' || chr(10) || '<li>' || type || '</li>' || chr(10) || '<li><a href=\"/article/' || slug || '\">' || slug || '</a></li>' || chr(10) || '</ul>' || chr(10) || '<h2>Words</h2>' || chr(10) || '<ol>' || chr(10) || '<li>' || body_words || '</li>' || chr(10) || '</ol>' AS html FROM art WHERE title <> ''")
+@register("html_views", f"WITH {sql.ARTICLES} SELECT slug, '<h1>' || title || '</h1>' || chr(10) || '<ul>' || chr(10) || '<li>' || type || '</li>' || chr(10) || '<li><a href=\"/article/' || slug || '\">' || slug || '</a></li>' || chr(10) || '</ul>' || chr(10) || '<h2>Words</h2>' || chr(10) || '<ol>' || chr(10) || '<li>' || body_words || '</li>' || chr(10) || '</ol>' AS html FROM art")
 def html_views(spark, sf_dir):
-    rows = view(spark, sf_dir).where("title <> ''")
+    rows = view(spark, sf_dir)
     page = F.concat(F.lit("# "), "title", F.lit("\n\n- "), "type", F.lit("\n- [["), "slug", F.lit("]]\n## Words\n1. "), F.col("body_words").cast("string"))
     return rows.select("slug", text.html_body(page).alias("html"))
 
