@@ -55,6 +55,26 @@ def rewrite_contractions(spark, sf_dir):
     return planted(spark, sf_dir).select("doc_id", RW.contractions(F.col("text")).alias("rewritten"))
 
 
+def _tone(s: str, i: str, n: str) -> str:
+    """SQL of the tone of the sentence s with the place i from 0 of n."""
+    words = lambda x: f"len(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> ''))"
+    low = lambda x: f"(lower({x}[1:1]) || {x}[2:])"
+    some = lambda x, values: "(" + " OR ".join(f"contains(lower({x}), '{v}')" for v in values) + ")"
+    first = f"(CASE WHEN {i} = 1 AND {words(s)} > 5 AND NOT regexp_matches({s}, '(?i)(^|[^\\pL\\pN_])(I|we|my|our)($|[^\\pL\\pN_])') THEN 'I think ' || {low(s)} ELSE {s} END)"
+    second = f"(CASE WHEN {i} = {n} // 2 AND {words(s)} > 8 AND NOT {some(first, RW.DOUBT)} THEN regexp_replace({first}, '\\.+$', '') || ', though this may not hold in all cases.' ELSE {first} END)"
+    return f"(CASE WHEN {i} = {n} - 1 AND {words(s)} > 5 AND {words(second)} > 6 AND NOT {some(second, RW.TURNS)} AND regexp_matches(lower({second}), '^({'|'.join(RW.OPENERS)})') THEN 'Still, ' || {low(second)} ELSE {second} END)"
+
+
+@register(
+    "rewrite_tone",
+    f"""WITH s AS (SELECT doc_id, t, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')) >= 2) AS l FROM (SELECT doc_id, {_planted} AS t FROM documents)),
+e AS (SELECT doc_id, t, len(l) AS n, unnest(l) AS x, unnest(range(len(l))) AS i FROM s WHERE len(l) >= 3)
+SELECT doc_id, string_agg({_tone('x', 'i', 'n')}, ' ' ORDER BY i) AS rewritten FROM e GROUP BY doc_id UNION ALL SELECT doc_id, t FROM s WHERE len(l) < 3""",
+)
+def rewrite_tone(spark, sf_dir):
+    return planted(spark, sf_dir).select("doc_id", RW.tone(F.col("text")).alias("rewritten"))
+
+
 @register("rewrite_scores")
 def rewrite_scores(spark, sf_dir):
     from quillspark.plans.stat_queries import PHRASES
