@@ -12,7 +12,7 @@ RULES = (
     (3, r":\(\)\s*\{\s*:\s*\|\s*:\s*&\s*\}\s*;"),
     (2, r"(?:^|[;&|\n]\s*)find\b[^\n;|]*\s-(?:delete|exec|execdir|ok|okdir)\b"),
     (2, r"\brm\b[^\n;|]*\s--(?:recursive|force|dir)\b"),
-    (2, r"\brmdir\b"),
+    (2, r"\brmdir\b(?:[^\n;|]*\s(?:-p|--parents)\b)?"),
     (2, r"\bshred\b"),
     (2, r"(?i)\bgit\s+push\b[^\n;|]*\s(?:--force(?:-with-lease)?|-f)\b"),
     (2, r"\bpython3?\b[\s\S]{0,300}?\bshutil\.rmtree\s*\("),
