@@ -30,12 +30,14 @@ from quillspark.llm.common import map_arrow
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
+#: What `cloud_hosts` finds; searching for it from every word would take time in the square of a long run.
+CLOUD_HOST = re.compile(r"(?a)(?:\bhttps?://)?\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com\b[^\s\"'<>,;]*")
 CLOUD, REST = ".amazonaws.com", re.compile(r"[^\s\"'<>,;]*")
 HOST = "abcdefghijklmnopqrstuvwxyz0123456789.-"
-#: Weak candidates: kind, provider, role, pattern. The span is the last group, or the match; hosts of the cloud are found by `cloud_hosts`.
+#: Weak candidates: kind, provider, role, pattern. The span is the last group, or the match; hosts of the cloud come from `cloud_hosts`.
 WEAK = (
     ("linked_secret", "cloud", "secret", re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")),
-    ("linked_endpoint", "cloud", "endpoint", None),
+    ("linked_endpoint", "cloud", "endpoint", CLOUD_HOST),
     ("linked_endpoint", "service", "endpoint", re.compile(r"""(?ai)\b(?:endpoint|hostname|host|base_?url|url|server)["']?\x20*[:=]\x20*["']?((?:[a-z]+://)?[a-z0-9-]+(?:\.[a-z0-9-]+)+[^\s"'<>,;]*)""")),
     ("linked_id", "service", "identifier", re.compile(r"""(?ai)\b(?:user_?name|user|login|client_?id|account_?id|account)["']?\x20*[:=]\x20*["']?([a-z0-9_.@+-]{3,})""")),
 )
@@ -115,7 +117,7 @@ def linked_spans(text: str, base: list[tuple[int, int, str, int]]) -> list[tuple
             if not any(p == provider and r != role for p, r in parts):
                 continue
             lo, hi = bounds[scope], bounds[scope + 1]
-            for s, e in (m.span(m.lastindex or 0) for m in pattern.finditer(text, lo, hi)) if pattern else cloud_hosts(text, lo, hi):
+            for s, e in (m.span(m.lastindex or 0) for m in pattern.finditer(text, lo, hi)) if pattern is not CLOUD_HOST else cloud_hosts(text, lo, hi):
                 before = bisect.bisect_right(starts, s)
                 if before and e <= tops[before - 1]:
                     continue  # within a base span

@@ -820,7 +820,7 @@ def test_pipeline_runs_on_odd_and_empty(spark, odd, none):
 
 def test_every_operator_is_registered():
     names = queries.queries()
-    assert {int(re.match(r"op(\d+)_", k)[1]) for k in names if k.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(re.match(r"op(\d+)_", k)[1]) for k in names if k.startswith("op")} == set(range(1, 14)) and "pipeline" in names
 
 
 def test_mix_stage_keeps_near_its_targets(spark):
