@@ -263,9 +263,9 @@ def parsed_skills(files: DataFrame) -> DataFrame:
     return f.select(text.slug_from_name(name).alias("slug"), description.alias("description"), text.skill_keywords(tags, name, description).alias("keywords"), text.listed_steps(F.col("body")).alias("steps"), text.last_paragraph(F.col("body")).alias("outcome"))
 
 
-def unqueued(files: DataFrame, queue: DataFrame) -> DataFrame:
-    """Files that are not pending or being processed."""
-    return files.join(queue.where(F.col("status").isin("pending", "processing")).select(F.col("filepath").alias("path")), "path", "left_anti")
+def unqueued(files: DataFrame, queue: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Files that are not pending or being processed; told apart by path, and by `more` columns of both sides where a path is not one file's."""
+    return files.join(queue.where(F.col("status").isin("pending", "processing")).select(F.col("filepath").alias("path"), *more), ["path", *more], "left_anti")
 
 
 def routed(rules: list[tuple[Column, str]], default: str) -> Column:
