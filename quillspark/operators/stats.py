@@ -96,19 +96,24 @@ def coverage(modules: DataFrame, articles: DataFrame) -> DataFrame:
     return out.select("module", F.coalesce("matches", F.lit(0)).alias("matches"), F.when(F.col("_h") == 1, "DOCUMENTED").when(F.col("_h") == 0, "PARTIAL").otherwise("UNDOCUMENTED").alias("status"))
 
 
-def text_variance(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
-    """Sentence and word metrics; texts with fewer than three sentences are left out. All is counted within the row: how often a word occurs is the length of its
+#: Sentences that a text needs for metrics.
+SENTENCES = 3
+
+
+def text_variance(docs: DataFrame, key: str = "doc_id", body: str = "text", every: bool = False) -> DataFrame:
+    """Sentence and word metrics; texts with fewer than three sentences are left out, unless `every` is asked for. All is counted within the row: how often a word occurs is the length of its
     run among the sorted words."""
     t = F.col(body)
-    sent = docs.select(key, F.transform(text.sentences(t, 3), text.word_count).alias("_l"), F.sort_array(text.words(t)).alias("_w")).where(F.size("_l") >= 3)
+    sent = docs.select(key, F.transform(text.sentences(t, 3), text.word_count).alias("_l"), F.sort_array(text.words(t)).alias("_w"))
+    sent = sent if every else sent.where(F.size("_l") >= SENTENCES)
     n = F.size("_l")
-    mean = F.aggregate("_l", F.lit(0), lambda s, x: s + x) / n
+    mean = F.try_divide(F.aggregate("_l", F.lit(0), lambda s, x: s + x), n)
     at = lambda p: F.try_element_at("_w", p)
     first = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_w"), F.lit(1))), lambda p: (p == 1) | (at(p) != at(F.greatest(p - 1, F.lit(1)))))
     rows = sent.select(key, n.alias("sentences"), "_l", mean.alias("_m"), "_w", F.when(F.size("_w") > 0, first).otherwise(F.array().cast("array<int>")).alias("_f"))
     rows = rows.select("*", F.array_append(F.slice("_f", F.lit(2), F.size("_w") + 1), F.size("_w") + 1).alias("_e"))
     runs = F.when(F.size("_f") > 0, F.zip_with("_f", "_e", lambda p, e: e - p)).otherwise(F.array().cast("array<int>"))
-    var = F.aggregate("_l", F.lit(0.0), lambda s, x: s + (x - F.col("_m")) * (x - F.col("_m"))) / F.col("sentences")
+    var = F.try_divide(F.aggregate("_l", F.lit(0.0), lambda s, x: s + (x - F.col("_m")) * (x - F.col("_m"))), F.col("sentences"))
     rows = rows.select(key, "sentences", "_m", F.sqrt(var).alias("_d"), F.size("_w").alias("_n"), F.size("_f").alias("_u"), F.aggregate("_w", F.lit(0), lambda s, x: s + F.length(x)).alias("_c"), runs.alias("_runs"))
     top = F.aggregate(F.slice(F.sort_array("_runs", False), 1, 5), F.lit(0), lambda s, x: s + x)
     ratio = lambda x: F.round(F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(0.0), 3)
