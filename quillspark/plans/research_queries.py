@@ -12,7 +12,7 @@ from quillspark.operators import rewrites as RW
 from quillspark.plans import sql
 from quillspark.plans.article_queries import view
 from quillspark.plans.registry import register
-from quillspark.session import table, texts
+from quillspark.session import saved, table, texts
 
 
 # whole texts with phrases of every kind put before and behind them
@@ -121,7 +121,7 @@ def report_validation(spark, sf_dir):
 def tier_migration(spark, sf_dir):
     """Keywords moved to tiers, with the check that none is lost."""
     docs = texts(spark, sf_dir)
-    kw = A.keywords(docs)
+    kw = saved(A.keywords(docs))  # ten short rows a document, read four times
     tiered = L.tiers(kw, L.frequencies(kw, docs))
     before = kw.groupBy("doc_id").agg(F.array_sort(F.collect_set("kw")).alias("_before"))
     after = tiered.groupBy("doc_id").agg(F.count(F.lit(1)).alias("keywords"), F.sum((F.col("tier") == "subject").cast("int")).alias("subjects"), F.array_sort(F.collect_set("kw")).alias("_after"))
