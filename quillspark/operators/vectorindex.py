@@ -26,6 +26,8 @@ SAMPLE = 100_000
 #: Lists at most: their centres are held by the driver and each task.
 LISTS = 16_384
 PART, BLOCK = 20_000, 2_000
+#: Products that a task holds at a time, whatever the number of lists and questions.
+CELLS = 1_000_000
 #: Scores are compared as they are given, in so many places.
 PLACES = 6
 
@@ -36,6 +38,12 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def pieces(b: pa.RecordBatch, width: int):
+    """A batch in stretches of rows of which each has `width` products."""
+    step = max(1, CELLS // max(width, 1))
+    return (b.slice(k, step) for k in range(0, b.num_rows, step))
+
+
 class VectorIndex(Segmented):
     """The index in a folder; vectors have one length and no nulls."""
 
@@ -76,7 +84,7 @@ class VectorIndex(Segmented):
         half = (centres**2).sum(axis=1) / 2
 
         def assign(batches):
-            for b in batches:
+            for b in (p for b in batches for p in pieces(b, len(centres))):
                 x = matrix(b.column(1))
                 near = (x @ centres.T - half).argmax(axis=1) if len(x) else np.empty(0, int)
                 away = np.sqrt(((x - centres[near]) ** 2).sum(axis=1)) if len(x) else np.empty(0)
@@ -122,7 +130,7 @@ class VectorIndex(Segmented):
         """qid, q, bucket: the lists to read for each question; with `rest`, those not read yet whose bound reaches `least`."""
 
         def choose(batches):
-            for b in batches:
+            for b in (p for b in batches for p in pieces(b, len(centres))):
                 q = matrix(b.column(1))
                 products = q @ centres.T if len(q) else np.empty((0, len(centres)))
                 order = np.argsort(-products, axis=1, kind="stable")
@@ -160,14 +168,14 @@ class VectorIndex(Segmented):
                     now = tuple(sign[:3, lo].tolist())
                     if now != key:
                         key, ids, q, ready = now, [], [], None
-                    x = matrix(b.column(5).slice(lo, hi - lo))
                     if sign[3, lo] == 0:
                         ids += b.column(4).slice(lo, hi - lo).to_pylist()
-                        q.append(x)
-                    elif ids:
+                        q.append(matrix(b.column(5).slice(lo, hi - lo)))
+                        continue
+                    for some in pieces(b.slice(lo, hi - lo), len(ids)) if ids else ():
                         ready = np.concatenate(q) if ready is None else ready
-                        mine = b.column(4).slice(lo, hi - lo).to_numpy()
-                        scores = np.round(ready @ x.T, PLACES)
+                        mine = some.column(4).to_numpy()
+                        scores = np.round(ready @ matrix(some.column(5)).T, PLACES)
                         for i, s in enumerate(scores):
                             if len(s) > k:
                                 kth = np.partition(s, len(s) - k)[len(s) - k]
