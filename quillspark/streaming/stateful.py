@@ -42,7 +42,7 @@ def stateful(spark: SparkSession, empty_batches: bool = True) -> SparkSession:
 
 
 class Gaps(StatefulProcessor):
-    """Per key: times not yet passed by the watermark, and the last one that was."""
+    """Per key: times not yet passed by the watermark, and the last one that was. The timer is that of the earliest time; when it expires, all that has passed is done, and the next one is set."""
 
     def __init__(self, expected: float):
         self.expected = expected
@@ -56,8 +56,7 @@ class Gaps(StatefulProcessor):
         fresh = [int(x) for r in rows for x in r["at"]]
         if fresh:
             self.waiting.appendList([(x,) for x in fresh])
-            for at in {min(fresh), max(fresh)}:
-                self.handle.registerTimer(-(-at // 1000))
+            self.handle.registerTimer(-(-min(fresh) // 1000))
         yield pd.DataFrame({"key": [], "before": [], "after": []}).astype({"key": "int64", "before": "int64", "after": "int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -65,7 +64,7 @@ class Gaps(StatefulProcessor):
         waiting = sorted(x[0] for x in self.waiting.get())
         done = [x for x in waiting if x <= passed]
         rest = [x for x in waiting if x > passed]
-        before = self.last.get()[0] if self.last.exists() else None
+        before = self.last.get()[0] if done and self.last.exists() else None
         out = []
         for at in done:
             if before is not None and at - before > 1.5e6 * self.expected:
@@ -76,6 +75,7 @@ class Gaps(StatefulProcessor):
             self.waiting.clear()
             if rest:
                 self.waiting.put([(x,) for x in rest])
+                self.handle.registerTimer(-(-rest[0] // 1000))
         yield pd.DataFrame(out, columns=["key", "before", "after"]).astype({"key": "int64", "before": "int64", "after": "int64"})
 
     def close(self) -> None:
