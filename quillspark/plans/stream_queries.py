@@ -10,9 +10,14 @@ from quillspark.session import scratch, table
 from quillspark.streaming import folds, stateful
 
 
+#: Batches of a table: each one rewrites what it touches of the result, so their number does not grow with the files.
+BATCHES = 8
+
+
 def source(spark, sf_dir, name="events"):
     """A table as a stream of files; the pattern also matches one that is a single file."""
-    return folds.read_stream(spark, f"{sf_dir}/{name}.parquet*", table(spark, sf_dir, name).schema)
+    rows = table(spark, sf_dir, name)
+    return folds.read_stream(spark, f"{sf_dir}/{name}.parquet*", rows.schema, files=-(-len(rows.inputFiles()) // BATCHES))
 
 
 @register("stream_window", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
