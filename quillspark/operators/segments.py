@@ -61,11 +61,12 @@ class Segmented:
     def _bucket(self, name: str) -> Column:
         return F.pmod(F.crc32(F.col(name).cast("string").cast("binary")), F.lit(self.buckets)).cast("int")
 
-    def _write(self, name: str, segment: int, df: DataFrame) -> None:
-        """A segment's part of a table. Rebalancing gives each bucket about one file, and a large one several."""
+    def _write(self, name: str, segment: int, df: DataFrame, dealt: bool = True) -> None:
+        """A segment's part of a table. Rebalancing gives each bucket about one file, and a large one several; where rows are not dealt, as wide ones, each task writes a file for each of its buckets."""
         cut = self.CUT[name]
         columns = [x.split()[0] for x in self.SCHEMAS[name].split(", ")][:-2]
-        df = df.select(*columns, self._bucket(cut).alias("bucket") if cut else "bucket").hint("rebalance", "bucket").sortWithinPartitions("bucket", cut or columns[0])
+        df = df.select(*columns, self._bucket(cut).alias("bucket") if cut else "bucket")
+        df = (df.hint("rebalance", "bucket") if dealt else df).sortWithinPartitions("bucket", cut or columns[0])
         df.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/segment={segment}")
 
     def _living(self, df: DataFrame) -> DataFrame:

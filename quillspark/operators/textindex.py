@@ -2,8 +2,8 @@
 
 | table | columns | cut by |
 |---|---|---|
-| rows | slug, seq, attributes, terms, counts, max_tf | segment, bucket of the slug |
-| postings | term, slug, seq, tf, max_tf, attributes | segment, bucket of the term; sorted by term |
+| rows | slug, seq, nr, attributes, terms, counts, max_tf | segment, bucket of the slug |
+| postings | term, and lists of nr and tf of some articles of the segment that hold it | segment, bucket of the term; sorted by term |
 | frequencies | term, delta | segment, bucket of the term |
 | marks | slug, at | segment, bucket of the slug |
 | log | segment, replaces, buckets, live | - |
@@ -20,6 +20,7 @@ import zlib
 from collections import Counter
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,16 +28,18 @@ from pyspark.sql import functions as F
 from quillspark.functions import scores, text
 from quillspark.operators.search import intent, query_tokens
 from quillspark.operators.segments import Segmented
-from quillspark.session import reach_workers
+from quillspark.session import reach_workers, saved
 
 ATTRIBUTES = ("lifecycle", "doc_type", "type", "sensitivity")
 _OF_ROW = ", ".join(f"{a} string" for a in ATTRIBUTES)
 SCHEMAS = {
-    "rows": f"slug string, seq int, {_OF_ROW}, terms array<string>, counts array<int>, max_tf int, segment int, bucket int",
-    "postings": f"term string, slug string, seq int, tf int, max_tf int, {_OF_ROW}, segment int, bucket int",
+    "rows": f"slug string, seq int, nr long, {_OF_ROW}, terms array<string>, counts array<int>, max_tf int, segment int, bucket int",
+    "postings": "term string, nr array<long>, tf array<int>, segment int, bucket int",
     "frequencies": "term string, delta long, segment int, bucket int",
     "marks": "slug string, at int, segment int, bucket int",
 }
+#: Keys that are sent to all tasks at most, and postings that a task lists at a time.
+SENT, LISTED = 500_000, 2_000_000
 
 
 def term_arrays(articles: DataFrame, body: str = "body") -> DataFrame:
@@ -60,6 +63,20 @@ def term_arrays(articles: DataFrame, body: str = "body") -> DataFrame:
     return articles.select(*names, body).mapInArrow(count, ", ".join([*kinds, "terms array<string>", "counts array<int>", "max_tf int"]))
 
 
+def posting_lists(batches):
+    """Lists by term of record batches (nr, terms, counts), of a bounded number of postings at a time; all else stays with the rows."""
+    for b in batches:
+        size = b.column("terms").value_lengths().to_numpy(zero_copy_only=False)
+        group = np.cumsum(size) // LISTED
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cuts, cuts[1:]):
+            part = b.slice(lo, hi - lo)
+            nr = part.column("nr").take(pa.array(np.repeat(np.arange(hi - lo), size[lo:hi])))
+            flat = pa.table({"term": part.column("terms").flatten(), "nr": nr, "tf": part.column("counts").flatten()})
+            lists = flat.group_by("term", use_threads=False).aggregate([("nr", "list"), ("tf", "list")])
+            yield from pa.table({"term": lists.column("term"), "nr": lists.column("nr_list"), "tf": lists.column("tf_list")}).to_batches()
+
+
 def bucket_of(term: str, n: int) -> int:
     return zlib.crc32(term.encode()) % n
 
@@ -71,12 +88,26 @@ class TextIndex(Segmented):
     CUT = {"rows": "slug", "marks": "slug", "postings": "term", "frequencies": "term"}
 
     def live_rows(self, segments: list[int] | None = None) -> DataFrame:
-        return self._living(self.table("rows", segments))
-
-    def _living(self, df: DataFrame) -> DataFrame:
-        """Without the versions that a mark has ended."""
-        marks = self.table("marks").groupBy(F.col("slug").alias("_slug")).agg(F.max("at").alias("_at"))
-        return df.join(marks, (F.col("slug") == F.col("_slug")) & (F.col("_at") > F.col("seq")), "left_anti")
+        marks = self.table("marks").groupBy("bucket", "slug").agg(F.max("at").alias("at"))
+
+        def living(rows, marks):
+            return rows.join(marks.select(F.col("slug").alias("_slug"), "at"), (F.col("slug") == F.col("_slug")) & (F.col("at") > F.col("seq")), "left_anti")
+
+        return self._by_buckets(self.table("rows", segments), marks, living)
+
+    def _by_buckets(self, rows: DataFrame, keys: DataFrame, join) -> DataFrame:
+        """The join of rows and keys that are cut by the bucket of the slug, by groups of buckets whose keys can be sent to all tasks, so rows with their terms are not shuffled; only a bucket of more keys is."""
+        sizes = {r["bucket"]: r["count"] for r in keys.groupBy("bucket").count().collect()}  # a row for each bucket
+        groups: list[tuple[list[int], int]] = []
+        for bucket in range(self.buckets):
+            n = sizes.get(bucket, 0)
+            if groups and groups[-1][1] + n <= SENT:
+                groups[-1] = groups[-1][0] + [bucket], groups[-1][1] + n
+            else:
+                groups.append(([bucket], n))
+        of = lambda df, some: df.where(F.col("bucket").isin(some)) if len(groups) > 1 else df
+        sent = lambda df, n: F.broadcast(df) if n <= SENT else df
+        return reduce(DataFrame.unionByName, [join(of(rows, some), sent(of(keys, some), n)) for some, n in groups])
 
     # changes
 
@@ -86,18 +117,18 @@ class TextIndex(Segmented):
         segment = (log[-1]["segment"] if log else 0) + 1
         if articles is not None:
             have = [F.col(a).cast("string").alias(a) if a in articles.columns else F.lit(None).cast("string").alias(a) for a in ATTRIBUTES]
-            rows = term_arrays(articles.select("slug", *have, F.col(body).alias("body"))).withColumn("seq", F.lit(segment))
+            rows = term_arrays(articles.select("slug", *have, F.col(body).alias("body"))).withColumn("seq", F.lit(segment)).withColumn("nr", F.monotonically_increasing_id())
         else:
             rows = self.spark.createDataFrame([], SCHEMAS["rows"])
-        self._write("rows", segment, rows)
+        self._write("rows", segment, rows, dealt=False)
         rows = self.table("rows", [segment])
         slugs = rows.select("bucket", "slug")
         if removed is not None:
             slugs = slugs.unionByName(removed.select("slug").withColumn("bucket", self._bucket("slug")).select("bucket", "slug"))
-        old = self.live_rows().join(slugs.distinct(), ["bucket", "slug"], "left_semi")
+        old = self._by_buckets(self.live_rows(), saved(slugs.distinct()), lambda rows, keys: rows.join(keys, ["bucket", "slug"], "left_semi"))
         self._write("marks", segment, old.select("slug", F.lit(segment).alias("at")).distinct())
         self._write_postings(segment, rows)
-        added = self.table("postings", [segment]).select("term", F.lit(1).alias("delta"))
+        added = self.table("postings", [segment]).select("term", F.size("nr").alias("delta"))
         ended = old.select(F.explode("terms").alias("term"), F.lit(-1).alias("delta"))
         delta = added.unionByName(ended).groupBy("term").agg(F.sum("delta").alias("delta")).where("delta <> 0")
         self._write("frequencies", segment, delta)
@@ -109,7 +140,7 @@ class TextIndex(Segmented):
         log, every = self._log(), self.segments()
         some = every if segments is None else [s for s in every if s in segments]
         segment = log[-1]["segment"] + 1
-        self._write("rows", segment, self.live_rows(some))
+        self._write("rows", segment, self.live_rows(some).withColumn("nr", F.monotonically_increasing_id()), dealt=False)
         self._write_postings(segment, self.table("rows", [segment]))
         delta = self.table("frequencies", some).groupBy("term").agg(F.sum("delta").alias("delta")).where("delta <> 0")
         self._write("frequencies", segment, delta)
@@ -119,8 +150,9 @@ class TextIndex(Segmented):
         return segment
 
     def _write_postings(self, segment: int, rows: DataFrame) -> None:
-        each = rows.select("slug", "seq", "max_tf", *ATTRIBUTES, F.explode(F.arrays_zip("terms", "counts")).alias("x"))
-        self._write("postings", segment, each.select("*", F.col("x.terms").alias("term"), F.col("x.counts").alias("tf")))
+        reach_workers(self.spark)
+        lists = rows.select("nr", "terms", "counts").mapInArrow(posting_lists, "term string, nr array<long>, tf array<int>")
+        self._write("postings", segment, lists)
 
     # questions
 
@@ -128,6 +160,14 @@ class TextIndex(Segmented):
         """Rows of some terms; only the buckets of these are read."""
         return self.table(name).where(F.col("bucket").isin(sorted({bucket_of(t, self.buckets) for t in terms})) & F.col("term").isin(terms))
 
+    def found(self, terms: list[str]) -> DataFrame:
+        """term, segment, nr, tf of the articles that hold some of the terms; `_of` tells who they are and which live."""
+        return self.asked("postings", terms).select("term", "segment", F.explode(F.arrays_zip("nr", "tf")).alias("x")).select("term", "segment", "x.nr", "x.tf")
+
+    def _of(self, found: DataFrame, *names: str) -> DataFrame:
+        """With columns of the live rows that were found; their terms are not read."""
+        return self._living(found.join(self.table("rows").select("segment", "nr", "slug", "seq", *names), ["segment", "nr"]))
+
     def frequencies(self) -> DataFrame:
         """term, df, idf of all terms."""
         df = self.table("frequencies").groupBy("term").agg(F.sum("delta").alias("df")).where("df > 0")
@@ -138,14 +178,13 @@ class TextIndex(Segmented):
         wanted = Counter(query_tokens(query))
         terms, n = sorted(wanted), self.live()
         df = {r["term"]: r["df"] for r in self.asked("frequencies", terms).groupBy("term").agg(F.sum("delta").alias("df")).collect()} if terms else {}  # a row for each term of the query
-        found = self._living(self.asked("postings", terms))
-        if where is not None:
-            found = found.where(where)
         weight = {t: wanted[t] / max(wanted.values()) for t in terms}
         of_term = lambda v: reduce(lambda a, t: F.when(F.col("term") == t, v(t)).otherwise(a), terms, F.lit(0.0))
         idf = of_term(lambda t: F.log(F.lit((n + 1) / (df.get(t, 0) + 1))) + 1)
-        part = of_term(lambda t: F.lit(weight[t])) * idf * (F.col("tf") / F.col("max_tf")) * idf
-        sums = found.groupBy("slug").agg(F.sum(part).alias("_s"), F.first("lifecycle").alias("lifecycle"), F.first("doc_type").alias("doc_type"))
+        part = of_term(lambda t: F.lit(weight[t])) * idf * F.col("tf") * idf
+        sums = self._of(self.found(terms).groupBy("segment", "nr").agg(F.sum(part).alias("_p")), "max_tf", *ATTRIBUTES).withColumn("_s", F.col("_p") / F.col("max_tf"))
+        if where is not None:
+            sums = sums.where(where)
         score = F.col("_s") * scores.lookup(scores.LIFECYCLE_FACTOR, F.col("lifecycle"), 1.0)
         if kind := intent(query):
             score = score * F.when(F.col("doc_type") == kind, 1.5).otherwise(1.0)
@@ -153,4 +192,4 @@ class TextIndex(Segmented):
 
     def holding(self, term: str) -> DataFrame:
         """slug and tf of the articles that hold a term."""
-        return self._living(self.asked("postings", [term])).select("slug", "tf")
+        return self._of(self.found([term])).select("slug", "tf")
