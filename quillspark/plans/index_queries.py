@@ -19,7 +19,7 @@ from quillspark.session import shared_folder, table, texts
 
 def text_index(spark, sf_dir) -> TextIndex:
     """All articles, by three writes: older versions and articles that go again, then the articles as they are with removals, then a merge. Written once for the same files; a run that stopped is taken up."""
-    index = TextIndex(spark, kept_at(shared_folder(spark), "text-index", table(spark, sf_dir, "documents")))
+    index = TextIndex(spark, kept_at(shared_folder(spark), "text-index-lists", table(spark, sf_dir, "documents")))
     articles = view(spark, sf_dir)
     old = articles.withColumn("body", F.concat(F.substring("body", 1, 300), F.lit(" earlier words")))
     gone = articles.withColumn("slug", F.concat(F.lit("gone-"), "slug"))
