@@ -14,7 +14,7 @@ from quillspark.plans import sql
 from quillspark.plans.article_queries import view
 from quillspark.plans.registry import ORACLES, register
 from quillspark.plans.search_queries import PLAIN
-from quillspark.session import shared_folder, table, texts
+from quillspark.session import shared_folder, spread, table, texts
 
 
 def text_index(spark, sf_dir) -> TextIndex:
@@ -46,7 +46,7 @@ def index_holding(spark, sf_dir):
 
 def vector_index(spark, sf_dir) -> V.VectorIndex:
     """All vectors: the first write holds other versions of them, which the second replaces."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    vectors = spread(table(spark, sf_dir, "embeddings")).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     index = V.VectorIndex(spark, kept_at(shared_folder(spark), "vector-index", table(spark, sf_dir, "embeddings")))
     writes = (lambda: index.build(vectors), lambda: index.upsert(vectors.where("id % 3 = 0").withColumn("vector", F.reverse("vector"))), lambda: index.upsert(vectors.where("id % 3 = 0")))
     for write in writes[len(index._log()) :]:
