@@ -38,7 +38,7 @@ SCHEMAS = {
     "frequencies": "term string, delta long, segment int, bucket int",
     "marks": "slug string, at int, segment int, bucket int",
 }
-#: Keys that are sent to all tasks at most, and postings that a task lists at a time.
+#: Words of row numbers that are sent to all tasks at most, and postings that a task lists at a time.
 SENT, LISTED = 500_000, 2_000_000
 
 
@@ -88,33 +88,28 @@ class TextIndex(Segmented):
     CUT = {"rows": "slug", "marks": "slug", "postings": "term", "frequencies": "term"}
 
     def live_rows(self, segments: list[int] | None = None) -> DataFrame:
-        marks = self.table("marks").groupBy("bucket", "slug").agg(F.max("at").alias("at"))
-
-        def living(rows, marks):
-            return rows.join(marks.select(F.col("slug").alias("_slug"), "at"), (F.col("slug") == F.col("_slug")) & (F.col("at") > F.col("seq")), "left_anti")
-
-        return self._by_buckets(self.table("rows", segments), marks, living)
-
-    def _by_buckets(self, rows: DataFrame, keys: DataFrame, join) -> DataFrame:
-        """The join of rows and keys that are cut by the bucket of the slug, by groups of buckets whose keys can be sent to all tasks, so rows with their terms are not shuffled; only a bucket of more keys is."""
-        sizes = {r["bucket"]: r["count"] for r in keys.groupBy("bucket").count().collect()}  # a row for each bucket
-        groups: list[tuple[list[int], int]] = []
-        for bucket in range(self.buckets):
-            n = sizes.get(bucket, 0)
-            if groups and groups[-1][1] + n <= SENT:
-                groups[-1] = groups[-1][0] + [bucket], groups[-1][1] + n
-            else:
-                groups.append(([bucket], n))
-        of = lambda df, some: df.where(F.col("bucket").isin(some)) if len(groups) > 1 else df
-        sent = lambda df, n: F.broadcast(df) if n <= SENT else df
-        return reduce(DataFrame.unionByName, [join(of(rows, some), sent(of(keys, some), n)) for some, n in groups])
+        return self._rows_in(self.table("rows", segments), self._dead(segments), "left_anti")
+
+    def _dead(self, segments: list[int] | None = None) -> DataFrame:
+        """segment and nr of the versions that a mark has ended; rows are met by their short columns."""
+        marks = self.table("marks").groupBy("slug").agg(F.max("at").alias("at"))
+        return self.table("rows", segments).select("segment", "nr", "slug", "seq").join(marks, "slug").where("at > seq").select("segment", "nr")
+
+    def _rows_in(self, rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        """Rows that are among some (segment, nr), or that are not. These are sent to all tasks as words of 64 row numbers, so rows with their terms are not shuffled, and the driver does not hold a slug."""
+        bit = lambda: (F.col("nr") % 64).cast("int")
+        words = saved(some.groupBy("segment", F.shiftright("nr", 6).alias("_at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit())).alias("_word")))
+        few = words.limit(SENT + 1).count() <= SENT
+        words = words.withColumnRenamed("segment", "_segment")
+        met = (F.col("segment") == F.col("_segment")) & (F.shiftright("nr", 6) == F.col("_at")) & (F.call_function("shiftright", F.col("_word"), bit()).bitwiseAND(F.lit(1)) == 1)
+        return rows.join(F.broadcast(words) if few else words, met, how)
 
     # changes
 
     def upsert(self, articles: DataFrame | None = None, removed: DataFrame | None = None, body: str = "body") -> int:
         """Articles (slug, body and any of the attributes; a slug once) put in or put in the place of older versions, and slugs taken out. Gives the segment."""
         log = self._log()
-        segment = (log[-1]["segment"] if log else 0) + 1
+        segment, before = (log[-1]["segment"] if log else 0) + 1, self.segments()
         if articles is not None:
             have = [F.col(a).cast("string").alias(a) if a in articles.columns else F.lit(None).cast("string").alias(a) for a in ATTRIBUTES]
             rows = term_arrays(articles.select("slug", *have, F.col(body).alias("body"))).withColumn("seq", F.lit(segment)).withColumn("nr", F.monotonically_increasing_id())
@@ -125,7 +120,9 @@ class TextIndex(Segmented):
         slugs = rows.select("bucket", "slug")
         if removed is not None:
             slugs = slugs.unionByName(removed.select("slug").withColumn("bucket", self._bucket("slug")).select("bucket", "slug"))
-        old = self._by_buckets(self.live_rows(), saved(slugs.distinct()), lambda rows, keys: rows.join(keys, ["bucket", "slug"], "left_semi"))
+        # versions of these slugs that live until now
+        short = self.table("rows", before).select("segment", "nr", "bucket", "slug").join(self._dead(before), ["segment", "nr"], "left_anti")
+        old = self._rows_in(self.table("rows", before), short.join(slugs.distinct(), ["bucket", "slug"], "left_semi").select("segment", "nr"), "left_semi")
         self._write("marks", segment, old.select("slug", F.lit(segment).alias("at")).distinct())
         self._write_postings(segment, rows)
         added = self.table("postings", [segment]).select("term", F.size("nr").alias("delta"))
