@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import scores, text
+from quillspark.session import reach_workers
 
 # Ranges of text metrics, and word lists of the category counts.
 HUMAN = {"sentence_mean": (15, 25), "sentence_std": (8, 15), "sentence_cv": (0.3, 0.7), "ttr": (0.65, 0.85), "hapax_ratio": (0.35, 0.55), "avg_word_len": (4.2, 5.5)}
@@ -116,20 +121,67 @@ def text_variance(docs: DataFrame, key: str = "doc_id", body: str = "text", ever
     var = F.try_divide(F.aggregate("_l", F.lit(0.0), lambda s, x: s + (x - F.col("_m")) * (x - F.col("_m"))), F.col("sentences"))
     rows = rows.select(key, "sentences", "_m", F.sqrt(var).alias("_d"), F.size("_w").alias("_n"), F.size("_f").alias("_u"), F.aggregate("_w", F.lit(0), lambda s, x: s + F.length(x)).alias("_c"), runs.alias("_runs"))
     top = F.aggregate(F.slice(F.sort_array("_runs", False), 1, 5), F.lit(0), lambda s, x: s + x)
-    ratio = lambda x: F.round(F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(0.0), 3)
-    return rows.select(
-        key,
-        "sentences",
+    rows = rows.select("*", F.size(F.filter("_runs", lambda x: x == 1)).alias("_h"), top.alias("_top"))
+    return rows.select(key, *variance_columns())
+
+
+def variance_columns() -> list[Column]:
+    """The metrics of counts: sentences, their mean _m and deviation _d; of words the number _n, distinct ones _u, characters _c, those that occur once _h and the five commonest _top."""
+    ratio = lambda x: F.round(F.when(F.col("_n") > 0, F.col(x) / F.col("_n")).otherwise(0.0), 3)
+    return [
+        F.col("sentences"),
         F.col("_n").alias("total_words"),
         F.col("_u").alias("unique_words"),
         F.round("_m", 1).alias("sentence_mean"),
         F.round("_d", 1).alias("sentence_std"),
         F.round(F.col("_d") / F.col("_m"), 3).alias("sentence_cv"),
-        ratio(F.col("_u")).alias("ttr"),
-        ratio(F.size(F.filter("_runs", lambda x: x == 1))).alias("hapax_ratio"),
+        ratio("_u").alias("ttr"),
+        ratio("_h").alias("hapax_ratio"),
         F.round(F.when(F.col("_n") > 0, F.col("_c") / F.col("_n")).otherwise(0.0), 1).alias("avg_word_len"),
-        ratio(top).alias("repetition_ratio"),
-    )
+        ratio("_top").alias("repetition_ratio"),
+    ]
+
+
+def measured(rows: DataFrame, phrases: list[str]) -> DataFrame:
+    """Rows (_k, text) as _k with total, the sizes of CATEGORIES, fingerprints (how many of some phrases occur) and what `variance_columns` reads: `category_ratios`, `phrase_scan` and `text_variance` in one pass over a text
+    in Arrow batches. A text that is the same as that of the row before is not counted again."""
+    import pyarrow as pa
+
+    looked_for = [p.replace("_", " ") for p in phrases if p]
+    kinds = {n: frozenset(v) for n, v in CATEGORIES.items()}
+    whole = ("total", *kinds, "fingerprints", "sentences", "_n", "_u", "_c", "_h", "_top")
+    blank, ending, dark, word = (re.compile(p, re.ASCII) for p in (r"\s+", text.SENTENCE_END, r"\S+", "[a-z']+"))
+
+    def counts(t: str | None) -> tuple:
+        if t is None:
+            return (None, *[None] * len(kinds), 0, None, None, 0, None, None, None, None, None)
+        low = t.lower()
+        words = word.findall(low)
+        found = Counter(words)
+        plain = blank.sub(" ", low.strip(" "))
+        sizes = [n for s in ending.split(t) if (n := len(dark.findall(s))) >= 3]
+        mean = sum(sizes) / len(sizes) if sizes else None
+        spread = math.sqrt(sum((n - mean) ** 2 for n in sizes) / len(sizes)) if sizes else None
+        often = sorted(found.values(), reverse=True)
+        of_kind = [sum(found[w] for w in v & found.keys()) for v in kinds.values()]
+        return len(words), *of_kind, sum(p in plain for p in looked_for), len(sizes), len(words), len(found), sum(map(len, words)), often.count(1), sum(often[:5]), mean, spread
+
+    def in_turn(column):
+        last, found = None, counts(None)
+        for t in column:
+            t = t.as_py()
+            if t != last:
+                last, found = t, counts(t)
+            yield found
+
+    def measure(batches):
+        for b in batches:
+            columns = list(zip(*in_turn(b.column(1)))) or [()] * (len(whole) + 2)
+            arrays = [pa.array(c, pa.int32()) for c in columns[: len(whole)]] + [pa.array(c, pa.float64()) for c in columns[len(whole) :]]
+            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["_k", *whole, "_m", "_d"])
+
+    reach_workers(rows.sparkSession)
+    return rows.select("_k", "text").mapInArrow(measure, f"_k {rows.schema['_k'].dataType.simpleString()}, {', '.join(f'{n} int' for n in whole)}, _m double, _d double")
 
 
 def metric_labels(metrics: DataFrame) -> DataFrame:
@@ -157,16 +209,19 @@ def category_ratios(docs: DataFrame, key: str = "doc_id", body: str = "text") ->
     rows = docs.select(key, text.words(F.col(body)).alias("_w"))
     count = lambda name: F.size(F.filter("_w", lambda w: w.isin(*CATEGORIES[name])))
     rows = rows.select(key, F.size("_w").alias("total"), *[count(n).alias(n) for n in CATEGORIES])
+    return rows.select("*", *category_shares())
+
+
+def category_shares() -> list[Column]:
     share = lambda c: F.round(c / F.greatest(F.col("total"), F.lit(1)) * 100, 1)
-    return rows.select(
-        "*",
+    return [
         share(F.col("nouns")).alias("noun_ratio"),
         share(F.col("pronouns")).alias("pronoun_ratio"),
         share(F.col("auxiliaries")).alias("aux_ratio"),
         share(F.col("adjectives")).alias("adj_ratio"),
         F.round(F.col("nouns") / F.greatest(F.col("pronouns"), F.lit(1)), 1).alias("noun_pronoun_ratio"),
         share(F.col("pronouns") + F.col("auxiliaries")).alias("functional_ratio"),
-    )
+    ]
 
 
 def phrase_scan(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
